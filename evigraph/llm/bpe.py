@@ -57,22 +57,26 @@ class ForcedBoundaryBPE:
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.ids = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {m: i for i, m in enumerate(merges)}
-        self.joined: set[tuple[str, str]] = set()  # neighbours inside some token
+        self.ranks = {(self.ids[a], self.ids[b]): i for i, (a, b) in enumerate(merges)}
+        self.made = [self.ids[a + b] for a, b in merges]
+        self.joined: set[tuple[int, int]] = set()  # neighbouring symbols inside some token
         for token in self.ids:
             s = self.symbols(token[: -len(END)], True) if token.endswith(END) and token != END else list(token)
+            s = [self.ids[x] for x in s]
             self.joined.update(zip(s, s[1:]))
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.special_at = re.compile("|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        self.bytes_of = {c: b for b, c in enumerate(alphabet)}
+        self.inner, self.final = [self.ids[c] for c in alphabet], [self.ids[c + END] for c in alphabet]
         kind = {c: unicodedata.category(chr(c))[0] for c in range(256)}
         letters = "".join(re.escape(chr(c)) for c in kind if kind[c] == "L")
         digits = "".join(re.escape(chr(c)) for c in kind if kind[c] == "N")
         blank = "\\t-\\r \\x85\\xa0"
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{blank}{letters}{digits}]+").findall
-        self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
+        self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     @staticmethod
     def symbols(word: str, ends: bool) -> list[str]:
@@ -81,47 +85,53 @@ class ForcedBoundaryBPE:
             s[-1] += END
         return s
 
-    def _fragment(self, s: tuple[str, ...]) -> tuple[int, ...]:
-        if (ids := self.fragments.get(s)) is None:
-            parts = list(s)
-            while len(parts) > 1:
-                rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-                if rank == 1 << 60:
-                    break
-                pair, i, new = (parts[at], parts[at + 1]), 0, []
-                while i < len(parts):
-                    if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                        new.append(pair[0] + pair[1])
-                        i += 2
-                    else:
-                        new.append(parts[i])
-                        i += 1
-                parts = new
+    def _merge(self, parts: list[int]) -> list[int]:
+        """Merges of one fragment: lowest rank first, then leftmost."""
+        rank, made, none = self.ranks.get, self.made, 1 << 60
+        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            parts[i] = made[low]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
+        return parts
+
+    def fragments_of(self, word: bytes) -> list[list[int]]:
+        """Symbol ids of a word, cut wherever no token holds both neighbours."""
+        s = [self.inner[b] for b in word]
+        s[-1] = self.final[word[-1]]
+        pairs = list(zip(s, s[1:]))
+        if self.joined.issuperset(pairs):
+            return [s]
+        cuts = [0, *(i for i, p in enumerate(pairs, 1) if p not in self.joined), len(s)]
+        return [s[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def word(self, word: bytes) -> tuple[int, ...]:
+        """Ids of one word."""
+        parts = self.fragments_of(word)
+        return tuple(self._merge(parts[0])) if len(parts) == 1 else tuple(chain.from_iterable(map(self._fragment, parts)))
+
+    def _fragment(self, s: list[int]) -> tuple[int, ...]:
+        if (ids := self.fragments.get(key := tuple(s))) is None:
             if len(self.fragments) >= self.table_limit:
                 self.fragments.clear()
-            ids = self.fragments[s] = tuple(self.ids[p] for p in parts)
+            ids = tuple(self._merge(s))
+            if len(key) <= 64:
+                self.fragments[key] = ids
         return ids
 
-    def fragments_of(self, word: str) -> list[tuple[str, ...]]:
-        """A word of the byte alphabet, cut wherever no token holds both neighbours."""
-        s = self.symbols(word, True)
-        cuts = [0, *(i for i in range(1, len(s)) if (s[i - 1], s[i]) not in self.joined), len(s)]
-        return [tuple(s[a:b]) for a, b in zip(cuts, cuts[1:])]
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word of the byte alphabet."""
-        return tuple(chain.from_iterable(map(self._fragment, self.fragments_of(word))))
-
     def encoder(self):
         """text -> ids, with its own bounded table of words."""
-        table: dict[str, tuple[int, ...]] = {}
-        alphabet, words, word, limit = self.alphabet, self.words, self.word, self.table_limit
+        words, word, limit, bytes_of = self.words, self.word, self.table_limit, self.bytes_of
 
         class Words(dict):
             def __missing__(self, w: str) -> tuple[int, ...]:
                 if len(self) >= limit:
                     self.clear()
-                ids = word("".join(alphabet[b] for b in w.encode("utf-8")))
+                ids = word(w.encode("utf-8"))
                 if len(w) <= 64:
                     self[w] = ids
                 return ids
@@ -132,7 +142,7 @@ class ForcedBoundaryBPE:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return [i for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) for i in word(w)]
+                return [i for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) for i in word(bytes(map(bytes_of.__getitem__, w)))]
             return list(chain.from_iterable(map(table.__getitem__, words(text.lower()))))
 
         def encode(text: str | None) -> list[int]:

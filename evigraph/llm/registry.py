@@ -1,10 +1,18 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from .bpe import op10_bpe
+from .language import op5_language
+from .quality import op8_quality
+from .redirects import OP3_SQL, op3_redirects
 from .simhash import op1_simhash
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_redirects": op3_redirects,
+    "op5_language": op5_language,
+    "op8_quality": op8_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_redirects": OP3_SQL}

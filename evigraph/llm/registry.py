@@ -1,7 +1,9 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from .bpe import op10_bpe
+from .imatch import op4_imatch
 from .language import op5_language
+from .pii import op6_pii
 from .quality import op8_quality
 from .redirects import OP3_SQL, op3_redirects
 from .simhash import op1_simhash
@@ -11,7 +13,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_redirects": op3_redirects,
+    "op4_imatch": op4_imatch,
     "op5_language": op5_language,
+    "op6_pii": op6_pii,
     "op8_quality": op8_quality,
     "op10_bpe": op10_bpe,
 }

@@ -45,11 +45,13 @@ def _term_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "slots"])
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: int = 4, steps: int = 250, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> tuple:
-    """Bias, linear weights and factors (variables x rank) by full-batch Adam on the weighted logistic loss."""
+def train(x: np.ndarray, y: np.ndarray, start: np.ndarray, weight: np.ndarray, rank: int = 4, steps: int = 200, rate: float = 0.02, decay: float = 1e-5, seed: int = 3) -> tuple:
+    """Bias, linear weights and factors (variables x rank) by full-batch Adam on the weighted logistic loss.
+
+    `start`: linear weights to begin with, the terms' log-odds."""
     rng = np.random.default_rng(seed)
     n, f = x.shape
-    w0, w, v = np.float32(np.log((weight * y).sum() / (weight * (1 - y)).sum())), np.zeros(f, np.float32), rng.normal(0, 0.02, (f, rank)).astype(np.float32)
+    w0, w, v = np.float32(np.log((weight * y).sum() / (weight * (1 - y)).sum())), start.astype(np.float32), rng.normal(0, 0.02, (f, rank)).astype(np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1, np.float32), w, v)]
     weight = (weight / weight.sum()).astype(np.float32)
     for t in range(1, steps + 1):
@@ -84,8 +86,7 @@ def fit(rows: DataFrame, per_class: int = 1200, variables: int = 768, rank: int
         return table, 6.0 if y[0] else -6.0, np.zeros(1, np.float32), np.zeros((1, rank), np.float32)
     sets = [np.asarray(s, np.int64) for s in got["slots"].to_numpy()]
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    df1 = sum((np.bincount(s, minlength=1 << BITS) for s, t in zip(sets, y, strict=True) if t), np.zeros(1 << BITS, np.int64))
-    df0 = sum((np.bincount(s, minlength=1 << BITS) for s, t in zip(sets, y, strict=True) if not t), np.zeros(1 << BITS, np.int64))
+    df1, df0 = (np.bincount(np.concatenate([s for s, t in zip(sets, y, strict=True) if t == label]), minlength=1 << BITS) for label in (1, 0))
     p1, p0 = (df1 + 0.5) / (n1 + 1), (df0 + 0.5) / (n0 + 1)
     p = (df1 + df0 + 1.0) / (len(y) + 2)
     z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
@@ -97,7 +98,8 @@ def fit(rows: DataFrame, per_class: int = 1200, variables: int = 768, rank: int
     for i, s in enumerate(sets):
         k = table[s]
         x[i, k[k >= 0]] = 1
-    w0, w, v = train(x, y, np.where(y > 0, count[1] / n1, count[0] / n0).astype(np.float32), rank)
+    odds = np.log((df1[chosen] + 1) / (df0[chosen] + 1) * (n0 / n1))
+    w0, w, v = train(x, y, np.clip(odds, -0.5, 4), np.where(y > 0, count[1] / n1, count[0] / n0).astype(np.float32), rank)
     return table, w0, w, v
 
 

@@ -1,6 +1,7 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from .bpe import op10_bpe
+from .decontaminate import op9_decontaminate
 from .imatch import op4_imatch
 from .language import op5_language
 from .pii import op6_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_pii": op6_pii,
     "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
 ORACLES = {"op3_redirects": OP3_SQL}

@@ -139,51 +139,71 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
     return Model(langs, family, machines, weights, 3.0 / max(float(typical), 1e-9))  # a typical margin scores 0.95
 
 
-def classify(docs: DataFrame, model: Model | None, rest: bool = False) -> DataFrame:
-    """lang_pred and score for every row: doc_id, held columns of `docs` and the two (with `rest`, all columns of `docs`).
+def _judge(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language ("und" for nulls and texts without a letter) and confidence of each text."""
+    ascii_letter = LETTER.copy()
+    ascii_letter[128:] = False
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    for first, part in chunks(texts):
+        data, offs = buffers(part)
+        n = len(part)
+        if model is None or not len(data):
+            continue
+        sums = np.concatenate([[0], np.cumsum(ascii_letter[data])])
+        has = sums[offs[1:]] > sums[offs[:-1]]
+        for i in np.flatnonzero(~has & (offs[1:] > offs[:-1])):
+            has[i] = any(map(str.isalpha, part[int(i)].as_py() or ""))
+        margin, total = np.zeros((n, model.weights.shape[1])), np.zeros(n)
+        full = np.flatnonzero(offs[1:] > offs[:-1])
+        for order, s in zip(ORDERS, slots(data, offs), strict=True):
+            margin[full] += np.add.reduceat(model.weights[s], offs[full], axis=0)
+            total += np.maximum(0, np.diff(offs) - order + 1)
+        margin /= np.maximum(total, 1)[:, None]
+        best, sure = model.predict(margin)
+        names = np.array(model.langs, object)[best]
+        lang[first : first + n][has] = names[has]
+        score[first : first + n][has] = sure[has]
+    return lang, score
+
+
+def classify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of `docs` but text, with lang_pred and score (columns of these names are replaced).
 
     Null texts and texts without a letter: "und", score 0.  Without a model every text is "und".
     """
-    keep = docs.columns if rest else [c for c in docs.columns if c != "text"]
-    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     from pyspark.sql import types as T
 
+    names = docs.columns
+    keep = [c for c in names if c.lower() not in ("text", "lang_pred", "score")]
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))  # slots x machines floats: fixed size
-    at = docs.columns.index("text")
+    at = names.index("text")
 
     def run(batches):
         model = shared.value and Model(**shared.value)
-        ascii_letter = LETTER.copy()
-        ascii_letter[128:] = False
         for batch in batches:
-            texts = batch.column(at)
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            for first, part in chunks(texts):
-                data, offs = buffers(part)
-                n = len(part)
-                if model is None or not len(data):
-                    continue
-                sums = np.concatenate([[0], np.cumsum(ascii_letter[data])])
-                has = sums[offs[1:]] > sums[offs[:-1]]
-                for i in np.flatnonzero(~has & (offs[1:] > offs[:-1])):
-                    has[i] = any(map(str.isalpha, part[int(i)].as_py() or ""))
-                margin, total = np.zeros((n, model.weights.shape[1])), np.zeros(n)
-                full = np.flatnonzero(offs[1:] > offs[:-1])
-                for order, s in zip(ORDERS, slots(data, offs), strict=True):
-                    margin[full] += np.add.reduceat(model.weights[s], offs[full], axis=0)
-                    total += np.maximum(0, np.diff(offs) - order + 1)
-                margin /= np.maximum(total, 1)[:, None]
-                best, sure = model.predict(margin)
-                names = np.array(model.langs, object)[best]
-                lang[first : first + n][has] = names[has]
-                score[first : first + n][has] = sure[has]
-            yield pa.RecordBatch.from_arrays([*[batch.column(docs_names.index(c)) for c in keep], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
-
-    docs_names = docs.columns
+            lang, score = _judge(batch.column(at), model)
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+
     return docs.mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, model: Model | None, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of `docs`, unchanged, whose language is known ("und" goes), among `languages` if given, with that confidence."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model and vars(model)), docs.columns.index("text")
+
+    def run(batches):
+        model = shared.value and Model(**shared.value)
+        for batch in batches:
+            lang, score = _judge(batch.column(at), model)
+            keep = (lang != "und") & (score >= least)
+            if languages is not None:
+                keep &= np.isin(lang.astype(str), languages)
+            yield batch.filter(pa.array(keep.astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     held = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")

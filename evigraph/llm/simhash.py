@@ -56,14 +56,14 @@ def _fingerprints(width: int):
                 raw = data.tobytes()
                 for i in range(len(part)):
                     out[first + i] = fingerprint(raw[offs[i] : offs[i + 1]], width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed bigint) of every row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints(width), "doc_id bigint, fp bigint")
+    """doc_id, text_hash, fp (the 64 bits as a signed bigint) of every row."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_fingerprints(width), "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def cover(distance: int, size: int) -> list[tuple[int, ...]]:
@@ -135,6 +135,14 @@ def _long_links(long: DataFrame, sets: list[tuple[int, ...]], distance: int) ->
     return out
 
 
+def _grouped(fps: DataFrame, distance: int, **index) -> DataFrame:
+    """fp, first (smallest id, then text hash, of the rows that have it), root (one fp of its component) of each distinct fp."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    nodes = cut(fps.groupBy("fp").agg(first))
+    found = components(links(nodes.select("fp"), distance, **index))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, **index) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) for every row of `docs`.
 
@@ -143,14 +151,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, **index)
     an empty result; other columns of `docs` are ignored.
     """
     fps = stored(fingerprints(docs, width), "simhash")
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes.select("fp"), distance, **index))
-    group = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    lowest = group.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = group.join(lowest, "root").select("fp", "component_id")
+    group = _grouped(fps, distance, **index)
+    lowest = group.groupBy("root").agg(F.min("first").alias("low"))
+    named = group.join(lowest, "root").select("fp", F.col("low.doc_id").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, width: int = 3, distance: int = 3, **index) -> DataFrame:
+    """The rows of `docs` that represent their component: smallest doc_id, nulls last, then smallest text hash.
+
+    Of rows with equal doc_id and text one stays.  All columns are kept.  The texts are shuffled once.
+    """
+    fps = stored(fingerprints(docs, width), "simhash")
+    best = _grouped(fps, distance, **index).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+    best = cut(best)
+    repeated = fps.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    keyed = docs.withColumns({"_hash": F.xxhash64("text")})
+    on = F.coalesce(keyed["doc_id"].cast("bigint"), F.lit(-(1 << 62))) == F.coalesce(best["keep_id"], F.lit(-(1 << 62)))
+    kept = keyed.join(best, on & (keyed["_hash"] == best["keep_hash"]), "left_semi")
+    return (kept if repeated else kept.dropDuplicates(["doc_id", "_hash"])).drop("_hash")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,18 +46,16 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(batches):
-    counts, docs = np.zeros(1 << BITS, np.int32), 0
+    counts = np.zeros(1 << BITS, np.int32)
     for batch in batches:
         for _, part in chunks(batch.column(0)):
             counts += np.bincount(_slots(terms(part)[0]), minlength=1 << BITS).astype(np.int32) if len(part) > 64 else 0
             if len(part) <= 64:
                 np.add.at(counts, _slots(terms(part)[0]), 1)
-        docs += batch.num_rows
     at = np.flatnonzero(counts)
     for i in range(0, len(at), 1 << 18):
         some = at[i : i + (1 << 18)]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["slot", "n"])
-    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([docs], pa.int64())], ["slot", "n"])
 
 
 def _bits(batches):
@@ -74,8 +73,7 @@ def lexicon(docs: DataFrame, low: int = 2, high: float = 0.05) -> np.ndarray:
     Counted in each task, summed in one shuffle of at most 2**BITS rows a task; the driver gets 2**BITS bits.
     """
     counts = docs.select("text").mapInArrow(_frequencies, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counts.filter("slot = -1").select(F.sum("n").alias("docs")))  # one row
-    band = counts.filter("slot >= 0").crossJoin(total).filter((F.col("n") >= low) & (F.col("n") <= F.greatest(F.lit(low), F.col("docs") * F.lit(high))))
+    band = counts.filter((F.col("n") >= low) & (F.col("n") <= max(low, docs.count() * high)))
     got = band.select("slot").mapInArrow(_bits, "byte int, bits int").toArrow()
     out = np.zeros(1 << (BITS - 3), np.uint8)
     np.bitwise_or.at(out, got["byte"].to_numpy(), got["bits"].to_numpy().astype(np.uint8))
@@ -149,14 +147,15 @@ def fingerprint(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 
 def neighbours(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(bucket, doc_id, text, edge) such that within a bucket, sorted by doc_id descending, each row is followed by the next.
+    """(bucket, doc_id, packed, edge): within a bucket, sorted by doc_id descending, each row is followed by the next.  packed: the
+    text's UTF-8, compressed for the shuffle.
 
     Buckets are ranges of doc_id between approximate quantiles; the first row of a bucket is also given to the bucket before
     (edge = 1, last there), the first row of all to the last.  One shuffle of the texts; rows of equal doc_id are
     ordered by the hash of their text.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = buckets or 8 * n
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
@@ -189,11 +188,13 @@ def neighbours(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             take = np.flatnonzero(x == head_ids[b])
             edge = np.concatenate([np.zeros(len(b), np.int8), np.ones(len(take), np.int8)])
             bucket = np.concatenate([b, prev[b[take]]]).astype(np.int32)
-            who, texts = (pa.concat_arrays([c, c.take(pa.array(take))]) if len(take) else c for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), who, texts, pa.array(edge)], ["bucket", "doc_id", "text", "edge"])
+            pack = zstandard.ZstdCompressor(level=3).compress
+            packed = pa.array([pack((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())
+            who, packed, tie = (pa.concat_arrays([c, c.take(pa.array(take))]) if len(take) else c for c in (batch.column(0), packed, batch.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), who, packed, pa.array(edge), tie], ["bucket", "doc_id", "packed", "edge", "tie"])
 
-    out = ids.mapInArrow(spread, "bucket int, doc_id bigint, text string, edge byte")
-    return out.repartition(n, "bucket").sortWithinPartitions("bucket", "edge", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    out = ids.mapInArrow(spread, "bucket int, doc_id bigint, packed binary, edge byte, tie bigint")
+    return out.repartition(n, "bucket").sortWithinPartitions("bucket", "edge", F.desc_nulls_last("doc_id"), "tie").drop("tie")
 
 
 def edit(text: str, following: str) -> str:
@@ -208,6 +209,7 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        unpack = zstandard.ZstdDecompressor().decompress
         held = None  # the last row of the batch before: (bucket, doc_id, text, fingerprint)
 
         def rows():
@@ -216,8 +218,8 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for at in range(0, batch.num_rows, 64):
                     part = batch.slice(at, 64)
                     bucket, edge = part.column(0).to_pylist(), part.column(3).to_pylist()
-                    ids, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
-                    fps = fingerprints(part.column(2), shared.value)
+                    ids, texts = part.column(1).to_pylist(), [unpack(z.as_py()).decode() for z in part.column(2)]
+                    fps = fingerprints(pa.array(texts, pa.string()), shared.value)
                     if held:
                         bucket, edge, ids, texts, fps = [held[0], *bucket], [held[4], *edge], [held[1], *ids], [held[2], *texts], np.vstack([held[3][None], fps])
                     pick = [i for i in range(len(ids) - 1) if not edge[i] and bucket[i] == bucket[i + 1]]

@@ -8,6 +8,7 @@ and recur, so each is encoded once per worker and looked up afterwards; both tab
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -87,6 +88,8 @@ class ForcedBoundaryBPE:
 
     def _merge(self, parts: list[int]) -> list[int]:
         """Merges of one fragment: lowest rank first, then leftmost."""
+        if len(parts) > 100:
+            return self._merge_long(parts)
         rank, made, none = self.ranks.get, self.made, 1 << 60
         ranks = [rank(p, none) for p in zip(parts, parts[1:])]
         while ranks and (low := min(ranks)) < none:
@@ -99,6 +102,28 @@ class ForcedBoundaryBPE:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same with a heap over a linked list: n log n for very long fragments."""
+        rank, n = self.ranks.get, len(parts)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or parts[i] != x or parts[j] != y:
+                continue
+            parts[i], parts[j] = self.made[r], -1
+            after[i] = k = after[j]
+            after[j] = -1
+            if k >= 0:
+                before[k] = i
+                if (q := rank((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (q, i, parts[i], parts[k]))
+            if (h := before[i]) >= 0 and (q := rank((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (q, h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
+
     def fragments_of(self, word: bytes) -> list[list[int]]:
         """Symbol ids of a word, cut wherever no token holds both neighbours."""
         s = [self.inner[b] for b in word]

@@ -236,7 +236,7 @@ def pagerank(edges: DataFrame, reset: DataFrame, config: Config, changed: DataFr
         n = len(every)
         r = np.bincount(np.searchsorted(every, start["src"].to_numpy(object).astype(str)), start["weight"], n)
         if r.sum() <= 0:
-            return pd.DataFrame({"qid": [], "node": [], "score": []})
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "node": np.zeros(0, object), "score": np.zeros(0)})
         r = r / r.sum()
         strength = np.bincount(a, w, n) + np.bincount(b, w, n)
         inv = np.divide(1.0, strength, out=np.zeros(n), where=strength > 0)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from ..config import Config
 from ..functions import parsing, text
 from ..operators import corpus, ontology, retrieval
 from ..operators.substring import occurrences_of
-from ..sources import store
+from ..sources import artifacts, store
 from ..streaming import index
 from . import bindings as B
 from . import retrieve
@@ -452,6 +449,29 @@ def hierarchy_schema(spark, sf) -> DataFrame:
     return ontology.path_edges(_paths(spark, sf)).select("parent", "child", "support", "depth", F.array_join("examples", ",").alias("examples"))
 
 
+def _entity_paths(spark, sf) -> DataFrame:
+    return _paths(spark, sf).select(F.col("entity").alias("entity_id"), "path")
+
+
+_PATHS = "pa AS (SELECT c_name AS entity_id, r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), st AS (SELECT DISTINCT unnest(['Entity', r_name, n_name]) AS parent, unnest([r_name, n_name, c_mktsegment]) AS child FROM pa), cl AS (SELECT DISTINCT entity_id, unnest(['Entity', r_name, n_name, c_mktsegment]) AS class, unnest([false, false, false, true]) AS leaf FROM pa)"
+
+
+@query("hierarchy_maps", f"WITH {_PATHS}, m AS (SELECT 'parent_to_children' AS kind, parent AS name, child AS m FROM st UNION SELECT 'child_to_parents', child, parent FROM st UNION SELECT 'class_to_entities', class, entity_id FROM cl UNION SELECT 'leaf_class_to_entities', class, entity_id FROM cl WHERE leaf) SELECT kind, name, count(*) AS n, md5(string_agg(m, ',' ORDER BY m)) AS members FROM m GROUP BY kind, name")
+def hierarchy_maps(spark, sf) -> DataFrame:
+    return artifacts.hierarchy_maps(_entity_paths(spark, sf)).select("kind", "name", F.size("members").cast("bigint").alias("n"), F.md5(F.array_join("members", ",")).alias("members"))
+
+
+@query("hierarchy_counts", f"WITH {_PATHS} SELECT (SELECT count(DISTINCT entity_id) FROM pa) AS num_entities, (SELECT count(DISTINCT class) FROM cl) AS num_classes, (SELECT count(DISTINCT parent) FROM st) AS num_parent_classes, (SELECT count(DISTINCT child) FROM st) AS num_child_classes")
+def hierarchy_counts(spark, sf) -> DataFrame:
+    return artifacts.hierarchy_counts(_entity_paths(spark, sf))
+
+
+@query("usable_classes", f"WITH c(raw, canonical, pos) AS ({_values(CANONICAL)}), n AS (SELECT p_partkey AS entity_id, unnest([0, 1, 2]) AS pos, unnest([' place. ', p_type, 'PLACE']) AS name FROM part), k AS (SELECT entity_id, pos, coalesce((SELECT canonical FROM c WHERE raw = t), (SELECT canonical FROM c WHERE lower(raw) = lower(t) ORDER BY c.pos LIMIT 1), t) AS canonical FROM (SELECT entity_id, pos, trim(name, ' .') AS t FROM n)), f AS (SELECT entity_id, lower(canonical) AS l, min(pos) AS pos, arg_min(canonical, pos) AS canonical FROM k GROUP BY ALL) SELECT entity_id, string_agg(canonical, ',' ORDER BY pos) AS classes FROM f GROUP BY entity_id")
+def usable_classes(spark, sf) -> DataFrame:
+    rows = B.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.array(F.lit(" place. "), "p_type", F.lit("PLACE")).alias("classes"))
+    return artifacts.usable_classes(rows, spark.createDataFrame(list(CANONICAL), "raw string, canonical string, pos int")).select("entity_id", F.array_join("classes", ",").alias("classes"))
+
+
 @query("dag_filter")
 def dag_filter(spark, sf) -> DataFrame:
     """Paths of parts, reversed for even keys, so that cycles arise; edges are one a class pair."""
@@ -487,8 +507,7 @@ def evaluate_contain(spark, sf) -> DataFrame:
 
 @query("stream_index", "SELECT count(*) AS passages, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT text FROM documents)")
 def stream_index(spark, sf) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evigraph-stream-")
-    work = f"{base}/stream-{uuid.uuid4().hex}"
+    work = index.work_folder(spark)
     stream = index.passages(spark, f"{sf}/documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
     out = index.run_available(stream, f"{work}/table", f"{work}/checkpoint")
     return out.agg(F.count("*").alias("passages"), F.sum(F.length("text")).alias("chars"))

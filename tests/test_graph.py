@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.config import Config
 from evigraph.operators import annotate, corpus, ontology, qa, retrieval, substring
 from evigraph.plans import retrieve
-from evigraph.sources import seams, store
+from evigraph.sources import artifacts, seams, store
 from evigraph.streaming import index
 
 
@@ -202,3 +202,19 @@ def test_stream(spark, tmp_path):
             frame(spark, extra, "doc_id bigint, text string").write.mode("append").parquet(f"{tmp_path}/in")
         out = index.run_available(index.passages(spark, f"{tmp_path}/in", "doc_id bigint, text string"), f"{tmp_path}/out", f"{tmp_path}/cp")
         assert sorted(r["text"] for r in out.collect()) == sorted({t for _, t in rows + extra})
+
+
+def test_artifacts(spark, tmp_path):
+    (tmp_path / "classes.json").write_text('{"e1": {"entity": "Ada", "classes": ["person", "Person.", ""]}, "e2": {"entity": "X", "classes": []}, "e3": {"entity": "Y", "classes": null}}')
+    rows = artifacts.entity_classes(spark, str(tmp_path / "classes.json"))
+    assert rows.count() == 3 and artifacts.entity_classes(spark, str(tmp_path / "none.json")).count() == 0
+    state = schema({("Location", "Place"): "EQUIVALENT", ("Place", "City"): "A_PARENT_B", ("A", "B"): "RELATED"}, [("Place", 9), ("Location", 8), ("City", 7), ("A", 3), ("B", 2)])
+    artifacts.write_schema_state(state, str(tmp_path / "state.json"))
+    canonical, subclass, related = artifacts.schema_state(spark, str(tmp_path / "state.json"))
+    assert {r["raw"]: r["canonical"] for r in canonical.collect()}["Location"] == "Place"
+    assert [tuple(r) for r in subclass.collect()] == [("Place", "City")] and sorted(map(tuple, related.collect())) == [("A", "B"), ("B", "A")]
+    assert all(t.count() == 0 for t in artifacts.schema_state(spark, str(tmp_path / "none.json")))
+    names = frame(spark, [("person", "Person", 0)], "raw string, canonical string, pos int")
+    assert [tuple(r) for r in artifacts.usable_classes(rows, names).collect()] == [("e1", ["Person"])]
+    artifacts.write_entity_classes(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 3

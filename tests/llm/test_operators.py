@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evigraph.llm import bpe, decontaminate, imatch, language, ngramlm, pii, quality, redirects, simhash, toxicity
 from evigraph.llm.common import SpanHasher, components, runs
@@ -180,7 +181,7 @@ def test_language(spark):
 
 
 def test_redirects(spark):
-    page = lambda canonical="", refresh="": f"<html>{f'<link rel={canonical!r} href={chr(34)}X{chr(34)}>' if 0 else ''}" + (f'<link rel="canonical" href="{canonical}">' if canonical else "") + (f"<META HTTP-EQUIV='refresh' content='0; URL={refresh}'>" if refresh else "") + "</html>"
+    page = lambda canonical="", refresh="": "<html>" + (f'<link rel="canonical" href="{canonical}">' if canonical else "") + (f"<META HTTP-EQUIV='refresh' content='0; URL={refresh}'>" if refresh else "") + "</html>"
     rows = [
         (1, "http://a.example.org/en/1", page("https://b.example.net/es/2")),  # alias of a blocked url
         (2, "https://a.example.org/en/1#frag", page()),  # same node
@@ -203,7 +204,7 @@ def test_redirects(spark):
     assert got[8] == ("evilexample.com", "", None, "allow") and got[9] == ("", "", None, "allow") and got[10] == ("", "", None, "allow")
     assert got[11][3] == "allow" and got[12] == ("x.net", "/fr", None, "block")
     assert redirects.judge(frame(spark, [], "page_id bigint, url string, html string")).count() == 0
-    df = frame(spark, rows, "page_id bigint, url string, html string").select("page_id", redirects.host_of("url" if False else __import__("pyspark").sql.functions.col("url")).alias("host"), redirects.path_of(__import__("pyspark").sql.functions.col("url")).alias("path"))
+    df = frame(spark, rows, "page_id bigint, url string, html string").select("page_id", redirects.host_of(F.col("url")).alias("host"), redirects.path_of(F.col("url")).alias("path"))
     few, many = (sorted(map(str, redirects.ruled(df, redirects.RULES, n).select("page_id", "rule", "action").collect())) for n in (256, 0))
     assert few == many
 

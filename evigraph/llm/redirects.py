@@ -84,9 +84,12 @@ def judge(pages: DataFrame, links: DataFrame | None = None, rules: Sequence[Rule
     blocked = ruled(ends, rules).filter("action = 'block'").select("node").distinct()
     bad = group.join(blocked, "node").select("component").distinct()
     aliases = group.join(bad, "component").select(F.col("node").alias("alias")).distinct()
-    page = page.withColumn("node", F.when((F.col("host") != "") & F.col("rule").isNull(), F.xxhash64(node_of(F.col("url")))))
-    out = page.join(aliases, page["node"] == aliases["alias"], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(F.col("alias").isNotNull(), "block").otherwise("allow")).alias("verdict"))
+    # only pages that the component decides meet it; the others would share one empty key
+    open_ = (F.col("host") != "") & F.col("rule").isNull()
+    decided = page.filter(~open_).select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))
+    asked = page.filter(open_).withColumn("node", F.xxhash64(node_of(F.col("url"))))
+    found = asked.join(aliases, asked["node"] == aliases["alias"], "left")
+    return decided.unionByName(found.select("page_id", "host", "path", "rule", F.when(F.col("alias").isNotNull(), "block").otherwise("allow").alias("verdict")))
 
 
 def op3_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         where = current.get() if current.isDefined() else None
     if not where:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="evigraph-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -70,10 +70,6 @@ def sample_by_class(df: DataFrame, key: str, per_class: int, salt: str) -> DataF
     return df.filter(keep)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 # ---------------------------------------------------------------- Arrow and numpy side
 
 

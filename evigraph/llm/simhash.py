@@ -166,10 +166,10 @@ def deduplicate(docs: DataFrame, width: int = 3, distance: int = 3, **index) ->
     best = _grouped(fps, distance, **index).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
     best = cut(best)
     repeated = fps.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
-    keyed = docs.withColumns({"_hash": F.xxhash64("text")})
+    keyed = docs.withColumns({"__text_hash": F.xxhash64("text")})
     on = F.coalesce(keyed["doc_id"].cast("bigint"), F.lit(-(1 << 62))) == F.coalesce(best["keep_id"], F.lit(-(1 << 62)))
-    kept = keyed.join(best, on & (keyed["_hash"] == best["keep_hash"]), "left_semi")
-    return (kept if repeated else kept.dropDuplicates(["doc_id", "_hash"])).drop("_hash")
+    kept = keyed.join(best, on & (keyed["__text_hash"] == best["keep_hash"]), "left_semi")
+    return (kept if repeated else kept.dropDuplicates(["doc_id", "__text_hash"])).drop("__text_hash")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

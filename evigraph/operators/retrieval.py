@@ -209,9 +209,10 @@ def pagerank(edges: DataFrame, reset: DataFrame, config: Config, changed: DataFr
     reset: qid, node, weight.  changed: qid, src, dst, weight replaces edges for a question.  A graph of at most
     `broadcast_limit` edges is counted, sent to the tasks and iterated question by question; a larger one is iterated by joins.
     """
-    if edges.limit(config.broadcast_limit + 1).count() > config.broadcast_limit:
+    edges = cut(edges.select("src", "dst", "weight"))
+    if edges.count() > config.broadcast_limit:
         return _pagerank_joins(edges, reset, config, changed)
-    pdf = edges.select("src", "dst", "weight").toPandas()
+    pdf = edges.toPandas()
     names, codes = np.unique(np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]).astype(str), return_inverse=True) if len(pdf) else (np.zeros(0, "U1"), np.zeros(0, int))
     m = len(pdf)
     shared = edges.sparkSession.sparkContext.broadcast((names, codes[:m].astype(np.int32), codes[m:].astype(np.int32), pdf["weight"].to_numpy(np.float64)))

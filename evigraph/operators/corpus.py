@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, occurrences
+from ..functions.text import content_id
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
 ENTITY = "[A-Za-z]{8,}"
@@ -41,9 +44,27 @@ def named(found: DataFrame) -> DataFrame:
 
 
 def passage_entities(texts: DataFrame, key: str, pattern: str = ENTITY) -> DataFrame:
-    """key, entity, n: the distinct entities of each text and how often each occurs in it as a substring."""
-    found = texts.select(key, "text", F.explode(entities_of(F.col("text"), pattern)).alias("entity"))
-    return found.select(key, "entity", occurrences(F.col("text"), F.col("entity")).alias("n"))
+    """key, entity, n: the distinct entities of each text and how often each occurs in it as a substring.
+
+    Counted in Arrow batches: a column expression would copy the text once for each of its entities.
+    """
+    kind = dict(texts.dtypes)[key]
+    find = re.compile(pattern).findall
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows, names, counts = [], [], []
+                for i, t in enumerate(part.column(1)):
+                    text = t.as_py() or ""
+                    for e in dict.fromkeys(find(text)):
+                        rows.append(i)
+                        names.append(e)
+                        counts.append(text.count(e))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int64())], [key, "entity", "n"])
+
+    return texts.select(key, "text").mapInArrow(run, f"`{key}` {kind}, entity string, n bigint")
 
 
 def sentence_entities(texts: DataFrame, key: str, pattern: str = ENTITY) -> DataFrame:

@@ -221,21 +221,33 @@ def pagerank(edges: DataFrame, reset: DataFrame, config: Config, changed: DataFr
     if changed is not None:
         rows = rows.unionByName(changed.select("qid", "src", "dst", "weight"))
 
+    def locate(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(ordered):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+        return at, ordered[at] == wanted
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, a, b, w = shared.value
         extra = pdf[pdf["dst"].notna()]
         start = pdf[pdf["dst"].isna()]
-        every = np.unique(np.concatenate([names, start["src"].to_numpy(object).astype(str)]))
-        at = np.searchsorted(every, names)
-        a, b, w = at[a], at[b], w.copy()
-        if len(extra):
-            pair = {(x, y): i for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True))}
-            for s, t, x in zip(np.searchsorted(every, extra["src"].to_numpy(object).astype(str)), np.searchsorted(every, extra["dst"].to_numpy(object).astype(str)), extra["weight"], strict=True):
-                i = pair.get((int(s), int(t)), pair.get((int(t), int(s))))
-                if i is not None:
-                    w[i] = x
+        begin = start["src"].to_numpy(object).astype(str)
+        place, known = locate(names, begin)
+        new, rank = np.unique(begin[~known], return_inverse=True)  # nodes without edges
+        place[~known] = len(names) + rank
+        every = np.concatenate([names, new])
         n = len(every)
-        r = np.bincount(np.searchsorted(every, start["src"].to_numpy(object).astype(str)), start["weight"], n)
+        if len(extra) and len(w):
+            s, ok_s = locate(names, extra["src"].to_numpy(object).astype(str))
+            t, ok_t = locate(names, extra["dst"].to_numpy(object).astype(str))
+            code = a.astype(np.int64) * n + b
+            order = np.argsort(code, kind="stable")
+            w = w.copy()
+            for x, y in ((s, t), (t, s)):
+                at, hit = locate(code[order], x * n + y)
+                hit &= ok_s & ok_t
+                w[order[at[hit]]] = extra["weight"].to_numpy()[hit]
+        r = np.bincount(place, start["weight"], n)
         if r.sum() <= 0:
             return pd.DataFrame({"qid": np.zeros(0, np.int64), "node": np.zeros(0, object), "score": np.zeros(0)})
         r = r / r.sum()

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,10 +213,15 @@ def pagerank(edges: DataFrame, reset: DataFrame, config: Config, changed: DataFr
     edges = cut(edges.select("src", "dst", "weight"))
     if edges.count() > config.broadcast_limit:
         return _pagerank_joins(edges, reset, config, changed)
-    pdf = edges.toPandas()
-    names, codes = np.unique(np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]).astype(str), return_inverse=True) if len(pdf) else (np.zeros(0, "U1"), np.zeros(0, int))
-    m = len(pdf)
-    shared = edges.sparkSession.sparkContext.broadcast((names, codes[:m].astype(np.int32), codes[m:].astype(np.int32), pdf["weight"].to_numpy(np.float64)))
+    table = edges.toArrow()
+    m = table.num_rows
+    both = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    names = np.array(both.dictionary.to_pylist(), str) if m else np.zeros(0, "U1")
+    order = np.argsort(names)
+    rank = np.empty(len(names), np.int32)
+    rank[order] = np.arange(len(names), dtype=np.int32)
+    names, codes = names[order], rank[both.indices.to_numpy()]
+    shared = edges.sparkSession.sparkContext.broadcast((names, codes[:m], codes[m:], table["weight"].to_numpy().astype(np.float64)))
     d, rounds = config.damping, config.ppr_iterations
     rows = reset.select("qid", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), "weight")
     if changed is not None:

@@ -45,13 +45,13 @@ def _term_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "slots"])
 
 
-def train(x: np.ndarray, y: np.ndarray, start: np.ndarray, weight: np.ndarray, rank: int = 4, steps: int = 200, rate: float = 0.02, decay: float = 1e-5, seed: int = 3) -> tuple:
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: int = 4, steps: int = 200, rate: float = 0.02, decay: float = 1e-5, seed: int = 3) -> tuple:
     """Bias, linear weights and factors (variables x rank) by full-batch Adam on the weighted logistic loss.
 
-    `start`: linear weights to begin with, the terms' log-odds."""
+    Linear weights start at zero: begun with the terms' log-odds, texts with many weak terms are flagged."""
     rng = np.random.default_rng(seed)
     n, f = x.shape
-    w0, w, v = np.float32(np.log((weight * y).sum() / (weight * (1 - y)).sum())), start.astype(np.float32), rng.normal(0, 0.02, (f, rank)).astype(np.float32)
+    w0, w, v = np.float32(np.log((weight * y).sum() / (weight * (1 - y)).sum())), np.zeros(f, np.float32), rng.normal(0, 0.02, (f, rank)).astype(np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1, np.float32), w, v)]
     weight = (weight / weight.sum()).astype(np.float32)
     for t in range(1, steps + 1):
@@ -69,7 +69,7 @@ def train(x: np.ndarray, y: np.ndarray, start: np.ndarray, weight: np.ndarray, r
     return float(w0), w, v
 
 
-def fit(rows: DataFrame, per_class: int = 1200, variables: int = 768, rank: int = 4) -> tuple | None:
+def fit(rows: DataFrame, per_class: int = 4000, variables: int = 768, rank: int = 4) -> tuple | None:
     """(slot -> variable or -1, bias, weights, factors) from at most about `per_class` whole documents of each label.
 
     `rows`: doc_id, text, y (0 or 1).  Label counts over all rows set the prior.  None when no label is there; with a single
@@ -98,8 +98,7 @@ def fit(rows: DataFrame, per_class: int = 1200, variables: int = 768, rank: int
     for i, s in enumerate(sets):
         k = table[s]
         x[i, k[k >= 0]] = 1
-    odds = np.log((df1[chosen] + 1) / (df0[chosen] + 1) * (n0 / n1))
-    w0, w, v = train(x, y, np.clip(odds, -0.5, 4), np.where(y > 0, count[1] / n1, count[0] / n0).astype(np.float32), rank)
+    w0, w, v = train(x, y, np.where(y > 0, count[1] / n1, count[0] / n0).astype(np.float32), rank)
     return table, w0, w, v
 
 

@@ -1,15 +1,16 @@
 """Personal data: base patterns, and contextual patterns bootstrapped from what those find.
 
 Base matches are the seeds.  Every identifier-like string (seed or not) is an instance; the words beside it, together with
-its shape, are its lexical patterns.  Spark scores the pattern-instance graph iteratively: a pattern's confidence is the
+its shape, are its lexical patterns, and so is the shape alone where the string by itself is a base match (a base pattern
+takes a phone and the card after it as one match, which its digit count then drops).  Spark scores the pattern-instance graph iteratively: a pattern's confidence is the
 share of its distinct instances that are personal data, an unknown instance's score the best confidence among its
 patterns.  Patterns that several seeds support and whose confidence is high mark further instances in whole texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 IDENTIFIER = re.compile(r"[0-9@]")
 NOT_DIGIT = re.compile(r"[^0-9]")
+WORD = re.compile(r"[^ ]+")
 BLANKS = " \t\n\r\x0b\x0c"
 BLANK = re.compile(r"[ \t-\r]")
 EDGES = ".,;:!?()[]{}\"'|<>"
@@ -81,11 +83,38 @@ def _word(s: str) -> str:
     return re.sub(r"[0-9]+", "9", s.strip(EDGES).lower())
 
 
+def parts_of_dropped(text: str) -> list[tuple[int, int]]:
+    """Phone matches with too many digits: the shortest part up to a blank that is a phone, and the rest if it is a card."""
+    out = []
+    for m in PHONE.finditer(text) if "+" in text else ():
+        if len(NOT_DIGIT.sub("", m.group())) <= 15:
+            continue
+        n = 0
+        for word in WORD.finditer(text, m.start(), m.end()):
+            n += len(NOT_DIGIT.sub("", word.group()))
+            if n > 15:
+                break
+            end = word.end()
+            if n >= 10 and text[end - 1] in "0123456789":
+                out.append((m.start(), end))
+                rest = m.end() - len(text[end : m.end()].lstrip())
+                if base_spans(text[rest : m.end()]) == [(0, m.end() - rest, 2)]:
+                    out.append((rest, m.end()))
+                break
+    return out
+
+
 def candidates(text: str, spans: list[Span], reach: int = 160) -> list[tuple[int, int, int]]:
     """Seeds and identifier-like strings beside them: (start, end, kind, or -1 where unknown).
 
     A string between blanks without its edge punctuation: an @ or three digits at least, 5 to 128 characters.
     """
+    more = []
+    for a, b in parts_of_dropped(text):
+        i = bisect_left(spans, (b,))
+        if not any(s[1] > a for s in spans[max(0, i - 8) : i]):
+            more.append((a, b, -1))
+    spans = sorted(spans + more)
     out, last, k = list(spans), 0, 0
     for m in IDENTIFIER.finditer(text):
         i = m.start()
@@ -112,11 +141,13 @@ def candidates(text: str, spans: list[Span], reach: int = 160) -> list[tuple[int
 
 
 def patterns(text: str, start: int, end: int) -> list[int]:
-    """Keys of the lexical patterns around a span: word before, word after, both, each with the span's shape."""
+    """Keys of a span's lexical patterns: its shape if it is a base match by itself, both words beside it, the word before,
+    the word after, each with the shape."""
     before, after = text[max(0, start - 48) : start].split(), text[end : end + 48].split()
     left, right = _word(before[-1]) if before else "^", _word(after[0]) if after else "$"
-    form = shape(text[start:end])
-    return [_key(f"L|{form}|{left}"), _key(f"R|{form}|{right}"), _key(f"B|{form}|{left}|{right}")]
+    form, alone = shape(text[start:end]), text[start:end]
+    whole = [_key(f"F|{form}|{KINDS[k]}") for a, b, k in base_spans(alone) if b - a == len(alone)]
+    return [*whole, _key(f"B|{form}|{left}|{right}"), _key(f"L|{form}|{left}"), _key(f"R|{form}|{right}")]
 
 
 def _key(s: str) -> int:

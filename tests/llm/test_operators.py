@@ -276,6 +276,22 @@ def test_bootstrapping(spark):
     assert clean[47] == "server host <IP> down" and clean[78] == texts[78]
 
 
+def test_adjacent_identifiers(spark):
+    """A phone and the card after it are one base match, dropped for its digits; both are found by their shape."""
+    rng, rows = random.Random(13), []
+    for i in range(12):
+        digits = f"45{rng.randrange(10**13):013d}"
+        card = next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+        rows += [f"w{i} +1 (2{i:02d}) 555-1{i:03d} and so", f"v{i} card {card} end", f"u{i} card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} end"]
+    wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+    rows += [f"x +1 (269) 555-3296 {card} y", f"x +1 (269) 555-3297 {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} y", f"x +1 (269) 555-3298 {wrong} y", "x +" + "1 " * 3000]
+    docs = frame(spark, list(enumerate(rows)))
+    got = {r["doc_id"]: (r["base"], [(s["start"], s["end"], s["kind"]) for s in r["found"]]) for r in pii.find(docs, pii.learn(docs)).collect()}
+    assert got[36] == ([], [(2, 19, "phone"), (20, 36, "card")])
+    assert got[37] == ([], [(2, 19, "phone"), (20, 39, "card")])
+    assert got[38] == ([], [(2, 19, "phone")])
+
+
 def test_pii_edge_cases(spark):
     docs = odd_docs(spark).withColumnRenamed("fingerprint", "found")
     out = pii.redact(docs, pii.learn(docs))

@@ -56,12 +56,12 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def sample_by_class(df: DataFrame, key: str, per_class: int, salt: str) -> DataFrame:
+def sample_by_class(df: DataFrame, key: str, per_class: int, salt: str, counts: dict | None = None) -> DataFrame:
     """About per_class rows of each value of `key`, chosen by a hash of doc_id; all rows of smaller classes.
 
     One counting aggregate and one threshold test, so a class that holds most rows is neither sorted nor gathered.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(key).count().collect()}
+    counts = counts or {r[0]: r[1] for r in df.groupBy(key).count().collect()}
     unit = (F.xxhash64(F.lit(salt), F.col("doc_id")).cast("double") / F.lit(2.0**64)) + F.lit(0.5)
     keep = F.lit(False)
     for value, n in counts.items():

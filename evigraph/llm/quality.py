@@ -16,6 +16,7 @@ from .common import LOWER, SPACE, SpanHasher, buffers, chunks, documents, remain
 from .linear import hinge_dual, platt, sigmoid
 
 BITS = 13
+PER_CLASS = 1500
 ORDERS = (2, 3, 4)
 KIND = np.arange(256, dtype=np.uint8)
 KIND[97:123] = 97
@@ -67,14 +68,15 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "bits"])
 
 
-def fit(rows: DataFrame, per_class: int = 1500, smooth: float = 1.0) -> tuple | None:
+def fit(rows: DataFrame, counts: dict | None = None, per_class: int = PER_CLASS, smooth: float = 1.0) -> tuple | None:
     """(weights, offset) from at most about `per_class` whole documents of each label of `rows` (doc_id, text, y: 0 or 1).
 
-    The bound keeps the driver's share fixed (a kilobyte a document).  Label counts over all rows set the prior.  With
-    only one label, the score is constant; without any, None.
+    The bound keeps the driver's share fixed (a kilobyte a document).  Label counts over all rows set the prior; given
+    `counts`, `rows` is their sample.  With only one label, the score is constant; without any, None.
     """
-    count = {r[0]: r[1] for r in rows.groupBy("y").count().collect() if r[0] in (0, 1)}
-    some = sample_by_class(rows, "y", per_class, "quality")
+    all_rows = counts is None
+    count = {r[0]: r[1] for r in rows.groupBy("y").count().collect() if r[0] in (0, 1)} if all_rows else counts
+    some = sample_by_class(rows, "y", per_class, "quality") if all_rows else rows
     got = some.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(_packed, "doc_id bigint, y int, bits binary").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(np.float64)
     if not len(y):
@@ -117,14 +119,20 @@ def score(docs: DataFrame, model: tuple | None, threshold: float = 0.7) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int) -> DataFrame:
-    """doc_id, text, y of the documents that may be learnt from.  Equal ids in `labels` are one row (the largest label)."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, salt: str) -> tuple[DataFrame, dict]:
+    """Rows to learn from (doc_id, text, y: about `per_class` documents of each label) and the label counts of all of them.
+
+    Equal ids in `labels` are one row (the largest label).  The sample is drawn from ids alone and, bounded by `per_class`,
+    is broadcast: no text is shuffled.
+    """
     y = labels.filter(remainder(F.col("doc_id"), mod) != held).filter(f"{label} in (0, 1)").groupBy("doc_id").agg(F.max(label).alias("y"))
-    return docs.select("doc_id", "text").join(y, "doc_id")
+    known = y.join(docs.select("doc_id"), "doc_id", "left_semi")
+    counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    return docs.select("doc_id", "text").join(F.broadcast(sample_by_class(known, "y", per_class, salt, counts)), "doc_id"), counts
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(labelled(docs, labels, "quality", 4, 2))
+    model = fit(*labelled(docs, labels, "quality", 4, 2, PER_CLASS, "quality"))
     return score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), model)

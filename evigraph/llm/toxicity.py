@@ -16,6 +16,7 @@ from .linear import sigmoid
 from .quality import labelled
 
 BITS = 20
+PER_CLASS = 4000
 STEMS = (4, 5)
 
 
@@ -69,14 +70,15 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: int = 4, steps
     return float(w0), w, v
 
 
-def fit(rows: DataFrame, per_class: int = 4000, variables: int = 768, rank: int = 4) -> tuple | None:
+def fit(rows: DataFrame, counts: dict | None = None, per_class: int = PER_CLASS, variables: int = 768, rank: int = 4) -> tuple | None:
     """(slot -> variable or -1, bias, weights, factors) from at most about `per_class` whole documents of each label.
 
-    `rows`: doc_id, text, y (0 or 1).  Label counts over all rows set the prior.  None when no label is there; with a single
-    label the score is constant.
+    `rows`: doc_id, text, y (0 or 1).  Label counts over all rows set the prior; given `counts`, `rows` is their sample.
+    None when no label is there; with a single label the score is constant.
     """
-    count = {r[0]: r[1] for r in rows.groupBy("y").count().collect() if r[0] in (0, 1)}
-    some = sample_by_class(rows, "y", per_class, "toxicity")
+    all_rows = counts is None
+    count = {r[0]: r[1] for r in rows.groupBy("y").count().collect() if r[0] in (0, 1)} if all_rows else counts
+    some = sample_by_class(rows, "y", per_class, "toxicity") if all_rows else rows
     got = some.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(_term_sets, "doc_id bigint, y int, slots array<int>").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(np.float32)
     if not len(y):
@@ -137,5 +139,5 @@ def score(docs: DataFrame, model: tuple | None, threshold: float = 0.7) -> DataF
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(labelled(docs, labels, "toxic", 3, 1))
+    model = fit(*labelled(docs, labels, "toxic", 3, 1, PER_CLASS, "toxicity"))
     return score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text"), model)

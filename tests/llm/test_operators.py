@@ -119,6 +119,34 @@ def test_near_duplicates_edge_cases(spark):
     assert ids.count((False, 3)) == 1 and (False, 12) not in ids and (True, 0) in ids
 
 
+@pytest.mark.parametrize("search", [{}, {"limit": 0, "least": 0, "rounds": 3}])
+def test_deduplicate_jaccard(spark, search):
+    """Edited copies against brute force over five-word shingles; with leaders (on few rows only where asked) as without."""
+    rng, texts = random.Random(14), []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 300))]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            copy = list(base)
+            for j in rng.sample(range(len(copy)), rng.randrange(1, max(2, len(copy) // 30))):
+                copy[j] = "Edited"
+            texts.append("  ".join(copy).upper() if rng.random() < 0.3 else " ".join(copy))
+    texts += ["a b", "A  b", "a b c", "", None]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in texts]
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3 for i, j in near) > len(near) // 4
+    root = reach(near)
+    want = {i for i in range(len(texts)) if root.get(i, i) == i}
+    assert {r["doc_id"] for r in simhash.deduplicate(frame(spark, rows), **search).collect()} == want
+
+
 # ---------------------------------------------------------------- 2, 5, 8
 
 

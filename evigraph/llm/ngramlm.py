@@ -335,6 +335,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def op7_ngramlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    model = train(docs.filter(remainder(F.col("doc_id"), 7) != 2))
+    model = train(docs.filter(remainder(F.col("doc_id"), 7) != 2), min_count=1)
     rows = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text"), model)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")

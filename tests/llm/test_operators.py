@@ -380,6 +380,31 @@ def test_language_model(spark):
     assert ngramlm.score(df, empty).filter("n_known > 0").count() == 0
 
 
+def test_language_model_keeps_single_pairs(spark, tmp_path):
+    """Every pair below is seen once; scores follow from all of them."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    out = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, f"a{i} b{i} c{i}") for i in ids] + [(out, f"a{ids[0]} b{ids[0]} c{ids[1]}")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in ngramlm.op7_ngramlm(spark, str(tmp_path)).collect()}
+    uni, bi = Counter(), Counter()
+    for _, t in rows[:-1]:
+        s = [*t.split(), "</s>"]
+        uni.update(s)
+        bi.update(zip(["<s>", *s], s))
+    n, v, full = sum(uni.values()), len(uni), Counter(uni) + Counter({"<s>": len(ids)})
+    mass = Counter()
+    for (u, _), c in bi.items():
+        mass[u] += c
+
+    def p(u, w):
+        return (bi[u, w] + (full[u] + 2.0 - mass[u]) * (uni[w] + 1) / (n + v + 1)) / (full[u] + 2.0)
+
+    for i, t in rows:
+        s = [*t.split(), "</s>"]
+        assert math.isclose(got[i]["score"], sum(math.log10(p(u, w)) for u, w in zip(["<s>", *s], s)), abs_tol=2e-4 * len(s))
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -3,8 +3,8 @@
 Base matches are the seeds.  Every identifier-like string (seed or not) is an instance; the words beside it, together with
 its shape, are its lexical patterns, and so is the shape alone where the string by itself is a base match (a base pattern
 takes a phone and the card after it as one match, which its digit count then drops).  Spark scores the pattern-instance graph iteratively: a pattern's confidence is the
-share of its distinct instances that are personal data, an unknown instance's score the best confidence among its
-patterns.  Patterns that several seeds support and whose confidence is high mark further instances in whole texts.
+share of one kind among its known instances.  Patterns that several known instances support and whose confidence is high make
+their other instances known, which support further patterns, until no new one appears; they mark instances in whole texts.
 """
 
 from __future__ import annotations
@@ -170,19 +170,28 @@ def _edges(batches):
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(i, pa.int64()), pa.array(list(seen.values()), pa.int32())], ["pattern", "instance", "kind"])
 
 
-def learn(docs: DataFrame, rounds: int = 3, confidence: float = 0.75, support: int = 3) -> DataFrame:
-    """(pattern, kind, confidence, seeds) of the patterns that `support` seeds back and that reach `confidence`."""
+def learn(docs: DataFrame, rounds: int | None = None, confidence: float = 0.75, support: int = 3) -> DataFrame:
+    """(pattern, kind, confidence, seeds) of the patterns that `support` seeds back and that reach `confidence`.
+
+    Instances that a learnt pattern finds are seeds of the next round, until a round finds none (or for `rounds` rounds).
+    Confidence is k / (known + 1), for k of the pattern's known instances; what is still unknown does not count against it.
+    """
     edges = cut(docs.select("text").mapInArrow(_edges, "pattern bigint, instance bigint, kind int").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    known = cut(seeds.join(size, "pattern"))
-    score = cut(known.select("pattern", "kind", "seeds", "n", (F.col("seeds") / (F.col("n") + 1)).alias("confidence")))
-    unknown = edges.filter("kind < 0").select("pattern", "instance")
-    for _ in range(rounds):
-        best = unknown.join(score, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("s"))
-        mass = unknown.join(best, "instance").groupBy("pattern", "kind").agg(F.sum("s").alias("mass"))
-        score = cut(known.join(mass, ["pattern", "kind"], "left").select("pattern", "kind", "seeds", "n", ((F.col("seeds") + F.coalesce("mass", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence")))
-    return score.filter(F.col("confidence") >= confidence).select("pattern", "kind", "confidence", "seeds")
+    known = cut(edges.filter("kind >= 0").groupBy("instance").agg(F.max("kind").alias("kind")))
+    edges, turn = edges.select("pattern", "instance"), 0
+    while True:
+        counts = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+        size = counts.groupBy("pattern").agg(F.sum("seeds").alias("n"))
+        score = counts.filter(F.col("seeds") >= support).join(size, "pattern").withColumn("confidence", F.col("seeds") / (F.col("n") + 1))
+        score = cut(score.filter(F.col("confidence") >= confidence).select("pattern", "kind", "confidence", "seeds"))
+        turn += 1
+        if rounds is not None and turn >= rounds:
+            return score
+        new = edges.join(score, "pattern").join(known, "instance", "left_anti").groupBy("instance").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+        new = cut(new)
+        if new.isEmpty():
+            return score
+        known = cut(known.unionByName(new))
 
 
 def find(docs: DataFrame, learnt: DataFrame | None = None, block: int = 1 << 18) -> DataFrame:

@@ -304,6 +304,18 @@ def test_bootstrapping(spark):
     assert clean[47] == "server host <IP> down" and clean[78] == texts[78]
 
 
+def test_bootstrapping_two_hops_and_many_unknown(spark):
+    """A context whose only seeds a learnt pattern found is learnt too; three seeds serve however many strings are unknown."""
+    texts = [f"gateway node 10.1.0.{i} up" for i in range(3)] + [f"gateway node 10.1.0.{i} up" for i in range(900, 960)]  # m = 60, k = 3
+    texts += [f"router spare 10.1.0.{i} idle" for i in range(900, 905)] + ["router spare 10.1.0.999 idle"]  # second hop
+    texts += ["elsewhere 10.1.0.998 lies", "the year 12345 was good"]
+    docs = frame(spark, list(enumerate(texts)))
+    found = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["found"]] for r in pii.find(docs, pii.learn(docs)).collect()}
+    assert all(found[i] == [(13, 23, "ip")] for i in range(3, 63))
+    assert all(found[i] == [(13, 23, "ip")] for i in range(63, 69))
+    assert found[69] == [] and found[70] == []
+
+
 def test_adjacent_identifiers(spark):
     """A phone and the card after it are one base match, dropped for its digits; both are found by their shape."""
     rng, rows = random.Random(13), []

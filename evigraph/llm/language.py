@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LETTER, buffers, chunks, documents, lower_latin, remainder, sample_by_class
-from .linear import hinge_dual, sigmoid
+from .linear import Sparse, hinge_dual, sigmoid
 
 #: Language families; a language that is not listed is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance", "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic"}
@@ -54,10 +54,12 @@ def _profiles(batches):
 
 
 class Model:
-    """Weights (slots + 1, machines); machine names are ("family", f) or ("pair", a, b)."""
+    """Weights (slots + 1, machines); machine names are ("family", f) or ("pair", a, b).
 
-    def __init__(self, langs, family, machines, weights, scale):
-        self.langs, self.family, self.machines, self.weights, self.scale = langs, family, machines, weights, scale
+    `floor`: a confidence that documents of the learnt languages reach (see fit())."""
+
+    def __init__(self, langs, family, machines, weights, scale, floor=0.0):
+        self.langs, self.family, self.machines, self.weights, self.scale, self.floor = langs, family, machines, weights, scale, floor
 
     def predict(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and a confidence for each row of machine margins."""
@@ -98,7 +100,9 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
     """Fits on at most about `per_language` whole documents of each language of `docs` (doc_id, text, lang).
 
-    The bound keeps the driver's share fixed: `per_language` times the number of languages.  None without any label.
+    The bound keeps the driver's share fixed: `per_language` times the number of languages, as sparse profiles.  Null texts
+    and languages are left out; rows of equal doc_id are rows.  None without any label, so for an empty table.
+    Model.floor is half of the way from indecision (0.5) to the least confidence that the sample itself has.
     """
     some = sample_by_class(docs.filter("lang is not null and text is not null"), "lang", per_language, "language")
     got = some.select("doc_id", "text", "lang").mapInArrow(_profiles, "doc_id bigint, lang string, idx array<int>, val array<float>").toArrow().sort_by("doc_id")
@@ -106,14 +110,15 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
     langs = sorted(set(labels))
     if not langs:
         return None
-    x = np.zeros((len(labels), 1 << BITS), np.float32)
-    for i, (a, v) in enumerate(zip(got["idx"].to_numpy(), got["val"].to_numpy(), strict=True)):
-        x[i, a] = v
-    del got
-    spread = (1.0 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32)
-    x *= spread
-    size = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
-    x /= size[:, None]
+    width, idx = 1 << BITS, got["idx"].combine_chunks()
+    x = Sparse(idx.flatten().to_numpy(), got["val"].combine_chunks().flatten().to_numpy(zero_copy_only=False).copy(), np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy())]), width)
+    del got, idx
+    spread = (1.0 / np.sqrt(np.bincount(x.idx, x.val, minlength=width) / len(labels) + 1e-6)).astype(np.float32)
+    x.val *= spread[x.idx]
+    row = np.repeat(np.arange(len(labels)), np.diff(x.edge))
+    size = np.maximum(np.sqrt(np.bincount(row, x.val * x.val, minlength=len(labels))), 1e-9)
+    x.val /= size[row].astype(np.float32)
+    del row
     family = {lang: FAMILIES.get(lang, lang) for lang in langs}
     kin = np.array([family[lang] for lang in labels], object)
     names = sorted(set(kin))
@@ -121,10 +126,10 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
 
     def machine(name, rows, y):
         count = np.array([(y < 0).sum(), (y > 0).sum()])
-        w = hinge_dual(x[rows], y, np.where(y > 0, len(y) / 2 / count[1], len(y) / 2 / count[0]), epochs=15)
+        w = hinge_dual(x, y, np.where(y > 0, len(y) / 2 / count[1], len(y) / 2 / count[0]), epochs=15, rows=rows)
         machines.append(name)
         columns.append(w)
-        gaps.append(np.abs(x[rows] @ w) * size[rows])
+        gaps.append(np.abs(x @ w)[rows] * size[rows])
 
     for f in names[:1] if len(names) == 2 else names if len(names) > 2 else []:
         machine(("family", f), np.arange(len(kin)), np.where(kin == f, 1.0, -1.0))
@@ -132,11 +137,16 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
         for a, b in combinations([lang for lang in langs if family[lang] == f], 2):
             rows = np.flatnonzero((labels == a) | (labels == b))
             machine(("pair", a, b), rows, np.where(labels[rows] == a, 1.0, -1.0))
-    weights = np.zeros(((1 << BITS) + 1, max(1, len(machines))), np.float32)
+    weights = np.zeros((width + 1, max(1, len(machines))), np.float32)
     for k, w in enumerate(columns):
         weights[:-1, k] = w * spread
     typical = np.median(np.concatenate(gaps)) if gaps else 1.0
-    return Model(langs, family, machines, weights, 3.0 / max(float(typical), 1e-9))  # a typical margin scores 0.95
+    model = Model(langs, family, machines, weights, 3.0 / max(float(typical), 1e-9))  # a typical margin scores 0.95
+    if columns:
+        best, sure = model.predict(np.stack([(x @ w) * size for w in columns], axis=1))
+        right = sure[np.array(langs, object)[best] == labels]
+        model.floor = 0.5 + (float(right.min()) - 0.5) / 2 if len(right) and right.min() > 0.5 else 0.0
+    return model
 
 
 def _judge(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
@@ -188,23 +198,27 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, model: Model | None, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of `docs`, unchanged, whose language is known ("und" goes), among `languages` if given, with that confidence."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model and vars(model)), docs.columns.index("text")
+def accept(docs: DataFrame, model: Model | None, languages: tuple[str, ...] | None = None, least: float | None = None) -> DataFrame:
+    """The rows of `docs`, unchanged, whose predicted language is one of `languages` (by default every learnt one) with a
+    confidence of `least`, by default the model's floor.
+
+    Nulls and texts without a letter are "und" and go; so do, by the floor, texts that decide for no learnt language.
+    """
+    held = model and vars(model) | {"floor": model.floor if least is None else least}
+    shared, at = docs.sparkSession.sparkContext.broadcast(held), docs.columns.index("text")
 
     def run(batches):
         model = shared.value and Model(**shared.value)
         for batch in batches:
             lang, score = _judge(batch.column(at), model)
-            keep = (lang != "und") & (score >= least)
-            if languages is not None:
-                keep &= np.isin(lang.astype(str), languages)
-            yield batch.filter(pa.array(keep.astype(bool)))
+            keep = np.isin(lang.astype(str), list(languages if languages is not None else model.langs if model else [])) & (lang != "und")
+            yield batch.filter(pa.array(keep & (score >= (model.floor if model else 0.0))))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify() of `documents` with the model of those not held out; nulls, empties and repeats as stated there."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     held = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
     model = fit(docs.filter(remainder(F.col("doc_id"), 4) != 2))

@@ -5,18 +5,38 @@ from __future__ import annotations
 import numpy as np
 
 
-def hinge_dual(x: np.ndarray, y: np.ndarray, c: np.ndarray | float = 1.0, epochs: int = 30, seed: int = 7, tol: float = 1e-3) -> np.ndarray:
-    """Weights of a linear SVM (hinge loss, no bias) by dual coordinate descent with shrinking.  y: -1 or 1."""
-    n = len(y)
+class Sparse:
+    """Rows of a sparse matrix: column numbers and values, one array each for all rows, cut at `edge`."""
+
+    def __init__(self, idx: np.ndarray, val: np.ndarray, edge: np.ndarray, width: int):
+        self.idx, self.val, self.edge, self.width = idx, val, edge, width
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.edge[i], self.edge[i + 1])
+        return self.idx[at], self.val[at]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.array([v @ w[k] for k, v in map(self.row, range(len(self.edge) - 1))], np.float64)
+
+
+def hinge_dual(x: np.ndarray | Sparse, y: np.ndarray, c: np.ndarray | float = 1.0, epochs: int = 30, seed: int = 7, tol: float = 1e-3, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a linear SVM (hinge loss, no bias) by dual coordinate descent with shrinking.  y: -1 or 1.
+
+    `rows`: the rows of x that y and c belong to, by default all; they are read in place, not copied.
+    """
+    n, sparse = len(y), isinstance(x, Sparse)
+    rows = np.arange(n) if rows is None else rows
     c = np.broadcast_to(np.asarray(c, np.float64), (n,))
-    norms = np.einsum("ij,ij->i", x, x, dtype=np.float64)
-    alpha, w, rng = np.zeros(n), np.zeros(x.shape[1], np.float32), np.random.default_rng(seed)
+    get = x.row if sparse else lambda i: (slice(None), x[i])
+    norms = np.array([float(v @ v) for _, v in map(get, rows)])
+    alpha, w, rng = np.zeros(n), np.zeros(x.width if sparse else x.shape[1], np.float32), np.random.default_rng(seed)
     active = np.flatnonzero(norms > 0)
-    for _ in range(epochs):
+    for epoch in range(epochs):
         worst, keep = 0.0, []
         for i in rng.permutation(active):
-            g = y[i] * float(x[i] @ w) - 1.0
-            if alpha[i] == 0 and g > max(worst, 0.1) and _ > 3:
+            at, v = get(rows[i])
+            g = y[i] * float(v @ w[at]) - 1.0
+            if alpha[i] == 0 and g > max(worst, 0.1) and epoch > 3:
                 continue  # stays at zero
             keep.append(i)
             pg = min(g, 0) if alpha[i] == 0 else max(g, 0) if alpha[i] == c[i] else g
@@ -25,7 +45,7 @@ def hinge_dual(x: np.ndarray, y: np.ndarray, c: np.ndarray | float = 1.0, epochs
                 old = alpha[i]
                 alpha[i] = min(max(old - g / norms[i], 0.0), c[i])
                 if alpha[i] != old:
-                    w += np.float32((alpha[i] - old) * y[i]) * x[i]
+                    w[at] += np.float32((alpha[i] - old) * y[i]) * v
         if worst < tol:
             if len(keep) == len(active):
                 break

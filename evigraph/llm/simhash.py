@@ -1,18 +1,18 @@
-"""SimHash near-duplicates: a positional byte index with count filtering.
+"""SimHash near-duplicates: a byte-position inverted index with count filtering.
 
 Two fingerprints of eight bytes that differ in at most d bits agree in at least 8-d byte positions.  An inverted list per
-(position, byte) would hold a fixed share of the corpus and its pairs would grow with its square, so lists are keyed by
-the bytes of several positions at once: a family of position sets of which every 8-d positions contain at least one, which
-therefore misses no pair.  Pairs met in a list are tallied (positions whose bytes agree), those with fewer than 8-d
-matches go, and the rest are verified bit by bit.
-
-Lists are built over distinct fingerprints; exact copies never meet.  A list longer than `hot_list` (a large group of near
-copies) is not paired: its fingerprints are keyed anew with each choice of d bits of the remaining bytes blanked out, and
-every member of such a key is linked with the key's smallest member.  Members of a key differ in at most d bits, and
-any two fingerprints within d bits share a key, so no link between components is lost and none is false.
-
-deduplicate() asks for more than three bits can tell: near copies by Jaccard similarity of five-word shingles.  Candidates
-share a band of MinHash values, and each is verified by the exact similarity.
+(position, byte) would hold a fixed share of the corpus and its pairs would grow with its square, so a posting holds the
+bytes of three or four positions at once.  Each list a pair meets in reports its positions; their union, tallied per pair
+over the index, is the number of shared positional bytes, since any 8-d positions are the union of the family's sets within
+them (`family`).  Pairs with fewer than 8-d shared bytes go, and the rest are verified bit by bit.
+
+Lists are built over distinct fingerprints; exact copies never meet.  The members of a list longer than `hot_list` are not
+paired there but listed anew by all 8-d positions; a list that is still long is keyed with each choice of d of its remaining
+bits blanked out, and every member of such a key is linked with the key's smallest member.  Members of a key differ in
+at most d bits, and any two fingerprints within d bits share a key, so no link between components is lost and none is false.
+
+deduplicate() asks for more than three bits can tell: near copies by Jaccard similarity of five-word shingles.  The index is
+the same, over the positional bytes of MinHash sketches instead of one fingerprint's; see there.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, buffers, chunks, components, cut, documents, stored
+from .common import LOWER, SPACE, SpanHasher, buffers, chunks, components, cut, documents, mix, runs, stored
 
 
 def fingerprint(text: str | bytes | None, width: int = 3) -> int:
@@ -70,22 +70,18 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_fingerprints(width), "doc_id bigint, text_hash bigint, fp bigint")
 
 
-def cover(distance: int, size: int) -> list[tuple[int, ...]]:
-    """Sets of `size` byte positions such that any 8-distance positions contain one of them."""
+def family(distance: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of `size` byte positions such that any 8-distance positions are the union of the sets within them (greedy)."""
     need = 8 - distance
-    if size >= need:
-        return list(combinations(range(8), need))
-    planes = [c for c in combinations(range(8), size) if size == need - 1 == 4 and c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
-    if planes:  # fourteen sets; each five positions contain exactly one
-        return planes
-    halves = [c for half in (range(4), range(4, 8)) for c in combinations(half, size)]
-    if size <= 4 and all(any(set(c) <= set(s) for c in halves) for s in combinations(range(8), need)):
-        return halves
-    return list(combinations(range(8), size))
-
-
-def _byte(col, i: int):
-    return F.shiftrightunsigned(col, 56 - 8 * i).bitwiseAND(F.lit(255))
+    size = min(size, need)
+    every = list(combinations(range(8), size))
+    open_ = {(whole, p) for whole in combinations(range(8), need) for p in whole}
+    found = []
+    while open_:
+        best = max(every, key=lambda c: sum(p in c and set(c) <= set(whole) for whole, p in open_))
+        found.append(best)
+        open_ = {(whole, p) for whole, p in open_ if not (p in best and set(best) <= set(whole))}
+    return sorted(found)
 
 
 def _mask(positions) -> int:
@@ -93,53 +89,58 @@ def _mask(positions) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def _postings(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """(fp, k, bytes, n): the bytes at the k-th positions, and the length of that list; lists of one are left out."""
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(s))) for s in sets])).alias("k", "bytes"))
+    sizes = keyed.groupBy("k", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
+    return cut(keyed.join(sizes, ["k", "bytes"]))
+
+
+def _tallied(short: DataFrame, sets: list[tuple[int, ...]], distance: int) -> DataFrame:
+    """(a, b) of lists whose shared positional bytes, tallied over the lists, reach 8-distance, verified bit by bit."""
+    left, right = short.select("k", "bytes", F.col("fp").alias("a")), short.select("k", "bytes", F.col("fp").alias("b"))
+    places = F.element_at(F.array(*[F.lit(sum(1 << i for i in s)) for s in sets]), F.col("k") + 1)
+    met = left.join(right, ["k", "bytes"]).filter("a < b").groupBy("a", "b").agg(F.bit_or(places).alias("places"))
+    return met.filter(F.bit_count("places") >= 8 - distance).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+
+
 def links(fps: DataFrame, distance: int = 3, size: int | None = None, hot_list: int = 2048) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` within `distance` bits.
 
-    Every such pair is a link or lies in one connected component of links.  `size`: positions per key, by default 3 up to
-    16 million fingerprints and 4 beyond, so that lists of unrelated fingerprints stay short.
+    Every such pair is a link or lies in one connected component of links.  `size`: positions per posting, by default 3 up
+    to 16 million fingerprints and 4 beyond, so that lists of unrelated fingerprints stay short.
     """
     if size is None:
         size = 3 if fps.count() <= 1 << 24 else 4
-    sets = cover(distance, size)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(s))) for s in sets])).alias("k", "bytes"))
-    sizes = keyed.groupBy("k", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    listed = cut(keyed.join(sizes, ["k", "bytes"]))
-    short, long = listed.filter(F.col("n") <= hot_list), listed.filter(F.col("n") > hot_list)
-    left, right = short.select("k", "bytes", F.col("fp").alias("a")), short.select("k", "bytes", F.col("fp").alias("b"))
-    pairs = left.join(right, ["k", "bytes"]).filter("a < b")
-    tally = sum((_byte(F.col("a"), i) == _byte(F.col("b"), i)).cast("int") for i in range(8))
-    first = F.lit(len(sets))  # a pair that shares several keys counts in the first of them only
-    for k in reversed(range(len(sets))):
-        first = F.when(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(_mask(sets[k]))) == 0, F.lit(k)).otherwise(first)
-    near = pairs.filter(first == F.col("k")).filter(tally >= 8 - distance).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+    sets = family(distance, size)
+    listed = _postings(fps, sets)
+    near = _tallied(listed.filter(F.col("n") <= hot_list), sets, distance)
+    long = listed.filter(F.col("n") > hot_list)
     if long.isEmpty():
         return near
-    return near.unionByName(_long_links(long, sets, distance))
+    whole = list(combinations(range(8), 8 - distance))  # a pair that meets in long lists only shares one of these
+    again = _postings(cut(long.select("fp").distinct()), whole)
+    near = near.unionByName(_tallied(again.filter(F.col("n") <= hot_list), whole, distance))
+    longer = again.filter(F.col("n") > hot_list)
+    return near if longer.isEmpty() else near.unionByName(_long_links(longer, whole, distance))
 
 
 def _long_links(long: DataFrame, sets: list[tuple[int, ...]], distance: int) -> DataFrame:
     """Links within long lists: members of a key, of which `distance` bits are blanked, link with its smallest member."""
-    out = None
-    for k, s in enumerate(sets):
-        free = [b for i in range(8) if i not in s for b in range(56 - 8 * i, 64 - 8 * i)]
-
-        def blank(batches, free=free):
-            masks = np.array([~sum(1 << b for b in c) & 0xFFFFFFFFFFFFFFFF for c in combinations(free, distance)], np.uint64)
-            which = np.arange(len(masks), dtype=np.int32)
-            for batch in batches:
-                for f in batch.column(0).to_numpy().view(np.uint64):
-                    keys = (f & masks).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(keys), pa.array(np.full(len(masks), f).view(np.int64))], ["m", "key", "fp"])
-
-        part = long.filter(F.col("k") == k).select("fp")
-        if part.isEmpty():
-            continue
-        keyed = part.mapInArrow(blank, "m int, key bigint, fp bigint")
-        star = keyed.groupBy("m", "key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("m", "key", "b")
-        found = keyed.join(star, ["m", "key"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def blank(batches):
+        masks = []
+        for s in sets:
+            free = [b for i in range(8) if i not in s for b in range(56 - 8 * i, 64 - 8 * i)]
+            masks.append(np.array([~sum(1 << b for b in c) & 0xFFFFFFFFFFFFFFFF for c in combinations(free, distance)], np.uint64))
+        for batch in batches:
+            for k, f in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), strict=True):
+                n = len(masks[k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * n, k * n + n, dtype=np.int32)), pa.array((f & masks[k]).view(np.int64)), pa.array(np.full(n, f).view(np.int64))], ["m", "key", "fp"])
+
+    keyed = long.select("k", "fp").mapInArrow(blank, "m int, key bigint, fp bigint")
+    star = keyed.groupBy("m", "key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("m", "key", "b")
+    return keyed.join(star, ["m", "key"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def _grouped(fps: DataFrame, distance: int, **index) -> DataFrame:
@@ -167,74 +168,97 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, **index)
 # ---------------------------------------------------------------- near copies by Jaccard similarity
 
 BANDS, ROWS = 32, 5  # of a pair at Jaccard 0.8 all 32 bands differ with probability 3e-6
+MARKS, FIRST = 640, 160  # positional bytes of a sketch, and those of them that are tallied first
+SIGMAS = 4.0  # a pair at the threshold falls short of the minimum tally with probability 3e-5
 
 
-def shingles(raw: bytes, width: int) -> tuple[int, np.ndarray]:
-    """Hash of the lower-cased words, and the distinct hashes of every `width` of them in a row (fewer words: of all)."""
-    words = raw.lower().split()
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths) - 1
-    starts = ends - lengths + 1
-    if len(words) > width:
-        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    else:
-        starts, ends = np.array([0]), np.array([len(joined)])
-    return xxhash.xxh64_intdigest(joined, 42), np.unique(SpanHasher(np.frombuffer(joined, np.uint8))(starts, ends))
+def shingle_sets(part: pa.Array, width: int):
+    """For each text the hash of its lower-cased words, and the distinct hashes of every `width` of them in a row (fewer
+    words: of all)."""
+    data, offs = buffers(part)
+    starts, ends, rows = runs(~SPACE[data], offs)
+    h = SpanHasher(LOWER[data])(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    edge = np.searchsorted(rows, np.arange(len(part) + 1))
+    grams = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k]) if len(grams) else grams
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        node = xxhash.xxh64_intdigest(h[a:b].tobytes(), 42)
+        yield node, np.unique(grams[a : b - width + 1]) if b - a > width else np.array([node], np.uint64)
 
 
-def _sketches(width: int):
-    rng = np.random.default_rng(42)
-    factor = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-    shift = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+def _hashes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+
+
+def _least(found: np.ndarray, hashes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Least value of a set under each hash function."""
+    factor, shift = hashes
+    low, least = found.astype(np.uint32), np.full(len(factor), 0xFFFFFFFF, np.uint32)
+    step = max(1, (1 << 18) // len(factor))
+    for i in range(0, len(low), step):
+        least = np.minimum(least, (low[i : i + step, None] * factor + shift).min(0))
+    return least
 
-    def bands(found: np.ndarray) -> np.ndarray:
-        least, low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32), found.astype(np.uint32)
-        for i in range(0, len(low), 1 << 12):
-            least = np.minimum(least, (low[i : i + (1 << 12), None] * factor + shift).min(0))
-        raw = least.reshape(BANDS, ROWS)
-        return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], np.uint64)
 
+def _bands(found: np.ndarray, hashes) -> np.ndarray:
+    raw = _least(found, hashes).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], np.uint64)
+
+
+def _sketches(width: int):
     def run(batches):
+        hashes = _hashes(BANDS * ROWS, 42)
         for batch in batches:
             texts = batch.column(1)
             node, size, keys = np.empty(len(texts), np.uint64), np.empty(len(texts), np.int64), np.empty((len(texts), BANDS), np.uint64)
             for first, part in chunks(texts):
-                data, offs = buffers(part)
-                raw = data.tobytes()
-                for i in range(len(part)):
-                    node[first + i], found = shingles(raw[offs[i] : offs[i + 1]], width)
-                    size[first + i], keys[first + i] = len(found), bands(found)
+                for i, (who, found) in enumerate(shingle_sets(part, width), first):
+                    node[i], size[i], keys[i] = who, len(found), _bands(found, hashes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array(size), lists], ["doc_id", "text_hash", "node", "n", "keys"])
 
     return run
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have shingles with a Jaccard similarity of `threshold` at least, counted exactly."""
+def _details(width: int):
+    """node, n, keys (the bands), marks (positional bytes) and found (the set of shingles) of some texts."""
+
+    def run(batches):
+        hashes, more = _hashes(BANDS * ROWS, 42), _hashes(MARKS, 43)
+        for batch in batches:
+            for _, part in chunks(batch.column(0)):
+                sets = list(shingle_sets(part, width))
+                node = np.array([k for k, _ in sets], np.uint64).view(np.int64)
+                columns = [[_bands(x, hashes).tobytes() for _, x in sets], [_least(x, more).astype(np.uint8).tobytes() for _, x in sets], [x.tobytes() for _, x in sets]]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([len(x) for _, x in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["node", "n", "keys", "marks", "found"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, details: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingles have a Jaccard similarity of `threshold` at least, counted exactly."""
 
     def run(batches):
-        last, mine = None, None
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_py()
-                if a != last:
-                    last, mine = a, shingles(batch.column(2)[i].as_py().encode(), width)[1]
-                other = shingles(batch.column(3)[i].as_py().encode(), width)[1]
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if both >= threshold * (len(mine) + len(other) - both) - 1e-9:
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    left, right = (details.select(F.col("node").alias(c), F.col("found").alias("f" + c)) for c in "ab")
+    with _small_batches(details.sparkSession):
+        return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint"))
 
 
 @contextmanager
 def _small_batches(spark: SparkSession, rows: int = 512):
-    """Pairs of long texts travel to Python in small Arrow batches: a task's buffers are several times a batch."""
+    """Long values travel to Python in small Arrow batches: a task's buffers are several times a batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     was = spark.conf.get(name)
     spark.conf.set(name, str(rows))
@@ -244,77 +268,140 @@ def _small_batches(spark: SparkSession, rows: int = 512):
         spark.conf.set(name, was)
 
 
-def jaccard_links(rows: DataFrame, docs: DataFrame, width: int, threshold: float, limit: int = 16, least: int = 200_000, rounds: int = 6) -> DataFrame | None:
+def least_tally(threshold: float, n: int) -> int:
+    """Shared positional bytes out of n that a pair at the threshold reaches (but for SIGMAS standard deviations)."""
+    p = threshold + (1 - threshold) / 256
+    return int(np.floor(n * p - SIGMAS * np.sqrt(n * p * (1 - p))))
+
+
+def _counted(threshold: float):
+    """Pairs of one block of a list (rows stand sorted by key, i, j) that reach the least tally, each in its first list only."""
+    first, every = least_tally(threshold, FIRST), least_tally(threshold, MARKS)
+
+    def block(key: int, i: int, j: int, node, n, of, part, keys, marks):
+        keys, marks = np.frombuffer(b"".join(keys), np.int64).reshape(-1, BANDS), np.frombuffer(b"".join(marks), np.uint8).reshape(-1, MARKS)
+        node, n, of, part = (np.array(x) for x in (node, n, of, part))
+        some, rest = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        for x in some:
+            y = rest[rest > x] if i == j else rest
+            y = y[(of[y] != of[x]) & (n[y] >= threshold * n[x] - 1e-9) & (n[x] >= threshold * n[y] - 1e-9)]
+            y = y[(marks[y, :FIRST] == marks[x, :FIRST]).sum(1) >= first]
+            y = y[(marks[y] == marks[x]).sum(1) >= every]
+            if len(y):
+                band = int(np.flatnonzero(keys[x] == key)[0])
+                y = y[~(keys[y, :band] == keys[x, :band]).any(1)]
+                yield np.full(len(y), node[x]), node[y]
+
+    def run(batches):
+        now, held = None, [[] for _ in range(6)]
+
+        def flush():
+            got = list(block(*now, *held)) if now and len(held[0]) > 1 else []
+            if got:
+                a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for group, *row in zip(zip(*columns[:3], strict=True), *columns[3:], strict=True):
+                if group != now:
+                    yield from flush()
+                    now, held = group, [[] for _ in range(6)]
+                for x, v in zip(held, row, strict=True):
+                    x.append(v)
+        yield from flush()
+
+    return run
+
+
+def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: float, rounds: int = 8, block: int = 2048) -> DataFrame | None:
     """Links (a, b) of nodes that connect the same components as all pairs of similar nodes that share a band.
 
-    `docs` holds no row of equal doc_id and text twice.  Every pair of a list is compared, but for pairs that links connect already.  While more than `limit` pairs a node (and
-    more than `least`) are open, each node is compared with one leader of its lists only, which connects a large group of near copies in few rounds.
+    `nodes`: node, n, keys and the doc_id and text_hash of one row of `docs` each.  First every node is compared with the
+    leader it shares most lists with, which connects a large group of near copies in few rounds; then, within every list that
+    still holds more than one component, the pairs of different components are tallied byte by byte, in blocks of `block`
+    nodes against each other, and those that reach the least tally are verified.
     """
-    listed = rows.select("node", "n", F.explode("keys").alias("key"))
-    many = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    lists = cut(listed.join(many, "key").distinct())
-    nodes = cut(lists.select("node").distinct())
-    if nodes.isEmpty():
+    listed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    many = listed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    lists = stored(listed.join(many, "key"), "lists")
+    members = lists.select("node").distinct()
+    if members.isEmpty():
         return None
-    key = F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("text_hash"))
-    chosen = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(key.alias("k"), "doc_id", "text_hash")).alias("c")).select("node", F.col("c.doc_id").alias("i"), F.col("c.text_hash").alias("h"))
+    chosen = nodes.select("node", F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).join(members, "node", "left_semi")
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
-    texts = stored(keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["i"]) & (keyed["text_hash"] == chosen["h"])).select("node", "text"), "texts")
-    most = max(least, limit * nodes.count())
-    found = None
-    for turn in range(rounds + 1):
-        if found is None:
-            now = lists.withColumn("of", F.col("node"))
-        else:
+    with _small_batches(docs.sparkSession):
+        details = stored(keyed.join(chosen, _same_id(keyed["doc_id"], chosen["i"]) & (keyed["text_hash"] == chosen["h"])).select("text").mapInArrow(_details(width), "node bigint, n bigint, keys binary, marks binary, found binary"), "details")
+
+    def still_open(found: DataFrame | None) -> DataFrame:
+        """Rows (key, node, n, of) of the lists that hold more than one component."""
+        now = lists.withColumn("of", F.col("node"))
+        if found is not None:
             part = components(found).withColumnRenamed("node", "_node")
             now = lists.join(part, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("of"))
-        now = cut(now)
-        mixed = now.groupBy("key", "of").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("parts")).filter("parts > 1")
-        mixed = cut(mixed)
-        total = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0]
-        if not total:
-            break
-        left = now.join(mixed.select("key"), "key", "left_semi")
-        final = total <= most or turn == rounds
-        near = (F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9)
-        if final:
-            right = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("of").alias("to"))
-            pairs = left.join(right, "key").filter("node < b and of <> to").filter(near).select(F.col("node").alias("a"), "b").distinct()
-        else:
-            lead = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("of").alias("to"))).alias("l")).select("key", "l.*")
-            pairs = left.join(lead, "key").filter("of <> to").filter(near).groupBy("node").agg(F.min(F.struct("o", "b")).alias("l")).select(F.col("l.b").alias("a"), F.col("node").alias("b"))
-        with _small_batches(docs.sparkSession):
-            more = cut(_similar(pairs, texts, width, threshold))
-        found = more if found is None else found.unionByName(more)
-        if final:
+        now = stored(now, "open")
+        mixed = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
+        return stored(now.join(mixed, "key", "left_semi"), "open")
+
+    found, near = None, (F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9)
+    for turn in range(rounds):
+        now = still_open(found)
+        lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("of").alias("to"))).alias("l")).select("key", "l.*")
+        met = now.join(lead, "key").filter("of <> to").filter(near).groupBy("node", "a").agg(F.count("*").alias("shared"))
+        pairs = stored(met.groupBy("node").agg(F.max(F.struct("shared", "a")).alias("l")).select("l.a", F.col("node").alias("b")), "pairs")
+        more = _similar(pairs, details, threshold)
+        fresh = more.count()
+        if fresh:
+            found = more if found is None else found.unionByName(more)
+        if fresh * 50 < pairs.count() or not fresh:
             break
-    return found
+    now = still_open(found)
+    if now.isEmpty():
+        return found
+    parts = now.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = now.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = own.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "of", "part").join(details.drop("found"), "node")
+    rows = rows.select("key", "i", "j", "node", "n", "of", "part", "keys", "marks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    with _small_batches(docs.sparkSession):
+        pairs = stored(rows.mapInArrow(_counted(threshold), "a bigint, b bigint"), "pairs")
+    more = _similar(pairs, details, threshold)
+    return more if found is None else found.unionByName(more)
+
+
+def _same_id(a, b):
+    """Equality that holds for two nulls, as a plain equi-join key."""
+    return F.coalesce(a, F.lit(-(1 << 62))) == F.coalesce(b, F.lit(-(1 << 62)))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, **search) -> DataFrame:
     """The rows of `docs` that represent their component: smallest doc_id, nulls last, then smallest text hash.
 
-    Texts whose `width`-word shingles have a Jaccard similarity of `threshold` at least are linked; candidates share a band of
-    least hashes.  Bits of fingerprints cannot find them: at that similarity they differ in so many that no byte need agree.
-    Of rows with equal doc_id and text one stays.  All columns are kept.
+    Texts whose `width`-word shingles have a Jaccard similarity of `threshold` at least are linked.  Bits of fingerprints
+    cannot find them: at that similarity they differ in so many that no byte need agree.  So the positional bytes are those of
+    MinHash sketches, of which such a pair shares a share of `threshold`: a posting holds five positions (a band), shared
+    bytes are tallied, pairs that reach the least tally are verified by their exact similarity.
+    Of rows with equal doc_id and text one stays; null and empty texts are copies of each other; an empty table stays empty.
+    All columns are kept.
     """
     sketched = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     with _small_batches(docs.sparkSession):
         rows = stored(sketched.mapInArrow(_sketches(width), "doc_id bigint, text_hash bigint, node bigint, n bigint, keys array<bigint>"), "sketches")
     unique = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    best = rows.groupBy("node").agg(first)
-    found = jaccard_links(rows, docs if unique else docs.dropDuplicates(["doc_id", "text"]), width, threshold, **search)
+    best = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")))
+    chosen = best.select(F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h"))
+    nodes = rows.join(chosen, _same_id(rows["doc_id"], chosen["i"]) & (rows["text_hash"] == chosen["h"]), "left_semi")
+    nodes = stored(nodes if unique else nodes.dropDuplicates(["node"]), "nodes")
+    found = jaccard_links(nodes, docs if unique else docs.dropDuplicates(["doc_id", "text"]), width, threshold, **search)
     if found is not None:
         part = components(found).withColumnRenamed("node", "_node")
         best = best.join(part, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     best = cut(best.select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash")))
     keyed = docs.withColumns({"__text_hash": F.xxhash64("text")})
-    on = F.coalesce(keyed["doc_id"].cast("bigint"), F.lit(-(1 << 62))) == F.coalesce(best["keep_id"], F.lit(-(1 << 62)))
-    kept = keyed.join(best, on & (keyed["__text_hash"] == best["keep_hash"]), "left_semi")
+    kept = keyed.join(best, _same_id(keyed["doc_id"].cast("bigint"), best["keep_id"]) & (keyed["__text_hash"] == best["keep_hash"]), "left_semi")
     return (kept if unique else kept.dropDuplicates(["doc_id", "__text_hash"])).drop("__text_hash")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of `documents`, the fingerprint as 16 hex digits; nulls, empties and repeats as stated there."""
     found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -177,12 +177,33 @@ def lower_latin(data: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _united(batches):
+    """(node, component) of all edges of one task, by union and find; the smaller root stays."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+    nodes, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
+    for x, y in zip(codes[: len(a)].tolist(), codes[len(a) :].tolist(), strict=True):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    for i in range(len(up)):  # a root stands before its members
+        up[i] = up[up[i]]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[np.array(up)])], ["node", "component"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int = 1 << 17) -> DataFrame:
     """(node, component) for every node of `edges` (a, b: bigint); component is the smallest node that can be reached.
 
-    Alternating large-star and small-star rounds, each written to the shared folder; rounds grow with the logarithm
-    of the longest chain.  The minimum of a node's neighbours is a pre-aggregated sum; neighbours meet it in a join that
-    adaptive execution may split, so a hub is no single task's work.  Self-links and nulls are ignored.
+    At most `few` edges, counted, are united by one task.  More go through alternating large-star and small-star rounds, each
+    written to the shared folder; rounds grow with the logarithm of the longest chain.  The minimum of a node's
+    neighbours is a pre-aggregated sum; neighbours meet it in a join that adaptive execution may split, so a hub is no single
+    task's work.  Self-links and nulls are ignored.
     """
     e = cut(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -190,9 +211,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     was = sign(e)
+    if was[0] <= few:
+        return e.coalesce(1).mapInArrow(_united, "node bigint, component bigint")
     for _ in range(max_rounds):
-        if not was[0]:
-            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

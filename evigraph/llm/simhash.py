@@ -335,11 +335,10 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: floa
 
     def still_open(found: DataFrame | None) -> DataFrame:
         """Rows (key, node, n, of) of the lists that hold more than one component."""
-        now = lists.withColumn("of", F.col("node"))
-        if found is not None:
-            part = components(found).withColumnRenamed("node", "_node")
-            now = lists.join(part, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("of"))
-        now = stored(now, "open")
+        if found is None:
+            return lists.withColumn("of", F.col("node"))
+        part = cut(components(found).withColumnRenamed("node", "_node"))
+        now = lists.join(part, F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("of"))
         mixed = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
         return stored(now.join(mixed, "key", "left_semi"), "open")
 

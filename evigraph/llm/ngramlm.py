@@ -1,13 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Level one holds the words (64-bit hashes in order) with counts and back-off weights, level two the pairs: its contexts, the
-monotone pointers to each context's successors, the successors, and quantised smoothed log probabilities.  A pair is found by
-the context's place in its list and a successor search relative to that context.  Both levels lie in files of the shared
-folder, cut into shards by hash, memory-mapped by the workers.  Counts are taken over all training texts; the corpus is
-shuffled once, pre-aggregated in each task.
-
-p(v | u) = (c(u,v) + rest(u) p1(v)) / (c(u) + k), with rest(u) = c(u) + k - the count of u's kept pairs, so that the mass of
-pairs that are not kept (fewer than `min_count`) and of the prior k goes to p1(v) = (c(v) + 1) / (N + V + 1).
+Level one holds the words (64-bit hashes in order) with their counts, level two the pairs: its contexts, the monotone pointers
+to each context's successors, the successors, and quantised smoothed log probabilities.  A pair is found by the context's
+place in its list and a successor search relative to that context.  Both levels lie in files of the shared folder, cut into
+shards by hash, memory-mapped by the workers, which share the pages.  Counts are taken over all training texts and nothing is
+pruned.  All pairs of a context share a shard, but for the few words that make up a sizeable part of a shard by themselves:
+their pairs are spread by the successor.
+
+p(v | u) = (c(u,v) + k p1(v)) / (c(u) + k), with p1(v) = (c(v) + 1) / (N + V + 1): the mass k goes to the words that never
+followed u.  An unknown u leaves p1(v).
 """
 
 from __future__ import annotations
@@ -47,28 +48,55 @@ def sequence(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, tokens, rows
 
 
-def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return (u >> np.uint64(32) << np.uint64(32)) | (v >> np.uint64(32))
+def _combined(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a pair, to find equal pairs of a batch."""
+    with np.errstate(over="ignore"):
+        return mix(u * np.uint64(0xA24BAED4963EE407) + v)
 
 
-def _counts(batches):
+def _word_counts(batches):
+    """(key, n) of the words of a task's texts, ends and starts included."""
+
     def flush(held):
-        u, v = (np.concatenate(x) for x in zip(*held))
-        for kind, keys in ((0, np.concatenate([v, u[u == START]])), (1, _pair(u, v))):
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     held, size = [], 0
     for batch in batches:
         for _, part in chunks(batch.column(0)):
             u, v, _ = sequence(part)
-            held.append((u, v))
+            held += [v, u[u == START]]
             size += len(v)
             if size >= TOKENS:
-                yield from flush(held)
+                yield flush(held)
                 held, size = [], 0
     if held:
-        yield from flush(held)
+        yield flush(held)
+
+
+def _pair_counts(bits: int, hot: np.ndarray):
+    """(shard, u, v, n) of the pairs of a task's texts."""
+
+    def flush(held):
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, n = np.unique(_combined(u, v), return_index=True, return_counts=True)
+        u, v = u[first], v[first]
+        return pa.RecordBatch.from_arrays([pa.array(shard_of(u, v, bits, hot).astype(np.int32)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], ["shard", "u", "v", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, part in chunks(batch.column(0)):
+                u, v, _ = sequence(part)
+                held.append((u, v))
+                size += len(v)
+                if size >= TOKENS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
 
 
 # ------------------------------------------------------------ files
@@ -144,43 +172,37 @@ class Words:
         if s not in self.open:
             try:
                 a = _read(self.folder, f"words-{s}")
-                self.open[s] = (_taken("hash", a), a["count"], a["rest"])
+                self.open[s] = (_taken("hash", a), a["count"])
             except FileNotFoundError:  # no word falls in it
                 self.open[s] = None
         return self.open[s]
 
-    def __call__(self, h: np.ndarray, prefix: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0: unknown) and back-off weights c + k - kept, by hash, or by its upper half alone."""
-        count, rest = np.zeros(len(h), np.int64), np.full(len(h), -1.0)
-        shard = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
-        for s in range(1 << self.bits):
-            rows = order[cuts[s] : cuts[s + 1]]
-            if not len(rows) or (opened := self.shard(s)) is None:
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Counts (0: unknown) of words in ascending order of their hashes."""
+        count = np.zeros(len(h), np.int64)
+        cuts = np.searchsorted(h >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            if (opened := self.shard(s)) is None:
                 continue
-            ef, counts, rests = opened
-            x = h[rows] & np.uint64((1 << (64 - self.bits)) - 1)
-            if prefix:
-                at = ef.successor(x)
-                ok = np.flatnonzero(at < ef.n)
-                ok = ok[ef.select(at[ok]) >> np.uint64(32) == x[ok] >> np.uint64(32)]
-            else:
-                at = ef.index(x)
-                ok = np.flatnonzero(at >= 0)
-            count[rows[ok]], rest[rows[ok]] = counts[at[ok]], rests[at[ok]]
-        return count, rest
+            ef, counts = opened
+            rows = slice(cuts[s], cuts[s + 1])
+            at = ef.index(h[rows] & np.uint64((1 << (64 - self.bits)) - 1))
+            count[rows] = np.where(at >= 0, counts[np.maximum(at, 0)], 0)
+        return count
 
 
 def _code(logp: np.ndarray) -> np.ndarray:
     return np.clip(np.round((logp - LEAST) / STEP), 0, 65535).astype(np.uint16)
 
 
+NEXT = np.uint64(40)  # bits of a successor's hash that the trie keeps, within its context
+
+
 class Pairs:
     """Level two."""
 
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self.open = folder, bits, {}
+    def __init__(self, folder: str, bits: int, hot: np.ndarray):
+        self.folder, self.bits, self.hot, self.open = folder, bits, hot, {}
 
     def shard(self, s: int):
         if s not in self.open:
@@ -191,30 +213,37 @@ class Pairs:
                 self.open[s] = None
         return self.open[s]
 
-    def __call__(self, pair: np.ndarray) -> np.ndarray:
-        """log10 p(v | u) of kept pairs, nan of others."""
-        out = np.full(len(pair), np.nan)
-        shard = shard_of(pair, self.bits)
-        order = np.argsort(shard, kind="stable")
+    def __call__(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """log10 p(v | u) of known pairs, nan of others."""
+        out = np.full(len(u), np.nan)
+        shard = shard_of(u, v, self.bits, self.hot)
+        order = np.lexsort((u, shard))
         cuts = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
-        for s in range(1 << self.bits):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
             rows = order[cuts[s] : cuts[s + 1]]
-            if not len(rows) or (opened := self.shard(s)) is None:
+            if (opened := self.shard(s)) is None:
                 continue
             contexts, pointers, successors, code = opened
-            c = contexts.index(pair[rows] >> np.uint64(32))
-            rows, c = rows[c >= 0], c[c >= 0]
-            first, end = pointers.select(c).astype(np.int64), pointers.select(c + 1).astype(np.int64)
-            want = (c.astype(np.uint64) << np.uint64(32)) | (pair[rows] & np.uint64(0xFFFFFFFF))
+            mine = u[rows]
+            start = np.concatenate([[True], mine[1:] != mine[:-1]])
+            place = contexts.index(mine[start])  # each context once
+            first, end = (pointers.select(np.maximum(place, 0) + k).astype(np.int64) for k in (0, 1))
+            which = np.cumsum(start) - 1
+            known = np.flatnonzero(place[which] >= 0)
+            rows, which = rows[known], which[known]
+            want = (place[which].astype(np.uint64) << NEXT) | (v[rows] >> (np.uint64(64) - NEXT))
             at = successors.successor(want)  # relative to the context: its successors lie from first to end
-            inside = np.flatnonzero((at >= first) & (at < end))
+            inside = np.flatnonzero((at >= first[which]) & (at < end[which]))
             inside = inside[successors.select(at[inside]) == want[inside]]
             out[rows[inside]] = LEAST + STEP * code[at[inside]]
         return out
 
 
-def shard_of(pair: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(pair) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(pair), np.int64)
+def shard_of(u: np.ndarray, v: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """Shard of pairs: by the context, for the sorted `hot` contexts by the successor too."""
+    at = np.minimum(np.searchsorted(hot, u), max(0, len(hot) - 1))
+    wide = (hot[at] == u) if len(hot) else np.zeros(len(u), bool)
+    return (mix(np.where(wide, _combined(u, v), u)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _shards(rows: int) -> int:
@@ -222,65 +251,63 @@ def _shards(rows: int) -> int:
     return max(6, (rows >> 20).bit_length())
 
 
-def _grouped(df: DataFrame, fn, cols: list[str], schema: str) -> DataFrame:
-    return df.select("shard", *cols).groupBy("shard").applyInArrow(fn, schema)
-
-
-def train(docs: DataFrame, min_count: int = 2, prior: float = 2.0) -> dict:
+def train(docs: DataFrame, prior: float = 2.0) -> dict:
     """Builds the trie over `docs` (text; null: empty) in the shared folder and returns what score() needs.
 
-    All counts go through one pre-aggregated shuffle.  Shards are ranges of a hash: a frequent word's pairs spread over all of
-    them.
+    Words go through one pre-aggregated shuffle, pairs through another, straight to the shard that a task then writes.  Rows
+    of equal id are separate texts; an empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(_counts, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    table = stored(counted.filter(f"kind = 0 or n >= {int(min_count)}"), "counts")
-    words, pairs = table.filter("kind = 0").select("key", "n"), table.filter("kind = 1").select("key", "n")
-    start = int(START.view(np.int64)) if hasattr(START, "view") else int(START)
-    total = words.agg(F.sum(F.when(F.col("key") != start, F.col("n"))).alias("n"), F.sum((F.col("key") != start).cast("bigint")).alias("v"), F.count("*").alias("rows")).first()
-    n, v = total["n"] or 0, total["v"] or 0
-    kept = pairs.count()
-    wbits, pbits = _shards(total["rows"] or 0), _shards(kept)
     folder = f"{shared_dir(spark)}/trie-{uuid.uuid4().hex}"
+    words = stored(docs.select("text").mapInArrow(_word_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    start = int(START.view(np.int64))
+    own = F.col("key") != start
+    total = words.agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(own.cast("bigint")).alias("v"), F.count("*").alias("rows")).first()
+    n, v = total["n"] or 0, total["v"] or 0
+    wbits, pbits = _shards(total["rows"] or 0), _shards(n)
+    floor = max(1, n >> (pbits + 3))  # an eighth of a shard: at most eight such words a shard
+    hot = np.sort(np.array([r[0] for r in words.filter(F.col("n") > floor).select("key").collect()], np.int64).view(np.uint64))
 
     def write_words(t: pa.Table) -> pa.Table:
-        key = t["key"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, c, k = key[order], t["n"].to_numpy()[order], t["kept"].to_numpy()[order]
-        rest = np.maximum(c + prior - k, 0.0)  # a collision of upper halves could make it negative
-        _write(folder, f"words-{int(t['shard'][0].as_py())}", _named("hash", build(key & np.uint64((1 << (64 - wbits)) - 1), 1 << (64 - wbits))) | {"count": c.astype(np.uint32) if c.max() < 1 << 32 else c, "rest": rest.astype(np.float32)})
-        return pa.table({"shard": [int(t["shard"][0].as_py())], "rows": [len(key)]}, schema=pa.schema([("shard", pa.int32()), ("rows", pa.int64())]))
-
-    half = F.shiftright("key", 32)
-    mass = pairs.groupBy(half.alias("half")).agg(F.sum("n").alias("kept"))
-    joined = words.withColumn("half", half).join(mass, "half", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    done = _grouped(joined.withColumn("shard", F.shiftrightunsigned("key", 64 - wbits).cast("int")), write_words, ["key", "n", "kept"], "shard int, rows bigint")
-    done.agg(F.sum("rows")).collect()
-
-    def write_pairs(t: pa.Table) -> pa.Table:
         key = t["key"].to_numpy().view(np.uint64)
         order = np.argsort(key)
         key, c = key[order], t["n"].to_numpy()[order]
-        u, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-        context, first = np.unique(u, return_index=True)
-        rank = np.searchsorted(context, u).astype(np.uint64)
+        name = int(t["shard"][0].as_py())
+        _write(folder, f"words-{name}", _named("hash", build(key & np.uint64((1 << (64 - wbits)) - 1), 1 << (64 - wbits))) | {"count": c.astype(np.uint32) if c.max() < 1 << 32 else c})
+        return pa.table({"rows": [len(key)]}, schema=pa.schema([("rows", pa.int64())]))
+
+    words.select(F.shiftrightunsigned("key", 64 - wbits).cast("int").alias("shard"), "key", "n").groupBy("shard").applyInArrow(write_words, "rows bigint").agg(F.sum("rows")).collect()
+
+    def write_shard(name: int, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> None:
+        order = np.lexsort((w, u))
+        u, w, c = u[order], w[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+        u, w, c = u[first], w[first], np.add.reduceat(c, first)
+        pointers = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1], [True]])).astype(np.uint64)
+        context = u[pointers[:-1].astype(np.int64)]
+        rank = np.repeat(np.arange(len(context)), np.diff(pointers.astype(np.int64)))
         level = Words(folder, wbits)
-        cu, rest = level(context << np.uint64(32), prefix=True)
-        cv, _ = level(w << np.uint64(32), prefix=True)
-        of = rank.astype(np.int64)
-        p = (c + np.maximum(rest[of], 0) * (cv + 1) / (n + v + 1)) / (cu[of] + prior)
-        pointers = np.append(first, len(key)).astype(np.uint64)
-        arrays = _named("context", build(context, 1 << 32)) | _named("pointer", build(pointers, len(key) + 1)) | _named("successor", build((rank << np.uint64(32)) | w, max(1, len(context)) << 32)) | {"code": _code(np.log10(np.minimum(p, 1.0)))}
-        _write(folder, f"pairs-{int(t['shard'][0].as_py())}", arrays)
-        return pa.table({"shard": [int(t["shard"][0].as_py())], "rows": [len(key)]}, schema=pa.schema([("shard", pa.int32()), ("rows", pa.int64())]))
-
-    def place(batches):
-        for batch in batches:
-            s = shard_of(batch.column(0).to_numpy().view(np.uint64), pbits)
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), batch.column(0), batch.column(1)], ["shard", "key", "n"])
-
-    _grouped(pairs.mapInArrow(place, "shard int, key bigint, n bigint"), write_pairs, ["key", "n"], "shard int, rows bigint").agg(F.sum("rows")).collect()
-    return {"folder": folder, "words": wbits, "pairs": pbits, "n": n, "v": v, "prior": prior}
+        cu = level(context)[rank]
+        follow, back = np.unique(w, return_inverse=True)
+        p = (c + prior * (level(follow)[back] + 1) / (n + v + 1)) / (cu + prior)
+        keep = (rank.astype(np.uint64) << NEXT) | (w >> (np.uint64(64) - NEXT))
+        arrays = _named("context", build(context, 1 << 64)) | _named("pointer", build(pointers, len(u) + 1)) | _named("successor", build(keep, max(1, len(context)) << int(NEXT))) | {"code": _code(np.log10(np.minimum(p, 1.0)))}
+        _write(folder, f"pairs-{name}", arrays)
+
+    def write_pairs(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            shard, u, w, c = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+            held.clear()
+            order = np.argsort(shard, kind="stable")
+            names, cuts = np.unique(shard[order], return_index=True)
+            for name, rows in zip(names.tolist(), np.split(order, cuts[1:]), strict=True):
+                write_shard(name, u[rows].view(np.uint64), w[rows].view(np.uint64), c[rows])
+                yield pa.RecordBatch.from_arrays([pa.array([len(rows)])], ["rows"])
+
+    rows = docs.select("text").mapInArrow(_pair_counts(pbits, hot), "shard int, u bigint, v bigint, n bigint")
+    rows.repartition(1 << pbits, "shard").mapInArrow(write_pairs, "rows bigint").agg(F.sum("rows")).collect()
+    return {"folder": folder, "words": wbits, "pairs": pbits, "hot": hot, "n": n, "v": v, "prior": prior}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -296,20 +323,21 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        words, pairs = Words(model["folder"], model["words"]), Pairs(model["folder"], model["pairs"])
+        words, pairs = Words(model["folder"], model["words"]), Pairs(model["folder"], model["pairs"], model["hot"])
         n, v, prior = model["n"], model["v"], model["prior"]
 
         def done(held, parts):
-            u, w, rows = (np.concatenate(x) for x in zip(*held))
+            u, w, rows = (np.concatenate(x) for x in zip(*held, strict=True))
             total = sum(len(p) for p in parts)
-            one, back = np.unique(np.concatenate([w, u]), return_inverse=True)
-            count, rest = words(one)
+            one, back = np.unique(np.concatenate([w, u[u == START][:1]]), return_inverse=True)
+            count = words(one)
             base = np.log10((count + 1) / (n + v + 1))
-            iw, iu = back[: len(w)], back[len(w) :]
-            two, pback = np.unique(_pair(u, w), return_inverse=True)
-            lift = np.log10(np.where(rest < 0, 1.0, np.maximum(rest, 1e-9) / (count + prior)))
-            p = pairs(two)[pback]
-            p = np.where(np.isnan(p), lift[iu] + base[iw], p)
+            iw = back[: len(w)]
+            _, first, pback = np.unique(_combined(u, w), return_index=True, return_inverse=True)
+            iu = np.searchsorted(one, u[first])
+            p = pairs(u[first], w[first])
+            lift = np.log10(prior / (count[iu] + prior))  # the context's mass for words that never followed it
+            p = np.where(np.isnan(p), lift + base[iw[first]], p)[pback]
             return [np.bincount(rows, minlength=total), np.bincount(rows, count[iw] > 0, minlength=total).astype(np.int64), np.bincount(rows, base[iw], minlength=total), np.bincount(rows, p, minlength=total)]
 
         for batch in batches:
@@ -327,14 +355,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             if held:
                 out.append(done(held, parts))
             if out:
-                got = [np.concatenate(x) for x in zip(*out)]
+                got = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], pa.array(got[0].astype(np.int64)), pa.array(got[1]), pa.array(got[2]), pa.array(got[3])], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
     return docs.mapInArrow(run, schema)
 
 
 def op7_ngramlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of `documents` with the trie of those not held out; nulls, empties, repeats and empty tables as stated there."""
     docs = documents(spark, sf_dir, "doc_id", "text")
-    model = train(docs.filter(remainder(F.col("doc_id"), 7) != 2), min_count=1)
+    model = train(docs.filter(remainder(F.col("doc_id"), 7) != 2))
     rows = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text"), model)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")

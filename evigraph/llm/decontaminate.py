@@ -1,20 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores them.
 
-One pass over the texts finds every occurrence of an item's word n-grams and cuts the window of words around it; only these
-windows, as word hashes, go on.  Which seeds are rare follows from the corpus counts of their words (gathered in the same pass):
-counting the n-grams themselves would make a passage that leaked thousands of times look frequent and go unseen.
+A first pass over the texts counts the items' words; which seeds are rare follows from these counts: counting the n-grams
+themselves would make a passage that leaked thousands of times look frequent and go unseen.  A second pass finds every
+occurrence of the rare seeds and cuts the window of words around it; only these windows, as word hashes, go on to alignment.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER, SpanHasher, buffers, chunks, documents, lower_latin, mix, runs, shared_dir
+from .common import LETTER, SpanHasher, buffers, chunks, documents, lower_latin, mix, runs
 
 _WORD = LETTER.copy()
 _WORD[48:58] = True
@@ -40,7 +38,7 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Seeds:
-    """Seeds of one block of items: sorted n-gram hashes, each with its (item, place) pairs."""
+    """Seeds of one block of items: sorted n-gram hashes, each with its (item, place) pairs; `words` are the items' words."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], n: int):
         self.items, self.n = items, n
@@ -55,31 +53,43 @@ class Seeds:
         self.gram, self.item, self.place = gram.astype(np.uint64)[order], item.astype(np.int64)[order], place.astype(np.int64)[order]
         self.words = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
 
+    def keep(self, rare: np.ndarray) -> None:
+        self.gram, self.item, self.place = self.gram[rare], self.item[rare], self.place[rare]
+
+
+def _word_counts(shared):
+    """Rows (word, n) of the known words of a task's texts, by their place in the sorted list; word -1: all words."""
+
+    def run(batches):
+        words = shared.value
+        counts, total = np.zeros(len(words), np.int64), 0
+        for batch in batches:
+            for _, part in chunks(batch.column(0)):
+                h, _ = word_hashes(part)
+                at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+                counts += np.bincount(at[words[at] == h], minlength=len(counts))
+                total += len(h)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], total))], ["word", "n"])
+
+    return run
+
 
 def _windows(shared):
-    """Rows (doc_id, item, start, words, seeds) for windows; (null, word, total, null, [count]) for counts at the end."""
+    """Rows (doc_id, item, start, words): the words around every occurrence of a seed, near ones of an item together."""
 
     def run(batches):
-        s = Seeds(*shared.value)
-        counts, total = np.zeros(len(s.words), np.int64), 0
+        s = shared.value
+        size = np.array([len(w) for _, w in s.items])
         for batch in batches:
             who = batch.column(0)
-            out = [[], [], [], [], []]
+            out = [[], [], [], []]
             for first, part in chunks(batch.column(1)):
                 h, rows = word_hashes(part)
-                total += len(h)
-                if not len(h):
+                if len(h) < s.n:
                     continue
-                at = np.minimum(np.searchsorted(s.words, h), max(0, len(s.words) - 1))
-                known = s.words[at] == h
-                counts += np.bincount(at[known], minlength=len(counts))
-                # an n-gram of known words only, within one text
                 g = ngrams(h, s.n)
-                can = known[: len(g)].copy()
-                for k in range(1, s.n):
-                    can &= known[k : len(g) + k]
-                can &= rows[: len(g)] == rows[s.n - 1 : len(g) + s.n - 1]
-                spots = np.flatnonzero(can)
+                spots = np.flatnonzero(rows[: len(g)] == rows[s.n - 1 : len(g) + s.n - 1])  # within one text
                 lo = np.searchsorted(s.gram, g[spots], "left")
                 n = np.searchsorted(s.gram, g[spots], "right") - lo
                 if not n.sum():
@@ -89,7 +99,6 @@ def _windows(shared):
                 item, row = s.item[seed], rows[spot]
                 order = np.lexsort((spot, item, row))
                 spot, seed, item, row = spot[order], seed[order], item[order], row[order]
-                size = np.array([len(w) for _, w in s.items])
                 new = np.ones(len(spot), bool)
                 new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (spot[1:] - spot[:-1] > 2 * size[item[1:]])
                 edges = [*np.flatnonzero(new).tolist(), len(spot)]
@@ -104,19 +113,12 @@ def _windows(shared):
                     out[1].append(int(k))
                     out[2].append(int(left - begin[r]))
                     out[3].append(h[left:right].view(np.int64))
-                    out[4].append(np.unique(seed[a:b]).astype(np.int32))
             if out[0]:
-                yield _row(out)
-        at = np.flatnonzero(counts)
-        yield _row([[None] * (len(at) + 1), [*at.tolist(), -1], [0] * (len(at) + 1), [[int(c)] for c in counts[at]] + [[total]], [None] * (len(at) + 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "item", "start", "words"])
 
     return run
 
 
-def _row(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32()))], ["doc_id", "item", "start", "words", "seeds"])
-
-
 def align(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of one item against each row of padded windows, and the column where it ends."""
     r, m = windows.shape
@@ -136,26 +138,22 @@ def align(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[n
     return best, where
 
 
-def needed(n: int, share: float, short: int) -> float:
+def needed(n: int, share: float, short: int, long: int) -> float:
     """Score from which an item of n words counts as copied: `share` of the full score, the score of `short` words at
-    least, and of items with fewer words than that every word."""
-    return min(MATCH * n, max(share * MATCH * n, MATCH * short))
+    least, that of `long` words at most, and of items with fewer than `short` words every word."""
+    return min(MATCH * n, max(share * MATCH * n, MATCH * short), MATCH * max(long, short))
 
 
-def _align_all(shared, share: float, short: int):
+def _align_all(shared, share: float, short: int, long: int):
     def run(batches):
-        items, n, rare = shared.value
+        items = shared.value.items
         for batch in batches:
             got = []
             item = batch.column(1).to_numpy()
-            seeds = batch.column(4)
-            keep = np.array([bool(rare[np.asarray(x.values.to_numpy())].any()) for x in seeds], bool)
-            for k in np.unique(item[keep]) if keep.any() else []:
-                rows = np.flatnonzero(keep & (item == k))
-                texts = [batch.column(3)[int(i)].values.to_numpy() for i in rows]
+            for k in np.unique(item):
                 groups: dict[bytes, list[int]] = {}
-                for i, t in zip(rows, texts, strict=True):
-                    groups.setdefault(t.tobytes(), []).append(int(i))  # equal windows are aligned once
+                for i in np.flatnonzero(item == k):
+                    groups.setdefault(batch.column(3)[int(i)].values.to_numpy().tobytes(), []).append(int(i))  # equal windows are aligned once
                 keys = sorted(groups, key=len)
                 words = items[k][1].view(np.int64)
                 for a in range(0, len(keys), 256):
@@ -166,7 +164,7 @@ def _align_all(shared, share: float, short: int):
                         pad[i, : len(x)] = x
                     score, end = align(words, pad, size)
                     for key, sc, e in zip(keys[a : a + 256], score.tolist(), end.tolist(), strict=True):
-                        if sc >= needed(len(words), share, short):
+                        if sc >= needed(len(words), share, short, long):
                             got += [(i, items[k][0], sc, sc / (MATCH * len(words)), e) for i in groups[key]]
             if got:
                 i, who, sc, norm, e = zip(*got)
@@ -180,17 +178,19 @@ def _align_all(shared, share: float, short: int):
 SCHEMA = "doc_id bigint, item_id bigint, score int, share double, end_word int"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0.5, short: int = 8, expected: float = 1.0, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0.5, short: int = 8, long: int = 50, expected: float = 1.0, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, score, share (of the item's full score) and end_word (where the alignment ends) of every copied item.
 
-    docs: doc_id, text; items: item_id, text.  A seed is rare if its words' corpus frequencies let one expect at most
-    `expected` occurrences, or if it is among the rarer half of its item's seeds, so every item keeps seeds.  Items are
-    taken in blocks of at most `block_bytes` of text, one pass over the documents each: what is sent to the tasks is bounded
-    however many items there are.  Items and texts of fewer than n words, nulls and empty tables: no rows.  Of several
-    places in one document, or rows of equal doc_id, the best is returned; a null doc_id is no document.
+    docs: doc_id, text; items: item_id, text.  A copy reaches `share` of an item's score, or the score of `long` words.  A
+    seed is rare if its words' corpus frequencies let one expect at most `expected` occurrences, or if it is among the rarer
+    half of its item's seeds, so every item keeps seeds.  Items are taken in blocks of at most `block_bytes` of text, two
+    passes over the documents each: what is sent to the tasks is bounded however many items there are.  Items of fewer than n
+    words have no seed and are left out: common phrases, not passages.  Nulls, empty texts and empty tables: no rows.  Of
+    several places in one document, or rows of equal doc_id, the best is returned; a null doc_id is no document.
     """
     spark = docs.sparkSession
     rows = items.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     out = spark.createDataFrame([], SCHEMA)
@@ -201,21 +201,19 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, share: float = 0
         if not sets:
             continue
         seeds = Seeds(sets, n)
-        path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
-        found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_windows(spark.sparkContext.broadcast((sets, n))), "doc_id bigint, item int, start int, words array<bigint>, seeds array<int>")
-        found.write.parquet(path)
-        table = spark.read.schema(found.schema).parquet(path)
-        counts = table.filter("doc_id is null").groupBy("item").agg(F.sum(F.col("words")[0]).alias("n")).collect()  # one row a word of the block
+        words = spark.sparkContext.broadcast(seeds.words)
+        counts = texts.select("text").mapInArrow(_word_counts(words), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one row a word of the block
+        words.unpersist()
         freq, tokens = np.full(len(seeds.words), 0.5), 1.0
         for r in counts:
-            if r["item"] < 0:
+            if r["word"] < 0:
                 tokens = max(1.0, float(r["n"]))
             else:
-                freq[r["item"]] = r["n"]
-        rare = _rare(seeds, np.log(freq / tokens), np.log(tokens), np.log(expected))
-        shared = spark.sparkContext.broadcast((sets, n, rare))
-        windows = table.filter("doc_id is not null")
-        hits = windows.repartition(max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_align_all(shared, share, short), SCHEMA)
+                freq[r["word"]] = r["n"]
+        seeds.keep(_rare(seeds, np.log(freq / tokens), np.log(tokens), np.log(expected)))
+        shared = spark.sparkContext.broadcast(seeds)
+        windows = texts.mapInArrow(_windows(shared), "doc_id bigint, item int, start int, words array<bigint>")
+        hits = windows.repartition(max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_align_all(shared, share, short, long), SCHEMA)
         out = out.unionByName(hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "share", "end_word")).alias("x")).select("doc_id", "item_id", "x.*"))
     return out
 
@@ -231,4 +229,5 @@ def _rare(seeds: Seeds, logp: np.ndarray, log_tokens: float, log_expected: float
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contaminated() of `documents` and `benchmark`; nulls, empties, repeats and empty tables as stated there."""
     return contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

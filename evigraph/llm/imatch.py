@@ -1,9 +1,10 @@
 """I-Match fingerprints: of a text's terms those within an inverse-document-frequency band, distinct and sorted, hashed
 once for each of several randomised lexicon subsets.
 
-The lexicon is a bitmap over hashed terms, so its size is fixed however many terms a corpus has; terms that share a slot
-share a document frequency.  Each subset takes a share of the lexicon that follows the text's number of terms (a power of
-two), so that about one term of any text falls in each; a change of some terms leaves the other subsets' hashes alone.
+The subsets are the same for every text: DRAWS random orders of the lexicon, of which each keeps a half, a quarter and so on
+down to 2**-LEVELS, and the whole lexicon.  A large subset tells equal texts, a small one holds few terms of a text and so
+survives an edit elsewhere.  Document frequencies are counted by 64-bit term hashes; what is sent to the tasks is a bitmap of
+the band, of bounded size, through which a stated share of other terms passes (see lexicon()).
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER, LOWER, SpanHasher, buffers, chunks, documents, mix, runs
+from .common import LETTER, LOWER, SpanHasher, buffers, chunks, documents, mix, runs, stored
 
-BITS = 22
-SUBSETS = 32
+DRAWS, LEVELS = 8, 11
+COLUMNS = 1 + DRAWS * LEVELS
+COUNTED = 1 << 20  # terms of a task's texts, counted at once
 _TERM = LETTER.copy()
 _TERM[48:58] = True
 LEAST = -(1 << 62)  # stands for a null doc_id
-_SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def terms(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,89 +43,108 @@ def terms(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, rows, np.searchsorted(rows, np.arange(len(part) + 1))
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def _frequencies(batches):
-    counts = np.zeros(1 << BITS, np.int32)
-    for batch in batches:
-        for _, part in chunks(batch.column(0)):
-            counts += np.bincount(_slots(terms(part)[0]), minlength=1 << BITS).astype(np.int32) if len(part) > 64 else 0
-            if len(part) <= 64:
-                np.add.at(counts, _slots(terms(part)[0]), 1)
-    at = np.flatnonzero(counts)
-    for i in range(0, len(at), 1 << 18):
-        some = at[i : i + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["slot", "n"])
+    """(term, n): in how many texts of a task each term occurs."""
 
+    def flush(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
-def _bits(batches):
-    """Slots of the band, as bytes of a bitmap."""
+    held, size = [], 0
     for batch in batches:
-        slot = batch.column(0).to_numpy()
-        byte, bit = slot >> 3, (1 << (slot & 7)).astype(np.int64)
-        which, back = np.unique(byte, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.bincount(back, bit).astype(np.int32))], ["byte", "bits"])
+        for _, part in chunks(batch.column(0)):
+            held.append(terms(part)[0])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield flush(held)
+                held, size = [], 0
+    if size:
+        yield flush(held)
 
 
-def lexicon(docs: DataFrame, low: int = 2, high: float = 0.05) -> np.ndarray:
-    """Bitmap of the slots whose document frequency, over all rows, is `low` at least and at most `high` of the rows.
+def lexicon(docs: DataFrame, low: int = 2, high: float = 0.05, most_bits: int = 26) -> np.ndarray:
+    """Bitmap of the terms whose document frequency, over all rows, is `low` at least and at most `high` of the rows.
 
-    Counted in each task, summed in one shuffle of at most 2**BITS rows a task; the driver gets 2**BITS bits.
+    Terms are counted in each task and summed in one shuffle.  The bitmap has eight bits a term of the band, 2**most_bits
+    (8 MB) at most, so of terms outside the band a share of terms / bits passes: an eighth, and more above 8 million terms of
+    the band.  It reaches the driver in blocks of 4 KB.
     """
-    counts = docs.select("text").mapInArrow(_frequencies, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    band = counts.filter((F.col("n") >= low) & (F.col("n") <= max(low, docs.count() * high)))
-    got = band.select("slot").mapInArrow(_bits, "byte int, bits int").toArrow()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(out, got["byte"].to_numpy(), got["bits"].to_numpy().astype(np.uint8))
+    counts = docs.select("text").mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    band = stored(counts.filter((F.col("n") >= low) & (F.col("n") <= max(low, docs.count() * high))).select("term"), "band")
+    bits = int(np.clip(int(band.count() * 8).bit_length(), 16, most_bits))
+
+    def block(t: pa.Table) -> pa.Table:
+        slot = t["slot"].to_numpy()
+        raw = np.zeros(1 << 12, np.uint8)
+        np.bitwise_or.at(raw, (slot >> 3) & 0xFFF, (1 << (slot & 7)).astype(np.uint8))
+        return pa.table({"block": [int(slot[0] >> 15)], "raw": [raw.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("raw", pa.binary())]))
+
+    slots = band.select(F.shiftrightunsigned("term", 64 - bits).alias("slot")).distinct()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in slots.groupBy(F.shiftright("slot", 15)).applyInArrow(lambda t: block(t), "block int, raw binary").collect():
+        out[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["raw"], np.uint8)
     return out
 
 
+def _in_band(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = (h >> np.uint64(64 - (len(bitmap) * 8 - 1).bit_length())).astype(np.int64)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sequences(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have terms, and the hash (1 to 65535) of each one's sorted sequence."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    place = (np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), first)
+    return rows[first], np.maximum(mix(total) >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+
+
 def fingerprints(part: pa.Array, bitmap: np.ndarray) -> np.ndarray:
-    """(rows, SUBSETS) 32-bit hashes.  A text without a term of the band uses all its terms; one without terms, zeros.
+    """(rows, COLUMNS) hashes.  A text without a term of the band uses all its terms; one without terms, zeros.
 
     0 marks a subset that holds none of the text's terms.
     """
-    h, rows, offs = terms(part)
-    n = len(part)
-    out = np.zeros((n, SUBSETS), np.uint32)
+    h, rows, _ = terms(part)
+    out = np.zeros((len(part), COLUMNS), np.uint16)
     if not len(h):
         return out
-    slot = _slots(h)
-    band = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-    some = np.bincount(rows[band], minlength=n)
+    band = _in_band(h, bitmap)
+    some = np.bincount(rows[band], minlength=len(part))
     use = band | (some[rows] == 0)
     h, rows = h[use], rows[use]
-    count = np.bincount(rows, minlength=n)
-    level = np.maximum(0, np.round(np.log2(np.maximum(count, 1)))).astype(np.uint64)  # a share of 2**-level
-    limit = (np.uint64(1) << (np.uint64(63) - level))[rows]
-    for k in range(SUBSETS):
+    r, x = _sequences(h, rows)
+    out[r, 0] = x
+    for k in range(DRAWS):
         m = mix(h ^ _SEEDS[k])
-        inside = np.flatnonzero((m >> np.uint64(1)) < limit)
-        # terms stand sorted; the hash of a sorted sequence of distinct terms
-        r, v = rows[inside], m[inside]
-        if not len(r):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        with np.errstate(over="ignore"):
-            place = (np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))).astype(np.uint64)
-            total = np.add.reduceat(mix(v + place * np.uint64(0x9E3779B97F4A7C15)), first)
-        out[r[first], k] = np.maximum(mix(total) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+        own, who = m, rows
+        for level in range(1, LEVELS + 1):
+            inside = np.flatnonzero(own & np.uint64(1 << (level - 1)) == 0)  # half of the subset before
+            if not len(inside):
+                break
+            own, who = own[inside], who[inside]
+            r, x = _sequences(own, who)
+            out[r, 1 + k * LEVELS + level - 1] = x
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal hashes among the subsets that hold a term of either text; 1 if neither text has any term."""
-    either = (a != 0) | (b != 0)
-    same = ((a == b) & either).sum(1)
-    n = either.sum(1)
-    return np.where(n == 0, 1.0, same / np.maximum(n, 1))
+    """Share of equal hashes among the subsets that hold a term of either text; 1 if neither text has any term.
+
+    Levels all of whose subsets hold one are left out, as any edit changes them, unless every level is such: then
+    the smallest subsets are compared.  Equal fingerprints are alike by 1.
+    """
+    either, same = (a != 0) | (b != 0), (a == b) & (a != 0)
+    n, equal = (x[:, 1:].reshape(-1, DRAWS, LEVELS).sum(1) for x in (either, same))
+    tells = (n < DRAWS).copy()
+    tells[~tells.any(1), -1] = True
+    n, equal = (n * tells).sum(1), (equal * tells).sum(1)
+    return np.where((a == b).all(1), 1.0, np.where(n == 0, 0.0, equal / np.maximum(n, 1)))
 
 
 def as_text(fp: np.ndarray) -> list[str]:
-    raw = fp.astype(">u4").tobytes().hex()
-    step = 8 * fp.shape[1]
+    raw = fp.astype(">u2").tobytes().hex()
+    step = 4 * fp.shape[1]
     return [raw[i : i + step] for i in range(0, len(raw), step)]
 
 
@@ -204,6 +225,11 @@ def edit(text: str, following: str) -> str:
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every row of `documents` and of its edited text.
+
+    Null texts count as empty; a null doc_id comes last, rows of equal doc_id follow each other by the hash of their text; a
+    table of one row follows itself; an empty table gives an empty result.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text")
     shared = spark.sparkContext.broadcast(lexicon(docs))
 

@@ -33,6 +33,7 @@ WORD = re.compile(r"[^ ]+")
 BLANKS = " \t\n\r\x0b\x0c"
 BLANK = re.compile(r"[ \t-\r]")
 EDGES = ".,;:!?()[]{}\"'|<>"
+STOPS = frozenset(EDGES + BLANKS + "\xa0")
 
 Span = tuple[int, int, int]  # start, end, index of the kind
 
@@ -79,10 +80,6 @@ def shape(instance: str) -> str:
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 20)}" if len(instance) == len(m.group()) else "9", s)
 
 
-def _word(s: str) -> str:
-    return re.sub(r"[0-9]+", "9", s.strip(EDGES).lower())
-
-
 def parts_of_dropped(text: str) -> list[tuple[int, int]]:
     """Phone matches with too many digits: the shortest part up to a blank that is a phone, and the rest if it is a card."""
     out = []
@@ -104,50 +101,73 @@ def parts_of_dropped(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(text: str, spans: list[Span], reach: int = 160) -> list[tuple[int, int, int]]:
+class Covered:
+    """Spans in order, asked whether any overlaps a stretch."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.reach, top = [], [], 0
+        for s in sorted(spans):
+            top = max(top, s[1])
+            self.starts.append(s[0])
+            self.reach.append(top)
+
+    def __call__(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.reach[i - 1] > a
+
+
+def candidates(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
     """Seeds and identifier-like strings beside them: (start, end, kind, or -1 where unknown).
 
-    A string between blanks without its edge punctuation: an @ or three digits at least, 5 to 128 characters.
+    A string between blanks without its edge punctuation: an @ or three digits at least, five characters or more.
     """
-    more = []
-    for a, b in parts_of_dropped(text):
-        i = bisect_left(spans, (b,))
-        if not any(s[1] > a for s in spans[max(0, i - 8) : i]):
-            more.append((a, b, -1))
-    spans = sorted(spans + more)
-    out, last, k = list(spans), 0, 0
+    taken = Covered(spans)
+    out = [*spans, *((a, b, -1) for a, b in parts_of_dropped(text) if not taken(a, b))]
+    taken, last = Covered(out), 0
+    out.sort()
     for m in IDENTIFIER.finditer(text):
         i = m.start()
         if i < last:
             continue
-        a, b = max(last, i - reach), min(len(text), i + reach)
-        left = max((text.rfind(c, a, i) for c in BLANKS), default=-1) + 1 or a
-        end = BLANK.search(text, i, b)
-        right = end.start() if end else b
-        last = right
+        left = max((text.rfind(c, last, i) for c in BLANKS), default=-1) + 1 or last
+        end = BLANK.search(text, i)
+        last = right = end.start() if end else len(text)
         while left < right and text[left] in EDGES:
             left += 1
         while right > left and text[right - 1] in EDGES:
             right -= 1
         token = text[left:right]
-        if not 5 <= len(token) <= 128 or ("@" not in token and sum(map(token.count, "0123456789")) < 3):
-            continue
-        while k < len(spans) and spans[k][1] <= left:
-            k += 1
-        if any(s[0] < right and s[1] > left for s in spans[k : k + 8]):
+        if len(token) < 5 or ("@" not in token and sum(map(token.count, "0123456789")) < 3) or taken(left, right):
             continue
         out.append((left, right, -1))
     return out
 
 
+def _words_beside(text: str, start: int, end: int) -> tuple[str, str]:
+    """The whole words before and after a span, lower-cased, digits as 9; ^ and $ at the text's ends.  Punctuation parts words."""
+    j = start
+    while j > 0 and text[j - 1] in STOPS:
+        j -= 1
+    i = j
+    while i > 0 and text[i - 1] not in STOPS:
+        i -= 1
+    a = end
+    while a < len(text) and text[a] in STOPS:
+        a += 1
+    b = a
+    while b < len(text) and text[b] not in STOPS:
+        b += 1
+    plain = lambda s: re.sub(r"[0-9]+", "9", s.lower())
+    return plain(text[i:j]) if i < j else "^", plain(text[a:b]) if a < b else "$"
+
+
 def patterns(text: str, start: int, end: int) -> list[int]:
-    """Keys of a span's lexical patterns: its shape if it is a base match by itself, both words beside it, the word before,
-    the word after, each with the shape."""
-    before, after = text[max(0, start - 48) : start].split(), text[end : end + 48].split()
-    left, right = _word(before[-1]) if before else "^", _word(after[0]) if after else "$"
+    """Keys of a span's lexical patterns: both words beside it, the word before, the word after, each with the span's shape;
+    and the shape alone if the span by itself is a base match."""
+    left, right = _words_beside(text, start, end)
     form, alone = shape(text[start:end]), text[start:end]
     whole = [_key(f"F|{form}|{KINDS[k]}") for a, b, k in base_spans(alone) if b - a == len(alone)]
-    return [*whole, _key(f"B|{form}|{left}|{right}"), _key(f"L|{form}|{left}"), _key(f"R|{form}|{right}")]
+    return [_key(f"B|{form}|{left}|{right}"), _key(f"L|{form}|{left}"), _key(f"R|{form}|{right}"), *whole]
 
 
 def _key(s: str) -> int:
@@ -270,6 +290,9 @@ def redact(docs: DataFrame, learnt: DataFrame | None = None) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find() in every row of `documents` with the patterns learnt from all of them.  Null texts count as empty, rows of equal
+    doc_id and null ids are rows like others, an empty table gives an empty result.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     spans = find(docs, learn(docs)).drop("text")
 

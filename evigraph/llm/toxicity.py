@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms: a linear part and learnt pairwise interactions.
 
-Terms are lower-cased words and their beginnings of four and five bytes, hashed to slots; the slots that tell the labels
-apart on the training sample become the machine's variables (1 where a text has the term).
+Terms are lower-cased words and their beginnings of four and five bytes, hashed to slots.  Every slot that two documents of the
+training sample have is a variable of the machine, scaled by how well it tells the labels apart, alone or together with another
+term, so that a text's many uninformative terms weigh little; a term that the sample lacks adds nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .quality import labelled
 BITS = 20
 PER_CLASS = 4000
 STEMS = (4, 5)
+OFTEN = 1024  # slots, the most frequent ones, that are looked at in pairs before training; training itself pairs all
 
 
 def terms(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,42 +38,74 @@ def terms(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(slot).astype(np.int64)
 
 
+def term_sets(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, edge): the distinct slots of each text, one text after the other."""
+    rows, slot = terms(part)
+    key = np.unique((rows << BITS) | slot)
+    return (key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(len(part) + 1))
+
+
 def _term_sets(batches):
     for batch in batches:
-        out = []
-        for _, part in chunks(batch.column(1)):
-            rows, slot = terms(part)
-            key = np.unique((rows << BITS) | slot)
-            out += [x.astype(np.int32) for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, len(part))))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "slots"])
-
-
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: int = 4, steps: int = 200, rate: float = 0.02, decay: float = 1e-5, seed: int = 3) -> tuple:
-    """Bias, linear weights and factors (variables x rank) by full-batch Adam on the weighted logistic loss.
-
-    Linear weights start at zero: begun with the terms' log-odds, texts with many weak terms are flagged."""
-    rng = np.random.default_rng(seed)
-    n, f = x.shape
-    w0, w, v = np.float32(np.log((weight * y).sum() / (weight * (1 - y)).sum())), np.zeros(f, np.float32), rng.normal(0, 0.02, (f, rank)).astype(np.float32)
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1, np.float32), w, v)]
-    weight = (weight / weight.sum()).astype(np.float32)
-    for t in range(1, steps + 1):
-        xv = x @ v
-        out = w0 + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
-        d = (weight * (sigmoid(out) - y)).astype(np.float32)
-        xd = x.T @ d
-        grads = (np.array([d.sum()], np.float32), xd + decay * w, x.T @ (d[:, None] * xv) - xd[:, None] * v + decay * v)
-        new = []
-        for p, g, m in zip((np.array([w0], np.float32), w, v), grads, moments, strict=True):
-            m[0] = 0.9 * m[0] + 0.1 * g
-            m[1] = 0.999 * m[1] + 0.001 * g * g
-            new.append(p - rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8))
-        w0, w, v = np.float32(new[0][0]), new[1].astype(np.float32), new[2].astype(np.float32)
-    return float(w0), w, v
-
-
-def fit(rows: DataFrame, counts: dict | None = None, per_class: int = PER_CLASS, variables: int = 768, rank: int = 4) -> tuple | None:
-    """(slot -> variable or -1, bias, weights, factors) from at most about `per_class` whole documents of each label.
+        for first, part in chunks(batch.column(1)):
+            slots, edge = term_sets(part)
+            lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(slots))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), batch.column(2).slice(first, len(part)), lists], ["doc_id", "y", "slots"])
+
+
+def _sums(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of the values between edges, row by row."""
+    out = np.zeros((len(edge) - 1, *values.shape[1:]))
+    full = np.flatnonzero(np.diff(edge))
+    if len(full):
+        out[full] = np.add.reduceat(values, edge[full], axis=0)
+    return out
+
+
+def margins(var: np.ndarray, edge: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """w0 + sum of w x + sum over pairs of <v, v> x x of each row's variables; `size` is x."""
+    x = size[var]
+    vx = v[var] * x[:, None]
+    s = _sums(vx, edge)
+    return w0 + _sums(w[var] * x, edge) + 0.5 * ((s * s).sum(1) - _sums((vx * vx).sum(1), edge))
+
+
+def train(var: np.ndarray, edge: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: int = 4, steps: int = 200, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> tuple:
+    """Bias, linear weights and factors (variables x rank) by AdaGrad over small batches, on the weighted logistic loss.
+
+    Linear weights start at zero: begun with the terms' log-odds, texts with many weak terms are flagged.
+    """
+    rng, f = np.random.default_rng(seed), len(size)
+    w0, w, v = float(np.log((weight * y).sum() / (weight * (1 - y)).sum())), np.zeros(f), rng.normal(0, 0.05, (f, rank))
+    seen0, seen_w, seen_v = 1e-8, np.full(f, 1e-8), np.full((f, rank), 1e-8)
+    weight = weight / weight.mean()
+    for _ in range(max(6, -(-steps // -(-len(y) // batch)))):
+        order = rng.permutation(len(y))
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            n = edge[rows + 1] - edge[rows]
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            k = var[np.repeat(edge[rows] - cuts[:-1], n) + np.arange(cuts[-1])]
+            d = weight[rows] * (sigmoid(margins(k, cuts, w0, w, v, size)) - y[rows]) / len(rows)
+            x = size[k]
+            vx = v[k] * x[:, None]
+            s = _sums(vx, cuts)
+            dk = np.repeat(d, n) * x
+            used, back = np.unique(k, return_inverse=True)
+            gw = np.bincount(back, dk, len(used)) + decay * w[used]
+            pull = dk[:, None] * (np.repeat(s, n, axis=0) - vx)
+            gv = np.stack([np.bincount(back, pull[:, j], len(used)) for j in range(rank)], axis=1) + decay * v[used]
+            seen0 += d.sum() ** 2
+            seen_w[used] += gw * gw
+            seen_v[used] += gv * gv
+            w0 -= rate * d.sum() / np.sqrt(seen0)
+            w[used] -= rate * gw / np.sqrt(seen_w[used])
+            v[used] -= rate * gv / np.sqrt(seen_v[used])
+    return w0, w.astype(np.float32), v.astype(np.float32)
+
+
+def fit(rows: DataFrame, counts: dict | None = None, per_class: int = PER_CLASS, rank: int = 4) -> tuple | None:
+    """(slot -> variable or -1, sizes, bias, weights, factors) from at most about `per_class` whole documents of each label.
 
     `rows`: doc_id, text, y (0 or 1).  Label counts over all rows set the prior; given `counts`, `rows` is their sample.
     None when no label is there; with a single label the score is constant.
@@ -80,28 +114,59 @@ def fit(rows: DataFrame, counts: dict | None = None, per_class: int = PER_CLASS,
     count = {r[0]: r[1] for r in rows.groupBy("y").count().collect() if r[0] in (0, 1)} if all_rows else counts
     some = sample_by_class(rows, "y", per_class, "toxicity") if all_rows else rows
     got = some.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(_term_sets, "doc_id bigint, y int, slots array<int>").toArrow().sort_by("doc_id")
-    y = got["y"].to_numpy().astype(np.float32)
+    y = got["y"].to_numpy().astype(np.float64)
     if not len(y):
         return None
-    table = np.full(1 << BITS, -1, np.int16)
+    table = np.full(1 << BITS, -1, np.int32)
     if y.min() == y.max():
-        return table, 6.0 if y[0] else -6.0, np.zeros(1, np.float32), np.zeros((1, rank), np.float32)
-    sets = [np.asarray(s, np.int64) for s in got["slots"].to_numpy()]
+        return table, np.zeros(1, np.float32), 6.0 if y[0] else -6.0, np.zeros(1, np.float32), np.zeros((1, rank), np.float32)
+    lists = got["slots"].combine_chunks()
+    slots, edge = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    del got, lists
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    df1, df0 = (np.bincount(np.concatenate([s for s, t in zip(sets, y, strict=True) if t == label]), minlength=1 << BITS) for label in (1, 0))
-    p1, p0 = (df1 + 0.5) / (n1 + 1), (df0 + 0.5) / (n0 + 1)
-    p = (df1 + df0 + 1.0) / (len(y) + 2)
-    z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    z[df1 + df0 < 3] = 0
-    chosen = np.argsort(-z, kind="stable")[:variables]
-    chosen = chosen[z[chosen] > 3.5] if (z[chosen] > 3.5).sum() >= 16 else chosen[:16]
-    table[chosen] = np.arange(len(chosen), dtype=np.int16)
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    for i, s in enumerate(sets):
-        k = table[s]
-        x[i, k[k >= 0]] = 1
-    w0, w, v = train(x, y, np.where(y > 0, count[1] / n1, count[0] / n0).astype(np.float32), rank)
-    return table, w0, w, v
+    of = np.repeat(y, np.diff(edge))
+    df1, df0 = (np.bincount(slots[of == label], minlength=1 << BITS) for label in (1, 0))
+    z = chance(df1, df0, n1, n0)
+    chosen = np.flatnonzero(df1 + df0 >= 2)
+    if not len(chosen):
+        chosen = np.flatnonzero(df1 + df0)[:1]
+    if not len(chosen):
+        return table, np.zeros(1, np.float32), float(np.log(n1 / n0)), np.zeros(1, np.float32), np.zeros((1, rank), np.float32)
+    table[chosen] = np.arange(len(chosen), dtype=np.int32)
+    often = chosen[np.argsort(-(df1 + df0)[chosen], kind="stable")[:OFTEN]]
+    pair = np.zeros(1 << BITS)
+    pair[often] = together(slots, edge, y, z, often)
+    size = scale(z[chosen], pair[chosen]).astype(np.float32)
+    var = table[slots]
+    edge = np.concatenate([[0], np.cumsum(var >= 0)])[edge]
+    w0, w, v = train(var[var >= 0], edge, size, y, np.where(y > 0, count[1] / n1, count[0] / n0), rank)
+    return table, size, w0, w, v
+
+
+def chance(df1: np.ndarray, df0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """By how many standard deviations the shares of the two labels' documents that have something differ."""
+    p1, p0, p = (df1 + 0.5) / (n1 + 1), (df0 + 0.5) / (n0 + 1), (df1 + df0 + 1.0) / (n1 + n0 + 2)
+    return np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def together(slots: np.ndarray, edge: np.ndarray, y: np.ndarray, z: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """For each of the slots `often`, the most that its presence together with another of them tells beyond either alone."""
+    place = np.full(len(z), -1, np.int32)
+    place[often] = np.arange(len(often))
+    pairs = []
+    for label in (1, 0):
+        x = np.zeros((int((y == label).sum()), len(often)), np.float32)
+        for i, r in enumerate(np.flatnonzero(y == label)):
+            k = place[slots[edge[r] : edge[r + 1]]]
+            x[i, k[k >= 0]] = 1
+        pairs.append(x.T @ x)
+    both = chance(*pairs, float(y.sum()), float(len(y) - y.sum()))
+    return np.where(both > np.maximum(z[often][:, None], z[often][None]) + 1, both, 0.0).max(1)
+
+
+def scale(z: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """How much a variable counts: little while it differs between the labels no more than chance lets one of many do."""
+    return np.clip((np.maximum(z, pair - 3) - 2) / 6, 0.02, 1.0)
 
 
 def score(docs: DataFrame, model: tuple | None, threshold: float = 0.7) -> DataFrame:
@@ -111,7 +176,7 @@ def score(docs: DataFrame, model: tuple | None, threshold: float = 0.7) -> DataF
     """
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS short ints and the machine: fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS variables: fixed size
     names = docs.columns
     keep = [c for c in names if c.lower() not in ("text", "score", "predicted")]
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -122,21 +187,21 @@ def score(docs: DataFrame, model: tuple | None, threshold: float = 0.7) -> DataF
         for batch in batches:
             out = np.full(batch.num_rows, 0.5)
             if model is not None:
-                table, w0, w, v = model
+                table, size, w0, w, v = model
                 for first, part in chunks(batch.column(at)):
-                    rows, slot = terms(part)
-                    var = table[slot]
-                    hit = var >= 0
-                    x = np.zeros((len(part), len(w)), np.float32)
-                    x[rows[hit], var[hit]] = 1
-                    xv = x @ v
-                    out[first : first + len(part)] = sigmoid(w0 + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1)))
+                    slots, edge = term_sets(part)
+                    var = table[slots]
+                    edge = np.concatenate([[0], np.cumsum(var >= 0)])[edge]
+                    out[first : first + len(part)] = sigmoid(margins(var[var >= 0], edge, w0, w, v, size))
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], pa.array(out), pa.array((out >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of `documents` with the model of labelled rows not held out.  Null and empty texts get the bias's score; rows of
+    equal doc_id are rows; a null doc_id counts as not held out and is never a labelled one; empty tables: 0.5 or no rows.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(*labelled(docs, labels, "toxic", 3, 1, PER_CLASS, "toxicity"))

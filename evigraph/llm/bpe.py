@@ -189,25 +189,31 @@ class ForcedBoundaryBPE:
 
 
 def load(path: str | None = None) -> ForcedBoundaryBPE:
-    """Reads a vocabulary file on the driver; its content travels with the tasks."""
+    """The encoder of a vocabulary file."""
+    return ForcedBoundaryBPE(_spec(path))
+
+
+def _spec(path: str | None) -> str:
+    """A vocabulary file, read on the driver; its content travels with the tasks."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
-        return ForcedBoundaryBPE(f.read())
+        return f.read()
 
 
 def encode(docs: DataFrame, path: str | None = None, ids: bool = True, decoded: bool = True) -> DataFrame:
     """All columns of `docs` with ids array<int> and decoded string of its `text` (null: empty).
 
-    Columns of these names are replaced.  Ids of special tokens are given where their strings occur in a text.
+    Columns of these names are replaced.  Ids of special tokens are given where their strings occur in a text.  Every row is
+    encoded by itself, so repeats and null ids are rows like others; an empty table stays empty.
     """
     return _run(docs, path, "full", ids, decoded)
 
 
 def _run(docs: DataFrame, path: str | None, mode: str, with_ids: bool = True, with_text: bool = True) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(load(path).spec)  # one vocabulary file, some MB
+    shared = docs.sparkSession.sparkContext.broadcast(_spec(path))  # one vocabulary file, some MB
     if mode == "full":
         rest = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
         docs = docs.select(*[f"`{c}`" for c in rest])
@@ -244,5 +250,6 @@ def _run(docs: DataFrame, path: str | None, mode: str, with_ids: bool = True, wi
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of encode() for every row of `documents`; nulls, empties and repeats as stated there."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return _run(docs, None, "digest")

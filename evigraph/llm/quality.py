@@ -1,8 +1,9 @@
 """Quality by naive Bayes support vectors: n-gram indicators scaled by class log-count ratios, then a linear hinge-loss
 model fitted by dual coordinate descent.
 
-The n-grams are those of two streams of a whole text: its characters by kind (lower, upper, digit, anything else as it is)
-and its words by whether each repeats the one before.  Indicators are hashed to slots.
+The n-grams of a whole text are those of its characters by kind (lower, upper, digit, anything else as it is), whether words
+repeat the one before, and, in slots of their own, its lower-cased words, pairs of words and groups of four characters.
+Indicators are hashed to slots.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, SpanHasher, buffers, chunks, documents, remainder, runs, sample_by_class
-from .linear import hinge_dual, platt, sigmoid
+from .common import LOWER, SPACE, SpanHasher, buffers, chunks, documents, mix, remainder, runs, sample_by_class
+from .linear import Sparse, hinge_dual, platt, sigmoid
 
-BITS = 13
+BITS = 13  # of the slots of kinds
+WORD_BITS = 15  # of those of words and characters
+WIDTH = (1 << BITS) + (1 << WORD_BITS)
 PER_CLASS = 1500
 ORDERS = (2, 3, 4)
 KIND = np.arange(256, dtype=np.uint8)
@@ -27,35 +30,46 @@ _ODD = (0, 0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
 def indicators(part: pa.Array) -> np.ndarray:
-    """(rows, 2**BITS) 0/1: which n-grams occur in each text."""
+    """(rows, WIDTH) 0/1: which n-grams occur in each text."""
     data, offs = buffers(part)
-    flags = np.zeros((len(part), 1 << BITS), np.uint8)
+    flags = np.zeros((len(part), WIDTH), np.uint8)
     if not len(data):
         return flags
     flat = flags.reshape(-1)
-    base = np.repeat(np.arange(len(part), dtype=np.int64) << BITS, np.diff(offs))
-    kinds = KIND[data].astype(np.uint32)
-    for n in ORDERS:
-        code = kinds.copy()
+    base = np.repeat(np.arange(len(part), dtype=np.int64) * WIDTH, np.diff(offs))
+    low = LOWER[data]
+
+    def characters(stream: np.ndarray, n: int, bits: int, at: int) -> None:
+        code = stream.astype(np.uint32)
         for k in range(1, n):
-            code[:-k] |= kinds[k:] << np.uint32(8 * k)
+            code[:-k] |= stream[k:].astype(np.uint32) << np.uint32(8 * k)
         with np.errstate(over="ignore"):
-            s = (code * np.uint32(_ODD[n])) >> np.uint32(32 - BITS)
+            s = (code * np.uint32(_ODD[n])) >> np.uint32(32 - bits)
         inside = np.ones(len(data), bool)
         for k in range(1, n):
             edge = offs[1:] - k
             inside[edge[edge >= offs[:-1]]] = False
-        flat[(base + s)[inside]] = 1
-    low = LOWER[data]
+        flat[(base + at + s)[inside]] = 1
+
+    for n in ORDERS:
+        characters(KIND[data], n, BITS, 0)
+    characters(low, 4, WORD_BITS, 1 << BITS)
     starts, ends, rows = runs(~SPACE[data], offs)
     if len(starts):
         h = SpanHasher(low)(starts, ends)
+        at = rows * WIDTH + (1 << BITS)
+        flat[at + (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)] = 1
+        near = np.zeros(len(h), bool)
+        near[1:] = rows[1:] == rows[:-1]
+        with np.errstate(over="ignore"):
+            two = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+        flat[(at[1:] + (two >> np.uint64(64 - WORD_BITS)).astype(np.int64))[near[1:]]] = 1
         same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
+        same[1:] = (h[1:] == h[:-1]) & near[1:]
         run = same.astype(np.int64)
         for length in (1, 2, 3, 4):  # that many repeats in a row
-            at = np.flatnonzero(run)
-            flat[(rows[at] << BITS) + (length * 2654435761 % (1 << BITS))] = 1
+            k = np.flatnonzero(run)
+            flat[rows[k] * WIDTH + (length * 2654435761 % (1 << BITS))] = 1
             run = run & np.concatenate([[0], run[:-1]])
     return flags
 
@@ -71,7 +85,7 @@ def _packed(batches):
 def fit(rows: DataFrame, counts: dict | None = None, per_class: int = PER_CLASS, smooth: float = 1.0) -> tuple | None:
     """(weights, offset) from at most about `per_class` whole documents of each label of `rows` (doc_id, text, y: 0 or 1).
 
-    The bound keeps the driver's share fixed (a kilobyte a document).  Label counts over all rows set the prior; given
+    The bound keeps the driver's share fixed (WIDTH bits a document).  Label counts over all rows set the prior; given
     `counts`, `rows` is their sample.  With only one label, the score is constant; without any, None.
     """
     all_rows = counts is None
@@ -82,11 +96,15 @@ def fit(rows: DataFrame, counts: dict | None = None, per_class: int = PER_CLASS,
     if not len(y):
         return None
     if y.min() == y.max():
-        return np.zeros(1 << BITS, np.float32), 6.0 if y[0] else -6.0
-    x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in got["bits"].to_pylist()]), axis=1).astype(np.float32)
-    p, q = smooth + x[y == 1].sum(0), smooth + x[y == 0].sum(0)
+        return np.zeros(WIDTH, np.float32), 6.0 if y[0] else -6.0
+    idx = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))).astype(np.int32) for b in got["bits"].to_pylist()]
+    del got
+    edge = np.concatenate([[0], np.cumsum([len(i) for i in idx])])
+    idx = np.concatenate(idx)
+    of = np.repeat(y, np.diff(edge))
+    p, q = (smooth + np.bincount(idx[of == label], minlength=WIDTH) for label in (1, 0))
     ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
-    x *= ratio
+    x = Sparse(idx, ratio[idx], edge, WIDTH)
     n1 = y.sum()
     w = hinge_dual(x, 2 * y - 1, np.where(y > 0, len(y) / 2 / n1, len(y) / 2 / (len(y) - n1)) * 0.01, epochs=20)
     prior = np.where(y > 0, count[1] / n1, count[0] / (len(y) - n1))
@@ -101,7 +119,7 @@ def score(docs: DataFrame, model: tuple | None, threshold: float = 0.7) -> DataF
     """
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH floats
     names = docs.columns
     keep = [c for c in names if c.lower() not in ("text", "score", "predicted")]
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -132,6 +150,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of `documents` with the model of labelled rows not held out.  Null and empty texts get the offset's score; rows
+    of equal doc_id are rows; a null doc_id counts as not held out and is never a labelled one; empty tables: 0.5 or no rows.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(*labelled(docs, labels, "quality", 4, 2, PER_CLASS, "quality"))

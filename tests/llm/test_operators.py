@@ -14,9 +14,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from evigraph.llm import bpe, decontaminate, imatch, language, ngramlm, pii, quality, redirects, simhash, toxicity
+from evigraph.llm import bpe, decontaminate, imatch, language, linear, ngramlm, pii, quality, redirects, registry, simhash, toxicity
 from evigraph.llm.common import SpanHasher, components, runs
 from evigraph.llm.eliasfano import EliasFano, build
+from evigraph.llm.linear import sigmoid
 
 ODD = ["", None, " ", "a", "\x00", "é ñ ß İ 日本語 😀", "word " * 5000, "x" * 200_000, "1" * 5000, "@" * 3000, "a@b.c@d.e", "same text here", "same text here"]
 
@@ -49,10 +50,11 @@ def reach(edges):
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 180)] + [(1000, i) for i in range(1001, 1200)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(100)]
-    got = {r["node"]: r["component"] for r in components(frame(spark, edges, "a bigint, b bigint")).collect()}
     want = reach([e for e in edges if e[0] != e[1]])
-    assert got == want
-    assert components(frame(spark, [], "a bigint, b bigint")).count() == 0
+    for few in (0, 1 << 17):
+        got = {r["node"]: r["component"] for r in components(frame(spark, edges, "a bigint, b bigint"), few=few).collect()}
+        assert got == want
+        assert components(frame(spark, [], "a bigint, b bigint"), few=few).count() == 0
 
 
 def test_span_hash_and_runs():
@@ -156,19 +158,94 @@ def held(i, mod):
     return zlib.crc32(str(i).encode()) % mod
 
 
-def test_toxicity_learns_pairs_and_terms(spark):
+@pytest.mark.parametrize("bad", [lambda a, b: a and b, lambda a, b: a != b])
+def test_toxicity_learns_pairs_and_terms(spark, bad):
+    """Both terms together, and either but not both, which no additive weights can tell."""
     rng = random.Random(5)
     filler = [f"w{i}" for i in range(400)]
     word = lambda k: " ".join(rng.choices(filler, k=k))
     rows = []
     for i in range(900):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        bad = a and b  # neither term alone
-        rows.append((i, f"{word(12)} {'grumble' if a else ''} {word(9)} {'zorbians' if b else ''} {word(8)}", int(bad)))
+        rows.append((i, f"{word(12)} {'grumble' if a else ''} {word(9)} {'zorbians' if b else ''} {word(8)}", int(bad(a, b))))
     docs = frame(spark, [(i, t, y) for i, t, y in rows], "doc_id bigint, text string, y int")
     model = toxicity.fit(docs.filter("doc_id < 600"))
-    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs.filter("doc_id >= 600").drop("y"), model).collect()}
-    assert np.mean([got[i] == y for i, _, y in rows[600:]]) > 0.95
+    right = lambda m: np.mean([r["predicted"] == rows[r["doc_id"]][2] for r in toxicity.score(docs.filter("doc_id >= 600").drop("y"), m).collect()])
+    assert right(model) > 0.95 and right((*model[:4], model[4] * 0)) < 0.8
+
+
+def test_machine_equals_slow_sums_and_gradients():
+    """margins() against the double sum over pairs; a step of train() goes down the loss that finite differences give."""
+    rng = np.random.default_rng(1)
+    f, rank = 12, 3
+    w, v, size = rng.normal(size=f), rng.normal(size=(f, rank)), rng.uniform(0.1, 1, f)
+    rows = [sorted(rng.choice(f, k, replace=False).tolist()) for k in (0, 1, 4, 7, 0, 12)]
+    edge, var = np.cumsum([0, *map(len, rows)]), np.array([k for r in rows for k in r], np.int64)
+    slow = [0.3 + sum(w[i] * size[i] for i in r) + sum(v[i] @ v[j] * size[i] * size[j] for i, j in combinations(r, 2)) for r in rows]
+    assert np.allclose(toxicity.margins(var, edge, 0.3, w, v, size), slow)
+    y = np.array([0, 1, 1, 0, 1, 0.0])
+    loss = lambda m: -np.mean(y * np.log(sigmoid(m)) + (1 - y) * np.log(1 - sigmoid(m)))
+    got = toxicity.train(var, edge, size, y, np.ones(6), rank, steps=300)
+    assert loss(toxicity.margins(var, edge, *got, size)) < 0.6 * loss(np.zeros(6))
+
+
+def test_hinge_dual_equals_subgradient_descent():
+    """The dual solution's primal loss against plain subgradient steps, dense and sparse rows alike."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((80, 10)) < 0.4) * rng.normal(size=(80, 10))
+    y = np.where(x @ rng.normal(size=10) + 0.3 * rng.normal(size=80) > 0, 1.0, -1.0)
+    x = x.astype(np.float32)
+    primal = lambda w: 0.5 * w @ w + 0.5 * np.maximum(0, 1 - y * (x @ w)).sum()
+    idx, edge = [np.flatnonzero(r) for r in x], np.cumsum([0, *[np.count_nonzero(r) for r in x]])
+    sparse = linear.Sparse(np.concatenate(idx), np.concatenate([r[k] for r, k in zip(x, idx)]), edge, 10)
+    a, b = linear.hinge_dual(x, y, 0.5, epochs=200), linear.hinge_dual(sparse, y, 0.5, epochs=200)
+    w, best = np.zeros(10), np.inf
+    for t in range(1, 20000):
+        w = w - (w - 0.5 * ((1 - y * (x @ w) > 0) * y) @ x) / t
+        best = min(best, primal(w))
+    assert primal(a) < best * 1.001 and np.allclose(a, b, atol=1e-4)
+    half = np.arange(0, 80, 2)
+    assert np.allclose(linear.hinge_dual(x, y[half], 0.5, rows=half), linear.hinge_dual(x[half], y[half], 0.5), atol=1e-4)
+
+
+def test_platt_equals_grid_search():
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=200) * 3
+    y = (rng.random(200) < sigmoid(1.5 * m - 0.5)).astype(float)
+    a, b = linear.platt(m, y)
+    t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = lambda a, b: -np.sum(t * np.log(sigmoid(a * m + b)) + (1 - t) * np.log(1 - sigmoid(a * m + b)))
+    assert loss(a, b) < min(loss(p, q) for p in np.linspace(0.2, 4, 60) for q in np.linspace(-2, 2, 60)) + 0.05
+
+
+def slow_flags(text):
+    """The n-grams of quality.indicators by plain Python, as sets per stream."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {("w", w) for w in words} | {("p", p) for p in zip(words, words[1:])} | {("c", low.encode()[i : i + 4]) for i in range(len(low.encode()) - 3)}
+
+
+def test_quality_indicators_are_of_words_and_characters():
+    texts = ["Good plain words here", "good plain words here", "here words plain good", "Zap zap zap!!", "", "é"]
+    got = quality.indicators(pa.array(texts))[:, 1 << quality.BITS :]
+    one = {}
+    for row, t in zip(got, texts):
+        for g in slow_flags(t):
+            one.setdefault(g, set(np.flatnonzero(row).tolist()))
+            one[g] &= set(np.flatnonzero(row).tolist())
+    for row, t in zip(got, texts):
+        assert row.sum() <= len(slow_flags(t)) and all(one[g] & set(np.flatnonzero(row).tolist()) for g in slow_flags(t))
+    assert (got[0] == got[1]).all() and (got[0] != got[2]).any()
+
+
+def test_quality_tells_wording(spark):
+    """Texts alike in shape, apart in their words."""
+    rng = random.Random(16)
+    good, bad = [f"{a}{b}" for a in "bcdfg" for b in ("anal", "erin", "isol")], [f"{a}{b}" for a in "bcdfg" for b in ("upor", "ovex", "ylam")]
+    rows = [(i, " ".join(rng.choices(good if i % 2 else bad, k=30)), i % 2) for i in range(300)]
+    docs = frame(spark, rows, "doc_id bigint, text string, y int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.score(docs.filter("doc_id >= 200").drop("y"), quality.fit(docs.filter("doc_id < 200"))).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows[200:]]) > 0.98
 
 
 def test_quality_held_out(spark):
@@ -244,6 +321,33 @@ def test_redirects(spark):
     assert few == many
 
 
+LINKED = [
+    (1, "http://a.org/1", '<link rel="canonical" href="http://b.org/x"><link href="http://n.net/es/1" rel="canonical">'),  # the second link is blocked
+    (2, "http://a.org/2", "<LINK REL='alternate canonical' HREF='http://n.net/fr/2'>"),
+    (3, "http://n.net/deep/er/3", '<meta http-equiv=refresh content="1;url=../../es/./9">'),  # http://n.net/es/9
+    (4, "http://a.org/4", '<link rel="noncanonical" href="http://n.net/es/1"><link rel=stylesheet href="canonical.css">'),
+    (5, "http://n.net/es/../5", "<p>canonical"),  # its own path is judged as it stands
+    (6, "http://c.org/a/..", '<link rel=canonical href="/b">'),
+    (7, "http://c.org/", '<link rel=canonical href="http://n.net/fr/7">'),  # the node of page 6
+    (8, "http://c.org/b", None),
+    (9, "http://c.org/own", '<link rel=canonical href="#x">'),
+]
+
+
+def test_every_link_counts(spark, tmp_path):
+    import duckdb
+
+    docs = frame(spark, LINKED, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in redirects.judge(docs).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "block", 9: "allow"}
+    docs.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    want = sorted(map(str, con.execute(f"SELECT {', '.join(columns)} FROM ({redirects.OP3_SQL})").fetchall()))
+    assert sorted(str(tuple(r)) for r in redirects.op3_redirects(spark, str(tmp_path)).select(*columns).collect()) == want
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -251,7 +355,41 @@ def test_imatch(spark):
     rows = [(i, " ".join(random.Random(i // 2).choices([f"t{k}" for k in range(3000)], k=40 + i // 2)) if i % 2 == 0 or i % 5 else "") for i in range(200)] + [(200, None), (201, "one"), (None, "a null id")]
     bitmap = imatch.lexicon(frame(spark, rows))
     got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(frame(spark, rows), bitmap).collect()}
-    assert got[2] == got[3] and got[2] != got[4] and len(got[2]) == 8 * imatch.SUBSETS and got[200] == "0" * 8 * imatch.SUBSETS
+    assert got[2] == got[3] and got[2] != got[4] and len(got[2]) == 4 * imatch.COLUMNS and got[200] == "0" * 4 * imatch.COLUMNS
+
+
+def test_imatch_band_and_subsets(spark):
+    """Band, subsets and likeness against a slow version: the same subsets of the lexicon for every text."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choices([f"t{k}" for k in range(400)], k=rng.choice((3, 60, 200)))) + " everywhere" for _ in range(120)] + [f"once{i}" for i in range(5)]
+    df = frame(spark, list(enumerate(texts)))
+    bitmap = imatch.lexicon(df, low=2, high=0.5)
+    counts = Counter(w for t in texts for w in set(t.split()))
+    key = {w: int(imatch.terms(pa.array([w]))[0][0]) for w in counts}
+    inside = {w for w, n in counts.items() if 2 <= n <= 62.5}
+    passed = {w for w in counts if imatch._in_band(np.array([key[w]], np.uint64), bitmap)[0]}
+    assert inside <= passed and len(passed - inside) <= 3
+    subsets = [passed] + [{w for w in passed if int(imatch.mix(np.array([key[w]], np.uint64) ^ s)[0]) & ((1 << level) - 1) == 0} for s in imatch._SEEDS for level in range(1, imatch.LEVELS + 1)]
+    got = imatch.fingerprints(pa.array(texts), bitmap)
+    for _ in range(300):
+        i, j = rng.randrange(120), rng.randrange(120)
+        for c, subset in enumerate(subsets):
+            a, b = set(texts[i].split()) & subset, set(texts[j].split()) & subset
+            assert (got[i, c] == 0) == (not a) and ((got[i, c] == got[j, c]) == (a == b))
+    near = [imatch.likeness(got[[i]], imatch.fingerprints(pa.array([imatch.edit(texts[i], texts[i + 1])]), bitmap))[0] for i in range(119)]
+    far = imatch.likeness(got[:118], got[1:119])
+    assert np.mean(near) > 0.25 and np.mean(far) < 0.2 * np.mean(near)  # texts of 400 words share some
+    assert imatch.likeness(got, got).tolist() == [1.0] * len(texts)
+
+
+def test_imatch_query_edge_cases(spark, tmp_path):
+    rows = [(7, "long words " * 30_000), (7, None), (None, "no id"), (7, "long words " * 30_000), (3, "")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = imatch.op4_imatch(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and sorted(r["n_chars"] for r in got) == [0, 0, 5, 330_000, 330_000]
+    assert len({r["fingerprint"] for r in got if r["n_chars"] == 330_000}) == 1
+    frame(spark, rows[:1]).write.parquet(f"{tmp_path}/one/documents.parquet")
+    assert [r["near_next"] for r in imatch.op4_imatch(spark, f"{tmp_path}/one").collect()] == [1.0]
 
 
 def test_imatch_query(spark, tmp_path):
@@ -339,6 +477,52 @@ def test_adjacent_identifiers(spark):
     assert got[38] == ([], [(2, 19, "phone")])
 
 
+def test_long_identifiers_and_contexts_are_whole():
+    """Neither an identifier of hundreds of characters nor a long word beside one is cut."""
+    long = "x9" * 400
+    text = f"see {long}, done"
+    assert pii.candidates(text, pii.base_spans(text)) == [(4, 804, -1)]
+    word = "w" * 90
+    a, b = f"{word}q 12345 end", f"{word}r 12345 end"
+    assert set(pii.patterns(a, 92, 97)) & set(pii.patterns(b, 92, 97)) == {pii._key("R|95|end")}
+    mails = ",".join(f"m{i}@a.b" for i in range(40))
+    spans = pii.base_spans(mails)
+    assert len(spans) == 40 and pii.candidates(mails, spans) == spans  # overlaps with any of many spans count
+    covered = pii.Covered([(0, 50, 0), (10, 12, 0), (60, 61, 0)])
+    assert covered(13, 14) and not covered(50, 60) and covered(59, 61) and not covered(61, 70)
+
+
+def test_graph_scores_equal_slow_rounds(spark):
+    """learn() against rounds on dictionaries over random pattern-instance graphs."""
+    rng = random.Random(19)
+    texts = [f"{rng.choice('abc')} {rng.choice(['10.0.0.%d' % rng.randrange(300), '10.0.1.%d' % rng.randrange(300), 'id-%d' % rng.randrange(1000, 1020)])} {rng.choice('xyz')}" for _ in range(150)]
+    edges = {}
+    for t in texts:
+        for a, b, kind in pii.candidates(t, pii.base_spans(t)):
+            for p in pii.patterns(t, a, b):
+                edges[p, t[a:b].lower()] = max(kind, edges.get((p, t[a:b].lower()), -1))
+    known = {}
+    for (_, i), k in edges.items():
+        if k >= 0:
+            known[i] = max(k, known.get(i, -1))
+    while True:
+        counts = Counter((p, known[i]) for p, i in edges if i in known)
+        total = Counter()
+        for (p, _), n in counts.items():
+            total[p] += n
+        score = {(p, k): n / (total[p] + 1) for (p, k), n in counts.items() if n >= 3 and n / (total[p] + 1) >= 0.75}
+        new = {}
+        for p, i in edges:
+            for (q, k), c in score.items():
+                if q == p and i not in known:
+                    new[i] = max(new.get(i, (0.0, -1)), (c, k))
+        if not new:
+            break
+        known |= {i: k for i, (_, k) in new.items()}
+    got = {(r["pattern"], r["kind"]): r["confidence"] for r in pii.learn(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == pytest.approx(score) and len(got) > 3
+
+
 def test_pii_edge_cases(spark):
     docs = odd_docs(spark).withColumnRenamed("fingerprint", "found")
     out = pii.redact(docs, pii.learn(docs))
@@ -352,11 +536,11 @@ def test_pii_edge_cases(spark):
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for universe, n in ((1000, 50), (1 << 32, 3000), (1 << 58, 20000), (50, 50), (7, 1), (1 << 32, 0), (64, 64)):
-        v = np.sort(rng.integers(0, universe, n, dtype=np.uint64))
+    for universe, n in ((1000, 50), (1 << 32, 3000), (1 << 58, 20000), (1 << 64, 5000), (1 << 64, 3), (50, 50), (7, 1), (1 << 32, 0), (64, 64)):
+        v = np.sort(rng.integers(0, universe - 1, n, dtype=np.uint64, endpoint=True))
         e = EliasFano(build(v, universe))
         assert (e.select(np.arange(n)) == v).all()
-        x = np.concatenate([rng.integers(0, universe, 500, dtype=np.uint64), v])
+        x = np.concatenate([rng.integers(0, universe - 1, 500, dtype=np.uint64, endpoint=True), v])
         assert (e.successor(x) == np.searchsorted(v, x)).all()
         assert (e.index(v) >= 0).all()
 
@@ -374,10 +558,6 @@ def test_language_model(spark):
         bi.update(zip([b"<s>", *s], s))
         ctx.update([b"<s>", *s[:-1]])
     n, v, k = sum(uni.values()), len(uni), 2.0
-    kept = {p: c for p, c in bi.items() if c >= 2}
-    mass = Counter()
-    for (u, _), c in kept.items():
-        mass[u] += c
     full = Counter(uni)
     full[b"<s>"] = ctx[b"<s>"]
 
@@ -385,7 +565,7 @@ def test_language_model(spark):
         one = (uni[w] + 1) / (n + v + 1)
         if not full[u]:
             return one
-        return (kept.get((u, w), 0) + (full[u] + k - mass[u]) * one) / (full[u] + k)
+        return (bi[u, w] + k * one) / (full[u] + k)
 
     df = frame(spark, docs)
     model = ngramlm.train(df.filter("doc_id % 4 <> 0 and doc_id < 60").withColumn("score", df["doc_id"]))
@@ -412,18 +592,35 @@ def test_language_model_keeps_single_pairs(spark, tmp_path):
         uni.update(s)
         bi.update(zip(["<s>", *s], s))
     n, v, full = sum(uni.values()), len(uni), Counter(uni) + Counter({"<s>": len(ids)})
-    mass = Counter()
-    for (u, _), c in bi.items():
-        mass[u] += c
 
     def p(u, w):
-        return (bi[u, w] + (full[u] + 2.0 - mass[u]) * (uni[w] + 1) / (n + v + 1)) / (full[u] + 2.0)
+        return (bi[u, w] + 2.0 * (uni[w] + 1) / (n + v + 1)) / (full[u] + 2.0)
 
     for i, t in rows:
         s = [*t.split(), "</s>"]
         assert math.isclose(got[i]["score"], sum(math.log10(p(u, w)) for u, w in zip(["<s>", *s], s)), abs_tol=2e-4 * len(s))
 
 
+def test_language_model_of_many_words(spark):
+    """More words than 32-bit halves keep apart, and a context that is spread over the shards."""
+    rng = random.Random(31)
+    docs = [(i, " ".join(f"the w{rng.randrange(60_000)}" for _ in range(400))) for i in range(300)]
+    df = frame(spark, docs)
+    model = ngramlm.train(df)
+    assert len(model["hot"]) and model["n"] == 300 * 801
+    uni, bi = Counter(), Counter()
+    for _, t in docs:
+        s = [*t.split(), "</s>"]
+        uni.update(s)
+        bi.update(zip(["<s>", *s], s))
+    n, v, full = sum(uni.values()), len(uni), Counter(uni) + Counter({"<s>": 300})
+    rows = [*docs[:20], (900, "the unseen the w1 w2")]
+    for (_, t), r in zip(rows, ngramlm.score(frame(spark, rows).coalesce(1), model).collect(), strict=True):
+        s = [*t.split(), "</s>"]
+        want = sum(math.log10((bi[u, w] + 2.0 * (uni[w] + 1) / (n + v + 1)) / (full[u] + 2.0)) if full[u] else math.log10((uni[w] + 1) / (n + v + 1)) for u, w in zip(["<s>", *s], s))
+        assert math.isclose(r["score"], want, abs_tol=1e-4 * len(s))
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -470,6 +667,35 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(frame(spark, []), frame(spark, items, "item_id bigint, text string")).count() == 0
 
 
+def test_long_part_of_an_item_is_a_copy(spark):
+    """60 words of a 400-word item are under half of it, but long enough by themselves."""
+    rng = random.Random(21)
+    words = [f"q{rng.randrange(4000)}" for _ in range(400)]
+    docs = [(1, "intro " + " ".join(words[100:160]) + " outro"), (2, "intro " + " ".join(words[100:120]) + " outro"), (3, " ".join(words))]
+    items = frame(spark, [(7, " ".join(words))], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(frame(spark, docs), items).collect()} == {1, 3}
+
+
+def test_seeds_are_rare_before_windows(spark):
+    """A trigram of common words seeds nothing where its item has rarer ones: brute force over the counted words."""
+    rng = random.Random(22)
+    common = ["the", "of", "and"]
+    texts = [" ".join(rng.choices(common, k=400)) for _ in range(50)]
+    item = "the of and rare1 rare2 rare3 rare4 rare5 the of and"
+    h = decontaminate.word_hashes(pa.array([item]))[0]
+    seeds = decontaminate.Seeds([(1, h)], 3)
+    counts = Counter(w for t in texts for w in t.split())
+    total = sum(counts.values())
+    names = dict(zip(h.tolist(), item.split(), strict=True))
+    logp = np.log([max(0.5, counts[names[int(w)]]) / total for w in seeds.words])
+    rare = decontaminate._rare(seeds, logp, math.log(total), 0.0)
+    words = item.split()
+    chance = [total * math.prod(max(0.5, counts[w]) / total for w in words[i : i + 3]) for i in range(9)]
+    half = sorted(chance)[4]
+    assert {int(p) for p in seeds.place[rare]} == {i for i, c in enumerate(chance) if c <= 1 or c <= half * (1 + 1e-9)}
+    assert 0 not in seeds.place[rare]  # "the of and"
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -532,3 +758,44 @@ def test_pipeline_stages(spark, tmp_path):
             text = t.replace("me@example.com", "<EMAIL>")
             assert got[i]["ids"] == enc(text) and got[i]["n_chars"] == len(text) and got[i]["n_tokens"] == len(enc(text))
     assert pa.__version__
+
+
+# ---------------------------------------------------------------- the queries themselves
+
+
+def write_tables(spark, path, docs, labels=(), pages=(), items=()):
+    frame(spark, docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
+    frame(spark, list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    frame(spark, list(pages), "page_id bigint, url string, html string").write.parquet(f"{path}/pages.parquet")
+    frame(spark, list(items), "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_queries_on_odd_and_empty_tables(spark, tmp_path, name):
+    """One row a document (or page) whatever its text, nulls and repeats included; empty tables give empty results."""
+    rng = random.Random(23)
+    docs = [(i, t, ("en", None, "de")[i % 3], None, None) for i, t in enumerate(ODD)] + [(None, "no id", "en", "s", 1), (3, "a", "en", "s", 1), (3, "a", "en", "s", 1)]
+    docs += [(100 + i, " ".join(rng.choices(["the", "wort", "haus", "river", "gut"], k=30)), ("en", "de")[i % 2], "s", 5) for i in range(20)]
+    labels = [(100 + i, i % 2, (i + 1) % 2) for i in range(20)] + [(None, 1, 1), (3, None, None), (101, 1, 0), (101, 1, 0)]
+    write_tables(spark, f"{tmp_path}/a", docs, labels, LINKED + [(None, None, None), (1, *LINKED[0][1:])], [(1, docs[-1][1]), (2, None), (None, docs[-2][1])])
+    got = registry.QUERIES[name](spark, f"{tmp_path}/a")
+    n = len(got.collect())
+    assert n == (len(LINKED) + 2 if name == "op3_redirects" else 2 if name == "op9_decontaminate" else len(docs)), n
+    write_tables(spark, f"{tmp_path}/b", [])
+    empty = registry.QUERIES[name](spark, f"{tmp_path}/b")
+    assert empty.columns == got.columns and empty.count() == 0
+
+
+def test_pipeline_of_an_empty_table_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    write_tables(spark, f"{tmp_path}/b", [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    rng = random.Random(24)
+    vocab = [f"{a}{b}" for a in ("the", "wor", "lan") for b in ("ing", "ter", "ado", "ung")]
+    text = lambda: " ".join(rng.choices(vocab, k=60))
+    item = text()
+    docs = [(i, text(), "en", "s", 0) for i in range(20)] + [(None, text() + " " + item, "en", "s", 0), (3, text() + " " + item, "en", "s", 0), (None, text(), "en", "s", 0)]
+    write_tables(spark, f"{tmp_path}/a", docs, items=[(1, item)])
+    kept = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect())
+    assert kept == Counter({**{i: 1 for i in range(20)}, None: 1})  # the clean row 3 and the clean row without id stay

@@ -56,6 +56,23 @@ def question_types(questions: DataFrame, cache: DataFrame, model: LanguageModel
     if model is None:
         return known.unionByName(new)
     open_ = new.filter(F.size("types") == 0).select("question")
-    parse = parsing.apply(parsing.class_list, "array<string>")
+    parse = parsing.apply(parsing.query_class_list, "array<string>")
     got = answered(open_.select("question", F.concat(F.lit("Which classes can the answer have? Reply with a JSON list. "), "question").alias("prompt")), "prompt", "question", model)
     return known.unionByName(new.filter(F.size("types") > 0)).unionByName(got.select("question", parse("raw_output").alias("types")))
+
+
+def relation_prompt(a: str, b: str) -> str:
+    return f'How do these classes relate? Reply with {{"relation": one of {", ".join(parsing.RELATIONS)}, "confidence": 0 to 1, "reason": ...}} only.\nA: {a}\nB: {b}'
+
+
+def relation_judge(model: LanguageModel, retries: int = 2):
+    """A judge for ontology.Schema that asks a model, and asks again up to `retries` times while it is UNCERTAIN."""
+
+    def judge(a: str, b: str) -> tuple[str, float, str]:
+        for _ in range(retries + 1):
+            got = parsing.relation(model.answer([relation_prompt(a, b)])[0])
+            if got[0] != "UNCERTAIN":
+                break
+        return got
+
+    return judge

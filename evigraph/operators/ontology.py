@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parsing import RELATIONS
+from ..functions.text import normalize_class
 from .retrieval import cut
 
 # ---------------------------------------------------------------- tables
@@ -30,6 +33,19 @@ def compatibility(a: Column, b: Column, weight: float = 1.0) -> Column:
     return F.when(F.coalesce(F.arrays_overlap(a, b), F.lit(False)), F.lit(weight)).otherwise(F.lit(0.0))
 
 
+def entity_compatibility(activated: DataFrame, classes: DataFrame, types: DataFrame, canonical: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
+    """qid, entity, compat above 0: activated entities (qid, entity) that have a class the answer may have.
+
+    classes: entity, classes (as usable_classes() leaves them); types: qid, types, whose names are made canonical here.
+    Only the pairs of a question and an entity that it activated are compared, by an equi-join on the class.
+    """
+    own = classes.select("entity", F.explode("classes").alias("class")).distinct()
+    asked = types.select("qid", F.explode("types").alias("name")).withColumn("name", normalize_class(F.col("name"))).filter("name <> ''")
+    asked = canonicalize(asked, canonical) if canonical is not None else asked.withColumn("canonical", F.col("name"))
+    met = activated.select("qid", "entity").distinct().join(own, "entity").join(asked.select("qid", F.col("canonical").alias("class")).distinct(), ["qid", "class"])
+    return met.select("qid", "entity").distinct().withColumn("compat", F.lit(weight))
+
+
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(ancestor, descendant) pairs of parent-child edges, by repeated doubling; cycles end as nothing new is found."""
     pairs = cut(edges.select(F.col("parent").alias("a"), F.col("child").alias("d")).distinct())
@@ -40,6 +56,8 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if (m := pairs.count()) == n:
             break
         n = m
+    else:
+        raise RuntimeError("closure: no fixed point")
     return pairs.select(F.col("a").alias("ancestor"), F.col("d").alias("descendant"))
 
 
@@ -65,6 +83,8 @@ def groups(names: DataFrame, pairs: DataFrame, max_rounds: int = 64) -> DataFram
         if new.exceptAll(label).isEmpty():
             break
         label = new
+    else:
+        raise RuntimeError("groups: no fixed point")
     joined = label.join(names, "name")
     best = joined.groupBy("label").agg(F.min_by("name", F.struct(-F.col("freq"), F.length("name"), "name")).alias("representative"))
     return joined.join(best, "label").select("name", "representative")
@@ -76,17 +96,29 @@ def class_frequency(annotations: DataFrame, min_freq: int = 1, limit: int = 0) -
     return out.limit(limit) if limit else out
 
 
-def path_edges(paths: DataFrame, examples: int = 5) -> DataFrame:
-    """parent, child, support, depth, examples of class paths (entity, pos, path array): consecutive names.
+def clean_path(path: Column) -> Column:
+    """Trimmed names of a path up to the first that occurred before, whatever its case; blank ones are left out."""
+    names = F.filter(F.transform(path, lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(names, lambda x: F.lower(x))
+    repeat = F.array_position(F.transform(low, lambda x, i: F.array_position(low, x) == i + 1), False)
+    return F.slice(names, 1, F.when(repeat == 0, F.size(names)).otherwise(repeat.cast("int") - 1))
+
 
-    depth is that of the first occurrence, examples the first entities.
+def path_edges(paths: DataFrame, examples: int = 5, salts: int = 64) -> DataFrame:
+    """parent, child, support, depth, examples of class paths (entity, pos, path array): consecutive names of cleaned paths.
+
+    depth is that of the first occurrence, examples the first entities.  Examples are chosen in `salts` parts of an edge
+    first, so an edge that most entities share is no single task's work.
     """
-    step = paths.filter(F.size("path") >= 2).select("pos", "entity", F.posexplode(F.expr("transform(sequence(0, size(path) - 2), i -> struct(path[i] as parent, path[i + 1] as child))")).alias("depth", "e"))
+    steps = paths.select("pos", "entity", clean_path(F.col("path")).alias("path")).filter(F.size("path") >= 2)
+    step = steps.select("pos", "entity", F.posexplode(F.expr("transform(sequence(0, size(path) - 2), i -> struct(path[i] as parent, path[i + 1] as child))")).alias("depth", "e"))
     rows = step.select("pos", "entity", "depth", "e.parent", "e.child").filter("parent <> child")
-    order = Window.partitionBy("parent", "child").orderBy("pos", "depth")
-    ranked = rows.withColumn("r", F.row_number().over(order)).withColumn("support", F.count("*").over(Window.partitionBy("parent", "child")))
-    kept = ranked.filter(F.col("r") <= examples)
-    return kept.groupBy("parent", "child").agg(F.first("support").alias("support"), F.min_by("depth", "r").alias("depth"), F.transform(F.array_sort(F.collect_list(F.struct("r", "entity"))), lambda x: x["entity"]).alias("examples"))
+    counts = rows.groupBy("parent", "child").agg(F.count("*").alias("support"), F.min_by("depth", F.struct("pos", "depth")).alias("depth"))
+    part = rows.withColumn("salt", F.pmod(F.xxhash64("pos", "entity"), F.lit(salts)))
+    first = part.withColumn("r", F.row_number().over(Window.partitionBy("parent", "child", "salt").orderBy("pos", "depth"))).filter(F.col("r") <= examples)
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("parent", "child").orderBy("pos", "depth"))).filter(F.col("r") <= examples)
+    shown = ranked.groupBy("parent", "child").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "entity"))), lambda x: x["entity"]).alias("examples"))
+    return counts.join(shown, ["parent", "child"])
 
 
 def acyclic(edges: list[tuple[str, str, int, int]]) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
@@ -120,28 +152,47 @@ def reaches(down: dict[str, set[str]], a: str, b: str) -> bool:
 
 # ---------------------------------------------------------------- incremental schema
 
-Judge = Callable[[str, str], tuple[str, float]]
+#: Relation seen from the first class, confidence and, optionally, a reason.
+Judge = Callable[[str, str], tuple]
+INVERSE = {"A_PARENT_B": "B_PARENT_A", "B_PARENT_A": "A_PARENT_B"}
+
+
+def _closure_of(start: str, links: dict[str, set[str]]) -> set[str]:
+    """A node and everything that links lead to."""
+    seen, stack = {start}, [start]
+    while stack:
+        more = links.get(stack.pop(), set()) - seen
+        seen |= more
+        stack += more
+    return seen
 
 
 @dataclass
 class Schema:
     """Equivalence classes, a reduced subclass graph and related pairs, built class by class with a judge.
 
-    Judging is the caller's (a model or a table); asked pairs are remembered, and what the graph implies is not asked.
+    Judging is the caller's (a model or a table), a layer's pairs on `workers` threads; asked pairs are remembered, what the
+    graph implies is not asked, and a judge that fails leaves the pair UNCERTAIN.
     """
 
     freq: dict[str, int]
     judge: Judge
     threshold: float = 0.0
     multi_parent: bool = False
+    workers: int = 4
     up: dict[str, str] = field(default_factory=dict)
     children: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))
+    above: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))
     inserted: list[str] = field(default_factory=list)
     related: set[tuple[str, str]] = field(default_factory=set)
     unrelated: set[tuple[str, str]] = field(default_factory=set)
     uncertain: set[tuple[str, str]] = field(default_factory=set)
-    conflicts: list[tuple[str, str, str]] = field(default_factory=list)
-    asked: dict[tuple[str, str], tuple[str, float]] = field(default_factory=dict)
+    conflicts: list[dict] = field(default_factory=list)
+    asked: dict[tuple[str, str], dict] = field(default_factory=dict)
+    records: list[dict] = field(default_factory=list)
+    insertions: list[dict] = field(default_factory=list)
+    hits: int = 0
+    pruned: int = 0
 
     def find(self, name: str) -> str:
         while self.up.get(name, name) != name:
@@ -155,111 +206,177 @@ class Schema:
             return a
         keep, gone = sorted((a, b), key=lambda n: (-self.freq.get(n, 0), len(n), n))
         self.up[gone] = keep
-        moved = [(p, c) for p, cs in list(self.children.items()) for c in list(cs) if gone in (p, c)]
+        moved = [(gone, c) for c in sorted(self.children.get(gone, ()))] + [(p, gone) for p in sorted(self.above.get(gone, ()))]
         for p, c in moved:
-            self.children[p].discard(c)
+            self._unlink(p, c)
         for p, c in moved:
             self.subclass(keep if p == gone else p, keep if c == gone else c)
-        self.related = {tuple(sorted((self.find(x), self.find(y)))) for x, y in self.related if self.find(x) != self.find(y)}
+        self.related = {pair(self.find(x), self.find(y)) for x, y in self.related if self.find(x) != self.find(y)}
         return keep
 
+    def _unlink(self, parent: str, child: str) -> None:
+        self.children[parent].discard(child)
+        self.above[child].discard(parent)
+
+    def is_ancestor(self, a: str, b: str) -> bool:
+        """Whether a path leads from a down to b."""
+        return self.find(a) != self.find(b) and reaches(self.children, self.find(a), self.find(b))
+
+    def is_related(self, a: str, b: str) -> bool:
+        return pair(self.find(a), self.find(b)) in self.related
+
     def parents(self, name: str) -> list[str]:
-        return sorted(p for p, cs in self.children.items() if name in cs)
+        return sorted(self.above.get(name, ()))
+
+    def _ordered(self, names) -> list[str]:
+        return sorted(names, key=lambda n: (-self.freq.get(n, 0), n.lower()))
 
     def roots(self) -> list[str]:
-        reps = {self.find(n) for n in self.inserted}
-        return sorted((r for r in reps if not self.parents(r)), key=lambda n: (-self.freq.get(n, 0), n.lower()))
+        return self._ordered(r for r in {self.find(n) for n in self.inserted} if not self.above.get(r))
 
     def subclass(self, parent: str, child: str) -> bool:
+        """Adds an edge unless it closes a cycle (a conflict) or is implied; edges that it implies go."""
+        parent, child = self.find(parent), self.find(child)
         if parent == child:
             return False
         if reaches(self.children, child, parent):
-            self.conflicts.append((parent, child, "cycle"))
+            self.conflicts.append({"type": "cycle_conflict", "parent": parent, "child": child})
             return False
         if reaches(self.children, parent, child):
             return True
+        higher, lower = _closure_of(parent, self.above), _closure_of(child, self.children)
+        for p in higher:
+            for c in self.children.get(p, set()) & lower:
+                self._unlink(p, c)
         self.children[parent].add(child)
-        self.related.discard(tuple(sorted((parent, child))))
-        for p, cs in list(self.children.items()):  # reduction around the new edge
-            for c in list(cs):
-                cs.discard(c)
-                if not reaches(self.children, p, c):
-                    cs.add(c)
+        self.above[child].add(parent)
+        self.related.discard(pair(parent, child))
         return True
 
+    def _ask(self, name: str, other: str) -> dict:
+        try:
+            got, sure, *why = self.judge(name, other)
+        except Exception as e:  # noqa: BLE001  any error of a remote model leaves the pair open
+            got, sure, why = "UNCERTAIN", 0.0, [str(e)]
+        got = str(got).strip().upper()
+        return {"class_a": name, "class_b": other, "relation": got if sure >= self.threshold and got in RELATIONS else "UNCERTAIN", "confidence": float(sure), "reason": why[0] if why else ""}
+
     def compare(self, name: str, layer: list[str]) -> list[tuple[str, str, float]]:
         """(relation seen from `name`, member, confidence), most confident first."""
+        name = self.find(name)
+        others = [o for o in dict.fromkeys(map(self.find, layer)) if o != name]
+        known = {o: ("A_PARENT_B" if reaches(self.children, name, o) else "B_PARENT_A" if reaches(self.children, o, name) else None) for o in others}
+        self.pruned += sum(v is not None for v in known.values())
+        new = [o for o in others if known[o] is None and pair(name, o) not in self.asked]
+        self.hits += sum(known[o] is None for o in others) - len(new)
+        if new:
+            with ThreadPoolExecutor(min(self.workers, len(new))) as pool:
+                for o, record in zip(new, pool.map(lambda o: self._ask(name, o), new), strict=True):
+                    self.asked[pair(name, o)] = record
+                    self.records.append(record)
         out = []
-        for other in dict.fromkeys(map(self.find, layer)):
-            if other == name:
+        for o in others:
+            if known[o] is not None:
+                out.append((known[o], o, 1.0))
                 continue
-            if reaches(self.children, other, name):
-                out.append(("B_PARENT_A", other, 1.0))
-            elif reaches(self.children, name, other):
-                out.append(("A_PARENT_B", other, 1.0))
-            else:
-                key = (min(name, other), max(name, other))
-                if key not in self.asked:
-                    got, sure = self.judge(*key)
-                    self.asked[key] = (got if sure >= self.threshold else "UNCERTAIN"), sure
-                got, sure = self.asked[key]
-                if key[0] != name:
-                    got = {"A_PARENT_B": "B_PARENT_A", "B_PARENT_A": "A_PARENT_B"}.get(got, got)
-                out.append((got, other, sure))
+            record = self.asked[pair(name, o)]
+            turned = record["class_a"] == o and record["class_b"] == name
+            out.append((INVERSE.get(record["relation"], record["relation"]) if turned else record["relation"], o, record["confidence"]))
         return sorted(out, key=lambda x: (-x[2], x[1].lower()))
 
     def insert(self, name: str) -> None:
-        first = not self.inserted
+        """Places one more class below or above the roots, or as a root of its own."""
+        log: list[dict] = []
+        before = self.find(name)
+        if not self.inserted:
+            log.append({"action": "first_root", "class": name})
+        elif not self._place(before, None, self.roots(), log):
+            log.append({"action": "independent_root", "class": self.find(name)})
         self.inserted.append(name)
-        if not first:
-            self._place(name, None, [r for r in self.roots() if r != name])
+        self.insertions.append({"class": name, "canonical_class_before": before, "actions": log})
 
-    def _place(self, name: str, parent: str | None, layer: list[str]) -> None:
+    def _place(self, name: str, parent: str | None, layer: list[str], log: list[dict]) -> bool:
+        """Compares with one layer (the roots, or a parent's children) and descends; whether the class found its place."""
         got = self.compare(name, layer)
         of = lambda kind: [m for r, m, _ in got if r == kind]
         if same := of("EQUIVALENT"):
-            self.union(name, same[0])
-            return
-        pair = lambda m: (min(name, m), max(name, m))
+            log.append({"action": "equivalent", "member": same[0], "representative": self.union(name, same[0])})
+            return True
         for m in of("RELATED"):
             if not reaches(self.children, name, m) and not reaches(self.children, m, name):
-                self.related.add(pair(m))
-        self.unrelated |= set(map(pair, of("UNRELATED")))
-        self.uncertain |= set(map(pair, of("UNCERTAIN")))
-        above, below = of("B_PARENT_A"), of("A_PARENT_B")
-        for m in below:
-            if parent is not None:
-                self.children[parent].discard(m)
-            self.subclass(name, m)
-        if parent is not None and (below or not above):
-            self.subclass(parent, name)
+                self.related.add(pair(name, m))
+        for kind, held in (("UNRELATED", self.unrelated), ("UNCERTAIN", self.uncertain)):
+            held |= {pair(name, m) for m in of(kind)}
+        log += [{"action": r.lower(), "member": m} for r, m, _ in got if r in ("RELATED", "UNRELATED", "UNCERTAIN")]
+        placed, below, above = False, of("A_PARENT_B"), of("B_PARENT_A")
+        if parent is None:
+            for m in below:
+                if self.subclass(name, m):
+                    placed = True
+                    log.append({"action": "parent_of_root", "member": m})
+        elif below and self.subclass(parent, name):
+            placed = True
+            for m in map(self.find, below):
+                if m != name:
+                    self._unlink(parent, m)
+                    self.subclass(name, m)
+            log.append({"action": "intermediate", "parent": parent, "children": sorted(map(self.find, below))})
         for m in above if self.multi_parent else above[:1]:
-            self._place(name, m, sorted(self.children.get(m, ()), key=lambda n: (-self.freq.get(n, 0), n.lower())))
+            log.append({"action": "descend", "parent": m})
+            placed |= self._place(name, m, self._ordered(self.children.get(m, ())), log)
+        if not placed and parent is not None:
+            placed = self.subclass(parent, name)
+            if placed:
+                log.append({"action": "direct_child", "parent": parent})
+        return placed
 
     def export(self) -> dict:
         names = sorted(set(self.freq) | set(self.inserted))
-        edges = sorted({(self.find(p), self.find(c)) for p, cs in self.children.items() for c in cs})
+        edges = sorted((p, c) for p, cs in self.children.items() for c in cs)
         members = defaultdict(list)
         for n in names:
             members[self.find(n)].append(n)
+        groups = [sorted(g) for _, g in sorted(members.items()) if len(g) > 1]
+        related = sorted({pair(self.find(a), self.find(b)) for a, b in self.related if self.find(a) != self.find(b) and not self.is_ancestor(a, b) and not self.is_ancestor(b, a)})
+        canonical = sorted({self.find(n) for n in self.inserted})
+        roots = self.roots()
         return {
+            "class_statistics": {
+                "num_raw_classes": len(self.freq),
+                "num_inserted_classes": len(canonical),
+                "num_canonical_inserted_classes": len(canonical),
+                "num_roots": len(roots),
+                "num_equivalence_groups": len(groups),
+                "num_subclass_edges": len(edges),
+                "num_related_edges": len(related),
+                "num_unrelated_pairs": len(self.unrelated),
+                "num_uncertain_pairs": len(self.uncertain),
+            },
+            "runtime_statistics": {"num_llm_calls": len(self.records), "num_cache_hits": self.hits, "num_pruned_pairs": self.pruned, "schema_max_workers": self.workers, "allow_multi_parent": self.multi_parent},
+            "class_frequency": dict(self.freq),
+            "roots": roots,
+            "canonical_classes": canonical,
             "canonical_map": {n: self.find(n) for n in names},
-            "equivalence_groups": sorted(sorted(g) for g in members.values()),
-            "subclass_edges": [e for e in edges if e[0] != e[1]],
-            "related_edges": sorted(r for r in self.related if not reaches(self.children, *r) and not reaches(self.children, r[1], r[0])),
+            "equivalence_groups": groups,
+            "subclass_edges": edges,
+            "related_edges": related,
             "unrelated_pairs": sorted(self.unrelated),
             "uncertain_pairs": sorted(self.uncertain),
-            "roots": self.roots(),
             "conflict_records": self.conflicts,
-            "statistics": {"classes": len(names), "canonical": len(members), "subclass_edges": len(edges), "judged": len(self.asked)},
+            "llm_relation_records": self.records,
+            "insertion_records": self.insertions,
         }
 
 
+def pair(a: str, b: str) -> tuple[str, str]:
+    return (a, b) if a <= b else (b, a)
+
+
 def build_schema(ordered: list[tuple[str, int]], judge: Judge, limit: int = 0, every: int = 0, save: Callable[[dict], None] | None = None, **options) -> Schema:
-    """Inserts classes in order, saving after each `every` of them."""
-    schema = Schema(dict(ordered), judge, **options)
-    for k, (name, _) in enumerate(ordered[:limit] if limit else ordered, 1):
+    """Inserts classes in order, saving after each `every` of them; what is saved also tells how far the run is."""
+    schema, some = Schema(dict(ordered), judge, **options), ordered[:limit] if limit else ordered
+    for k, (name, _) in enumerate(some, 1):
         schema.insert(name)
         if every and save and k % every == 0:
-            save(schema.export())
+            save(schema.export() | {"progress": {"processed": k, "total": len(some)}})
     return schema

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_class
+from ..functions.text import content_id, normalize_class
 
 ANNOTATION = "map<string, struct<entity: string, classes: array<string>, class_paths: array<array<string>>, raw_output: string, status: string, error: string>>"
 STATE = "struct<canonical_map: map<string, string>, subclass_edges: array<struct<parent: string, child: string>>, related_edges: array<struct<source: string, target: string>>>"
@@ -23,12 +25,18 @@ def _whole(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
         raise
 
 
+RECORD = "entity_id string, entity string, classes array<string>, class_paths array<array<string>>, raw_output string, status string, error string"
+
+
 def entity_classes(spark: SparkSession, path: str) -> DataFrame:
-    """entity_id, entity, classes, class_paths, raw_output, status, error.  A missing file is an empty table."""
+    """entity_id, entity, classes, class_paths, raw_output, status, error: of one JSON object of records by entity_id, or of
+    what write_entity_classes() wrote (a record a line).  A missing file is an empty table."""
     got = _whole(spark, path, ANNOTATION)
     if got is None:
-        return spark.createDataFrame([], "entity_id string, entity string, classes array<string>, class_paths array<array<string>>, raw_output string, status string, error string")
-    return got.select(F.explode("x").alias("entity_id", "r")).select("entity_id", "r.*")
+        return spark.createDataFrame([], RECORD)
+    whole = got.filter("x is not null").select(F.explode("x").alias("entity_id", "r")).filter("r is not null").select("entity_id", "r.*")
+    lines = spark.read.schema(RECORD).json(path).filter("entity_id is not null")
+    return whole.unionByName(lines)
 
 
 def write_entity_classes(annotations: DataFrame, path: str) -> None:
@@ -71,11 +79,78 @@ def schema_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return canonical, mapped("subclass_edges", "parent", "child"), both
 
 
-def write_schema_state(state: dict, path: str) -> None:
-    """The driver's export of the schema builder."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file on any file system that Spark knows, put in place in one step."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    temp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temp, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.delete(where, False)
+    if not fs.rename(temp, where):
+        raise OSError(f"could not write {path}")
+
+
+def write_schema_state(spark: SparkSession, state: dict, path: str) -> None:
+    """The export of the schema builder, with edges as named pairs."""
     named = state | {"subclass_edges": [{"parent": p, "child": c} for p, c in state["subclass_edges"]], "related_edges": [{"source": a, "target": b} for a, b in state["related_edges"]]}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(named, f, ensure_ascii=False, indent=1)
+    write_text(spark, path, json.dumps(named, ensure_ascii=False, indent=1))
+
+
+def question_type_cache(spark: SparkSession, path: str) -> DataFrame:
+    """question, types of a JSON object of class lists by question; a missing file is an empty table."""
+    got = _whole(spark, path, "map<string, array<string>>")
+    if got is None:
+        return spark.createDataFrame([], "question string, types array<string>")
+    return got.filter("x is not null").select(F.explode("x").alias("question", "types"))
+
+
+def write_question_types(spark: SparkSession, types: DataFrame, path: str) -> None:
+    """One JSON object; questions are a batch, so a driver's work."""
+    write_text(spark, path, json.dumps({r["question"]: list(r["types"] or []) for r in types.orderBy("question").toLocalIterator()}, ensure_ascii=False, indent=1))
+
+
+def entity_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(passage_id, entity) and (sentence, entity) of a recogniser's cache file: one JSON object with passage_hash_id_to_entities
+    and sentence_to_entities.  A missing file gives empty tables."""
+    kind = "map<string, array<string>>"
+    got = _whole(spark, path, f"passage_hash_id_to_entities {kind}, sentence_to_entities {kind}")
+    if got is None:
+        got = spark.createDataFrame([(None,)], f"x struct<passage_hash_id_to_entities: {kind}, sentence_to_entities: {kind}>")
+    pick = lambda c, key: got.filter("x is not null").select(F.explode(f"x.{c}").alias(key, "e")).select(key, F.explode("e").alias("entity"))
+    return pick("passage_hash_id_to_entities", "passage_id"), pick("sentence_to_entities", "sentence")
+
+
+def write_entity_cache(passage: DataFrame, sentence: DataFrame, path: str) -> None:
+    """The same two tables as Parquet below `path`; at corpus size one JSON object is no format to write."""
+    passage.select("passage_id", "entity").write.mode("overwrite").parquet(f"{path}/passage_entities")
+    sentence.select("sentence", "entity").write.mode("overwrite").parquet(f"{path}/sentence_entities")
+
+
+def entity_table(spark: SparkSession, path: str, hash_column: str = "hash_id", text_column: str = "text") -> DataFrame:
+    """hash_id, entity of a Parquet entity store: trimmed, without blanks and repeats, in the order of neither."""
+    rows = spark.read.parquet(path).select(F.trim(F.col(hash_column).cast("string")).alias("hash_id"), F.trim(F.col(text_column).cast("string")).alias("entity"))
+    return rows.filter("hash_id <> '' and entity <> ''").groupBy("hash_id").agg(F.min("entity").alias("entity"))
+
+
+def named_entities(spark: SparkSession, names: list[str]) -> DataFrame:
+    """hash_id, entity of a few names given by hand; blank ones are left out."""
+    rows = spark.createDataFrame([(n.strip(),) for n in dict.fromkeys(names) if n and n.strip()], "entity string")
+    return rows.select(content_id("entity", F.col("entity")).alias("hash_id"), "entity")
+
+
+def cycle_report(kept: list[tuple[str, str]], removed: list[tuple[str, str, str]], support: dict[tuple[str, str], int]) -> dict:
+    """What making a hierarchy acyclic kept and removed: counts, and every removed edge with its support and reason."""
+    why = Counter(r for _, _, r in removed)
+    return {
+        "num_candidate_edges": len(kept) + len(removed),
+        "num_kept_edges": len(kept),
+        "num_removed_edges": len(removed),
+        "num_removed_by_reason": dict(sorted(why.items())),
+        "removed_edges": [{"parent": p, "child": c, "reason": r, "support": support.get((p, c), 0)} for p, c, r in removed],
+    }
 
 
 def hierarchy_maps(paths: DataFrame) -> DataFrame:

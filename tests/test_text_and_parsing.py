@@ -48,18 +48,48 @@ def test_class_list():
     assert parsing.class_list('noise ["x1", "Y"] more') == ["X1", "Y"]
 
 
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ("type of entity", []),
+        ("organization brand fruit", ["Organization", "Brand", "Fruit"]),
+        ("Classes: work of art unknown label", ["Work of art"]),
+        ("place city capital city", ["Place", "City", "Capital city"]),
+        ("ANSWER : ```json\n[\"person\"]\n```", ["Person"]),
+        ("<think>[1]</think>Answer: city", ["City"]),
+        ("The Answer: city, place", ["The Answer: city", "Place"]),
+        ('{"types": "x"} ["Place"]', ["Place"]),
+        ("b2 c-d", ["C-d"]),
+    ],
+)
+def test_class_list_golden(raw, want):
+    assert parsing.class_list(raw) == want
+
+
+def test_query_class_list():
+    assert parsing.query_class_list('Answer: [" Place ", "", 3]') == ["Place", "3"]
+    assert parsing.query_class_list('so ["a"] it is') == ["a"] and parsing.query_class_list("Person, City,,") == ["Person", "City"]
+    assert parsing.query_class_list("Person") == [] and parsing.query_class_list(None) == []
+
+
 def test_relation():
-    assert parsing.relation("I think a_parent_b") == ("A_PARENT_B", 0.5)
-    assert parsing.relation('{"relation":"nope","confidence":0.9}') == ("UNCERTAIN", 0.9)
-    assert parsing.relation("unrelated") == ("UNRELATED", 0.5)
-    assert parsing.relation('{"relation":"RELATED","confidence":0.2}', 0.5) == ("UNCERTAIN", 0.2)
-    assert parsing.relation(None) == ("UNCERTAIN", 0.0)
+    assert parsing.relation("I think a_parent_b")[:2] == ("A_PARENT_B", 0.5)
+    assert parsing.relation('{"relation":"nope","confidence":0.9}')[:2] == ("UNCERTAIN", 0.9)
+    assert parsing.relation("unrelated")[:2] == ("UNRELATED", 0.5)
+    assert parsing.relation('{"relation":"RELATED","confidence":0.2, "reason": " r "}') == ("RELATED", 0.2, "r")
+    assert parsing.relation('{"relation":"RELATED","confidence":"high"}')[:2] == ("RELATED", 0.5)  # unreadable: by the text
+    assert parsing.relation('[1] {"relation":"EQUIVALENT","confidence":1}')[:2] == ("EQUIVALENT", 1.0)
+    assert parsing.relation(None)[:2] == ("UNCERTAIN", 0.0) and parsing.relation("?")[:2] == ("UNCERTAIN", 0.0)
 
 
 def test_paths():
     assert parsing.clean_paths([["Person", "person", "Scientist"]]) == [["Entity", "Person", "Scientist"]]
     assert parsing.class_paths('x {"paths": [["Entity","A"],["entity","a"],["B"]]} y') == [["Entity", "A"], ["Entity", "B"]]
     assert parsing.class_paths('["Person","Poet"]') == [["Entity", "Person", "Poet"]] and parsing.class_paths("none") == []
+    assert parsing.class_paths('{"type_paths": [["Unknown", "Json thing", "Place"]]}') == [["Entity", "Place"]]
+    assert parsing.class_paths('{"types": ["place", "city"]}') == [["Entity", "Place", "City"]]
+    assert parsing.class_paths('[["a"], "b"]') == [["Entity", "A", "B"]]
+    assert parsing.class_paths('[["N/A"], ["x", "entity"]]') == [["Entity", "X", "Entity"]]
     assert parsing.cut_at_repeat(["Entity", "Person", "Scientist", "Person", "X"]) == ["Entity", "Person", "Scientist"]
 
 

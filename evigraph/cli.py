@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import logging
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .config import PROFILES, profile
 from .functions.parsing import RELATIONS
-from .operators import corpus, ontology, qa
-from .sources import store
+from .functions.text import answer_classes
+from .operators import annotate, corpus, ontology, qa
+from .plans import retrieve
+from .sources import artifacts, store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,9 +37,57 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--max-classes", type=int, default=0)
     a.add_argument("--confidence", type=float, default=0.0)
     a.add_argument("--multi-parent", action="store_true")
+    a = sub.add_parser("retrieve", help="the best passages of each question")
+    a.add_argument("chunks", help="JSON array of texts")
+    a.add_argument("questions", help="JSON array of objects with question and answer")
+    a.add_argument("out", help="folder for qid, rank, idx, score, text as Parquet")
+    a.add_argument("--profile", default="default", choices=sorted(PROFILES))
+    a.add_argument("--embedder", default="evigraph.sources.seams:HashingEmbedder", help="module:name of an encoder")
+    a.add_argument("--matrix", action="store_true", help="order-free propagation")
+    a.add_argument("--classes", help="entity annotations (JSON); turns on class-aware search")
+    a.add_argument("--schema-state", help="schema state (JSON), for canonical class names")
+    a = sub.add_parser("qa", help="answers of a language model from retrieved passages")
+    a.add_argument("ranked", help="folder written by retrieve")
+    a.add_argument("questions")
+    a.add_argument("out", help="folder for predictions as JSON lines")
+    a.add_argument("--model", required=True, help="module:name of a language model")
+    a = sub.add_parser("annotate", help="classes of entities (Parquet: hash_id, text) by a language model; finished ones are kept")
+    a.add_argument("entities")
+    a.add_argument("out", help="folder of JSON lines, appended")
+    a.add_argument("--model", required=True)
+    a.add_argument("--overwrite", action="store_true")
     return p
 
 
+def plugin(name: str):
+    """The object that module:name stands for; a class is made without arguments."""
+    module, _, attribute = name.partition(":")
+    found = getattr(importlib.import_module(module), attribute)
+    return found() if isinstance(found, type) else found
+
+
+def run_retrieve(spark: SparkSession, args: argparse.Namespace) -> None:
+    config = profile(args.profile, matrix_propagation=args.matrix, use_class_schema=bool(args.classes))
+    questions = store.questions(spark, args.questions).select("qid", "question")
+    p = corpus.passages(store.chunks(spark, args.chunks))
+    classes = types = canonical = None
+    if args.classes:
+        canonical = artifacts.schema_state(spark, args.schema_state)[0] if args.schema_state else spark.createDataFrame([], "raw string, canonical string, pos int")
+        rows = artifacts.entity_classes(spark, args.classes)
+        names = rows.select("entity_id", "entity")
+        classes = artifacts.usable_classes(rows, canonical).join(names, "entity_id").select("entity", "classes")
+        types = questions.select("qid", answer_classes(F.col("question")).alias("types"))
+    found = retrieve.retrieve(questions, p, plugin(args.embedder), config, classes, types, canonical)
+    found.join(p.select("idx", "text"), "idx").select("qid", "rank", "idx", "score", "text").write.mode("overwrite").parquet(args.out)
+
+
+def run_annotate(spark: SparkSession, args: argparse.Namespace) -> None:
+    entities = artifacts.entity_table(spark, args.entities)
+    done = artifacts.entity_classes(spark, args.out).filter("status = 'success'").select(F.col("entity_id").alias("hash_id")).distinct()
+    got = annotate.annotate(entities, done, plugin(args.model), args.overwrite)
+    artifacts.write_entity_classes(got.withColumnRenamed("hash_id", "entity_id"), args.out)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO)
@@ -51,25 +103,38 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "evaluate":
         rows = spark.read.option("multiLine", True).json(args.predictions).withColumn("gold", F.col("gold_answer")).withColumn("qid", F.monotonically_increasing_id())
         logging.info("%s", qa.evaluate(rows)[1].first().asDict())
+    elif args.command == "retrieve":
+        run_retrieve(spark, args)
+    elif args.command == "qa":
+        questions = store.questions(spark, args.questions)
+        answers = qa.read(questions, spark.read.parquet(args.ranked), plugin(args.model))
+        store.write_predictions(questions.join(answers, "qid").select("qid", "question", F.col("answer").alias("gold_answer"), "pred_answer", "status"), args.out)
+    elif args.command == "annotate":
+        run_annotate(spark, args)
     elif args.command == "hierarchy":
         found = ontology.path_edges(spark.read.parquet(args.paths)).cache()
-        kept, removed = ontology.acyclic([(r["parent"], r["child"], r["support"], r["depth"]) for r in found.select("parent", "child", "support", "depth").collect()])
+        edges = [(r["parent"], r["child"], r["support"], r["depth"]) for r in found.select("parent", "child", "support", "depth").collect()]  # one row a class pair
+        kept, removed = ontology.acyclic(edges)
         marks = spark.createDataFrame([(*e, True, None) for e in kept] + [(p, c, False, why) for p, c, why in removed], "parent string, child string, kept boolean, reason string")
         found.join(marks, ["parent", "child"]).write.mode("overwrite").parquet(args.out)
+        artifacts.write_text(spark, f"{args.out}-report.json", json.dumps(artifacts.cycle_report(kept, removed, {e[:2]: e[2] for e in edges}), ensure_ascii=False, indent=1))
     else:
         ordered = ontology.class_frequency(spark.read.parquet(args.annotations), args.min_freq, args.max_classes).collect()
-        table = {(r["class_a"], r["class_b"]): (r["relation"], r["confidence"]) for r in spark.read.parquet(args.relations).collect()}
-        swap = {"A_PARENT_B": "B_PARENT_A", "B_PARENT_A": "A_PARENT_B"}
+        asked = {r["class"] for r in ordered}
+        known = spark.createDataFrame([(c,) for c in sorted(asked)], "class string")
+        relations = spark.read.parquet(args.relations)
+        for side in ("class_a", "class_b"):
+            relations = relations.join(known.withColumnRenamed("class", side), side, "left_semi")
+        table = {(r["class_a"], r["class_b"]): (r["relation"], r["confidence"]) for r in relations.toLocalIterator()}  # pairs of the ordered classes
 
         def judge(a: str, b: str) -> tuple[str, float]:
             if (a, b) in table:
                 return table[a, b]
             kind, sure = table.get((b, a), (RELATIONS[-1], 0.0))
-            return swap.get(kind, kind), sure
+            return ontology.INVERSE.get(kind, kind), sure
 
         schema = ontology.build_schema([(r["class"], r["freq"]) for r in ordered], judge, threshold=args.confidence, multi_parent=args.multi_parent)
-        with open(args.out, "w", encoding="utf-8") as f:
-            json.dump(schema.export(), f, ensure_ascii=False, indent=1)
+        artifacts.write_schema_state(spark, schema.export(), args.out)
 
 
 if __name__ == "__main__":

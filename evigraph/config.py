@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from .functions.text import ATTRIBUTE_WORDS
+
 
 @dataclass(frozen=True)
 class Config:
@@ -18,13 +20,28 @@ class Config:
     matrix_propagation: bool = False
     attribute_fallback: bool = False
     attribute_boost: float = 0.25
+    attribute_words: tuple[str, ...] = ATTRIBUTE_WORDS
     use_class_schema: bool = False
+    edge_transition: bool = True  # class-aware search also reweights edges
+    entity_classes_path: str = ""
+    schema_state_path: str = ""
+    query_type_cache_path: str = ""
+    working_dir: str = "./import"
+    chunk_tokens: int = 1000  # passages come cut; the three settings below describe them and the models, nothing else reads them
+    chunk_overlap: int = 100
+    embedding_model: str = "all-mpnet-base-v2"
+    recogniser_model: str = "en_core_web_trf"
+    encode_batch: int = 128
+    schema_workers: int = 4
     llm_query_typing: bool = True
     overwrite_classes: bool = False
     max_classes: int = 4
     class_boost: float = 0.3
     class_prior: float = 0.3
     same_weight: float = 1.0
+    descendant_weight: float = 0.9  # kept with the settings; compatibility is of equal classes only
+    ancestor_weight: float = 0.5
+    related_weight: float = 0.3
     edge_beta: float = 0.8
     edge_seed: float = 0.6
     edge_active: float = 0.4

@@ -43,6 +43,12 @@ def named(found: DataFrame) -> DataFrame:
     return found.filter(~F.col("label").isin(*DROPPED_LABELS))
 
 
+def question_entities(questions: DataFrame, pattern: str = ENTITY) -> DataFrame:
+    """qid, mention: the distinct entities of each question, lower-cased."""
+    found = F.array_distinct(F.transform(entities_of(F.col("question"), pattern), F.lower))
+    return questions.select("qid", F.explode(found).alias("mention"))
+
+
 def passage_entities(texts: DataFrame, key: str, pattern: str = ENTITY) -> DataFrame:
     """key, entity, n: the distinct entities of each text and how often each occurs in it as a substring.
 

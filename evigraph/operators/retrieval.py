@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 
+import tempfile
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.text import attribute_overlap, is_attribute_query
@@ -15,27 +19,66 @@ from .substring import occurrences_of
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise and drop the lineage: in the session's checkpoint folder, or as a cached table where none is set."""
+    """Materialise in the session's checkpoint folder and drop the lineage; survives the loss of executors.
+
+    Where no folder is set: a temporary one on a single machine, an error on a cluster.
+    """
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
-    if where and not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True) if context.getCheckpointDir().isDefined() else df.cache()
+    if not context.getCheckpointDir().isDefined():
+        where, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not where and master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="evigraph-"))
+    return df.checkpoint(eager=True)
 
 
 def dot(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0d, (s, x) -> s + x)")
 
 
-def similarities(left: DataFrame, right: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Every row of `left` (a question batch; vector lv) with every row of `right` (vector rv): all columns and sim.
+def similarities(left: DataFrame, right: DataFrame, limit: int = 10_000, k: int | None = None, key: str = "idx") -> DataFrame:
+    """Every row of `left` (a question batch: qid, other columns, vector lv) with every row of `right` (columns, vector rv):
+    all columns but the vectors, and sim.  Rows without a vector, or with one of another length, are left out.
 
-    The batch is counted: up to `limit` rows it is sent to every task, a larger one is a caller's error to be split.
+    The batch is counted and sent to every task; one above `limit` is a caller's error to be split.  A batch of rows takes
+    one matrix product.  With `k`, only each question's k most similar rows (ties: smallest `key`) of every batch go on, of
+    which top() then picks.
     """
-    if left.limit(limit + 1).count() > limit:
+    batch = left.limit(limit + 1).toArrow()
+    if batch.num_rows > limit:
         raise ValueError("split the question batch")
-    return right.crossJoin(F.broadcast(left)).withColumn("sim", dot("lv", "rv")).drop("lv", "rv")
+    vectors = [None if v is None else np.asarray(v, np.float64) for v in batch["lv"].to_pylist()]
+    size = max((len(v) for v in vectors if v is not None), default=0)
+    rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == size]
+    lcols, rcols = [c for c in left.columns if c != "lv"], [c for c in right.columns if c != "rv"]
+    matrix = np.stack([vectors[i] for i in rows]) if rows else np.zeros((0, max(1, size)))
+    shared = right.sparkSession.sparkContext.broadcast((batch.select(lcols).take(pa.array(rows, pa.int64())).combine_chunks(), matrix))
+    kinds = {f.name: f.dataType for f in [*left.schema.fields, *right.schema.fields]}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*lcols, *rcols)] + [T.StructField("sim", T.DoubleType())])
+
+    def run(batches):
+        table, m = shared.value
+        q = len(m)
+        for every in batches:
+            for at in range(0, every.num_rows, 1 << 12):
+                part = every.slice(at, 1 << 12)
+                v = part.column(len(rcols))
+                fits = np.flatnonzero(np.asarray(v.is_valid()) & (np.asarray(v.value_lengths().fill_null(-1)) == m.shape[1]))
+                if not len(fits) or not q:
+                    continue
+                part = part.take(pa.array(fits))
+                x = part.column(len(rcols)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+                sim = m @ x.T
+                a, b = np.repeat(np.arange(q), len(fits)), np.tile(np.arange(len(fits)), q)
+                if k is not None and k < len(fits):
+                    ids = part.column(rcols.index(key)).to_numpy(zero_copy_only=False)
+                    b = np.concatenate([np.lexsort((ids, -np.round(row, 9)))[:k] for row in sim])
+                    a = np.repeat(np.arange(q), k)
+                left_side = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.take(pa.array(a)).columns]
+                yield pa.RecordBatch.from_arrays([*left_side, *part.select(list(range(len(rcols)))).take(pa.array(b)).columns, pa.array(sim[a, b])], [*lcols, *rcols, "sim"])
+
+    return right.select(*rcols, "rv").mapInArrow(run, schema)
 
 
 def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
@@ -81,20 +124,41 @@ def passage_scores(dense: DataFrame, bonus: DataFrame, config: Config, texts: Da
     score = config.passage_ratio * F.col("scaled") + F.when(b > -1, F.log1p(b)).otherwise(0.0)
     if texts is not None and config.attribute_fallback:
         joined = joined.join(texts, ["qid", "idx"], "left")
-        score = score + F.when(is_attribute_query(F.col("question")), config.attribute_boost * F.log1p(attribute_overlap(F.col("question"), F.col("text")))).otherwise(0.0)
+        score = score + F.when(is_attribute_query(F.col("question"), config.attribute_words), config.attribute_boost * F.log1p(attribute_overlap(F.col("question"), F.col("text"), config.attribute_words))).otherwise(0.0)
     return joined.select("qid", "idx", (score * config.passage_node_weight).alias("weight"))
 
 
-def matrix_round(frontier: DataFrame, mention: DataFrame, sims: DataFrame, used: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
+#: Similarity of pairs: (qid, sentence) to (qid, sentence, sim); or a table of all of them.
+Similarity = Callable[[DataFrame], DataFrame] | DataFrame
+
+
+def pair_similarity(questions: DataFrame, sentences: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Similarity of the pairs that are asked for.  questions: qid, lv (a batch); sentences: sentence, rv."""
+
+    def of(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sentences, "sentence").join(questions.select("qid", "lv"), "qid")
+        return both.select("qid", "sentence", dot("lv", "rv").alias("sim"))
+
+    return of
+
+
+def _with_sim(reach: DataFrame, sims: Similarity) -> DataFrame:
+    """Adds sim to rows of qid, sentence; each distinct pair is compared once, and only pairs that were reached."""
+    if isinstance(sims, DataFrame):
+        return reach.join(sims, ["qid", "sentence"])
+    return reach.join(sims(reach.select("qid", "sentence").distinct()), ["qid", "sentence"])
+
+
+def matrix_round(frontier: DataFrame, mention: DataFrame, sims: Similarity, used: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
     """One order-free propagation round: (next scores qid, entity, score; sentences it used qid, sentence).
 
     A sentence's activation is the sum of its frontier entities' scores; each frontier entity picks its k most similar unused
     sentences; a picked sentence passes activation * similarity on to all its entities.
     """
-    reach = frontier.join(mention, "entity").join(sims, ["qid", "sentence"])
+    reach = frontier.join(mention, "entity").select("qid", "entity", "sentence", "score")
     if used is not None:
         reach = reach.join(used, ["qid", "sentence"], "left_anti")
-    reach = cut(reach.select("qid", "entity", "sentence", "score", "sim"))
+    reach = cut(_with_sim(cut(reach), sims).select("qid", "entity", "sentence", "score", "sim"))
     order = Window.partitionBy("qid", "entity").orderBy(F.round("sim", 9).desc(), "sentence")
     picked = reach.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("qid", "sentence").distinct()
     active = reach.groupBy("qid", "sentence").agg((F.sum("score") * F.first("sim")).alias("w")).filter("w > 0")
@@ -103,7 +167,7 @@ def matrix_round(frontier: DataFrame, mention: DataFrame, sims: DataFrame, used:
     return cut(after), picked
 
 
-def propagate_matrix(seed: DataFrame, mention: DataFrame, sims: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+def propagate_matrix(seed: DataFrame, mention: DataFrame, sims: Similarity, config: Config) -> tuple[DataFrame, DataFrame]:
     """(weights qid, entity, weight; activated qid, entity, score, tier) after max_iterations - 1 rounds; seeds have tier 0."""
     weights = seed.select("qid", "entity", F.col("score").alias("weight"))
     activated = seed.select("qid", "entity", "score", F.lit(0).alias("tier"))
@@ -150,33 +214,48 @@ def frontier_search(seed: list[tuple[str, float]], sentences_of: dict[str, list[
     return weights, activated
 
 
-def propagate_frontier(seed: DataFrame, mention: DataFrame, sims: DataFrame, config: Config) -> DataFrame:
-    """qid, entity, weight, score, tier by frontier_search, one question a group.
+def _picks(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """What the frontier entities of one question pick, in their order: each its k most similar sentences that are free."""
+    used, out = set(), []
+    for _, rows in pdf.sort_values(["ord", "r"]).groupby("ord", sort=True):
+        free = [x for x in rows.itertuples(index=False) if x.sentence not in used][:k]
+        used.update(x.sentence for x in free)
+        out += [(x.qid, x.sentence, x.flow) for x in free]
+    return pd.DataFrame({"qid": [x[0] for x in out], "sentence": [x[1] for x in out], "flow": [x[2] for x in out], "pick": range(len(out))}).astype({"qid": "int64", "flow": "float64", "pick": "int64"})
 
-    Only what max_iterations - 1 hops can reach is sent to a question's group: found by joins, so a group holds a
-    neighbourhood, not the corpus.
-    """
-    hops = seed.select("qid", "entity").distinct()
-    reach = None
-    for _ in range(config.max_iterations - 1):
-        step = hops.join(mention, "entity").select("qid", "sentence").distinct()
-        best = step.join(sims, ["qid", "sentence"])
-        reach = cut(best if reach is None else reach.unionByName(best).distinct())
-        hops = reach.join(mention, "sentence").select("qid", "entity").distinct()
-    base = seed.select("qid", "entity", "score", F.lit(None).cast("string").alias("sentence"), F.lit(None).cast("double").alias("sim"))
-    near = reach.join(mention, "sentence").select("qid", "entity", F.lit(None).cast("double").alias("score"), "sentence", "sim")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf[pdf["sentence"].isna()].sort_values("entity")
-        m = pdf[pdf["sentence"].notna()].sort_values(["entity", "sentence"])
-        by_entity = m.groupby("entity")["sentence"].agg(list).to_dict()
-        by_sentence = m.groupby("sentence")["entity"].agg(list).to_dict()
-        sim = dict(zip(m["sentence"], m["sim"], strict=True))
-        w, a = frontier_search(list(zip(s["entity"], s["score"], strict=True)), by_entity, by_sentence, sim, config)
-        rows = [(pdf["qid"].iloc[0], e, x, *a.get(e, (None, None))) for e, x in sorted(w.items())]
-        return pd.DataFrame(rows, columns=["qid", "entity", "weight", "score", "tier"]).astype({"tier": "Int32"})
+def propagate_frontier(seed: DataFrame, mention: DataFrame, sims: Similarity, config: Config, compat: DataFrame | None = None) -> DataFrame:
+    """qid, entity, weight, score, tier as frontier_search() computes them, for all questions at once; compat: qid, entity, compat.
 
-    return base.unionByName(near).groupBy("qid").applyInPandas(run, "qid bigint, entity string, weight double, score double, tier int")
+    Seeds stand in the order of their names.  A round is a few joins.  What must go in order, the picking of sentences, sees
+    of each frontier entity only its k * n best unused sentences, n being its place in the frontier: those before it cannot
+    take more, so a question's group grows with its frontier, not with the corpus.
+    """
+    k, low = config.top_k_sentence, config.iteration_threshold
+    place = Window.partitionBy("qid").orderBy("first")
+    frontier = cut(seed.select("qid", "entity", "score", F.struct(F.col("entity").alias("a"), F.lit("").alias("b")).alias("first")).withColumn("ord", F.row_number().over(place)).drop("first"))
+    weights = seed.select("qid", "entity", F.col("score").alias("weight"))
+    state = seed.select("qid", "entity", "score", F.lit(1).alias("tier"))
+    used = None
+    for tier in range(2, config.max_iterations + 1):
+        reach = frontier.filter(F.col("score") >= low).join(mention, "entity").select("qid", "ord", "score", "sentence")
+        if used is not None:
+            reach = reach.join(used, ["qid", "sentence"], "left_anti")
+        order = Window.partitionBy("qid", "ord").orderBy(F.col("sim").desc(), "sentence")
+        near = _with_sim(cut(reach), sims).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("ord") * k)
+        picked = cut(near.select("qid", "ord", "r", "sentence", (F.col("score") * F.col("sim")).alias("flow")).groupBy("qid").applyInPandas(lambda pdf: _picks(pdf, k), "qid bigint, sentence string, flow double, pick bigint"))
+        flow = picked.join(mention, "sentence").select("qid", "entity", "flow", F.struct("pick", "entity").alias("at"))
+        if compat is not None:
+            flow = flow.join(compat.groupBy("qid", "entity").agg(F.max("compat").alias("compat")), ["qid", "entity"], "left").withColumn("flow", F.col("flow") * (1 + config.class_boost * F.coalesce("compat", F.lit(0.0))))
+        fresh = cut(flow.filter(F.col("flow") >= low).groupBy("qid", "entity").agg(F.max_by("flow", "at").alias("score"), F.sum("flow").alias("weight"), F.min("at").alias("first")))
+        weights = weights.unionByName(fresh.select("qid", "entity", "weight"))
+        state = state.unionByName(fresh.select("qid", "entity", "score", F.lit(tier).alias("tier")))
+        used = picked.select("qid", "sentence") if used is None else used.unionByName(picked.select("qid", "sentence"))
+        if tier == config.max_iterations or fresh.isEmpty():
+            break
+        frontier = cut(fresh.withColumn("ord", F.row_number().over(place)).select("qid", "entity", "score", "ord"))
+    last = state.groupBy("qid", "entity").agg(F.max_by(F.struct("score", "tier"), "tier").alias("x"))
+    return weights.groupBy("qid", "entity").agg(F.sum("weight").alias("weight")).join(last, ["qid", "entity"]).select("qid", "entity", "weight", "x.score", "x.tier")
 
 
 def class_prior(weights: DataFrame, activated: DataFrame, compat: DataFrame, gamma: float) -> DataFrame:
@@ -204,97 +283,125 @@ def reweighted(edges: DataFrame, compat: DataFrame, bridges: DataFrame, active:
     return rows.withColumn("boost", boost).filter("boost > 0").select("qid", "entity", "idx", "weight", (F.col("weight") * (1 + F.col("boost"))).alias("new_weight"))
 
 
-def pagerank(edges: DataFrame, reset: DataFrame, config: Config, changed: DataFrame | None = None) -> DataFrame:
-    """qid, node, score: personalised PageRank on an undirected weighted graph (src, dst, weight stored once).
+def pagerank(edges: DataFrame, reset: DataFrame, config: Config, changed: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """qid, node, score (above 0): personalised PageRank on an undirected weighted graph (src, dst, weight stored once).
+
+    reset: qid, node, weight; a question without positive weight has no rows.  changed: qid, src, dst, weight replaces
+    edges for a question; edges that the graph lacks are ignored, as are self edges.  targets (node): only these are returned.
 
-    reset: qid, node, weight.  changed: qid, src, dst, weight replaces edges for a question.  A graph of at most
-    `broadcast_limit` edges is counted, sent to the tasks and iterated question by question; a larger one is iterated by joins.
+    Nodes are 64-bit hashes of their names.  A graph of at most `broadcast_limit` edges (counted; 24 bytes each) is sent to
+    the tasks and iterated question by question; a larger one is iterated by joins.
     """
-    edges = cut(edges.select("src", "dst", "weight"))
-    if edges.count() > config.broadcast_limit:
-        return _pagerank_joins(edges, reset, config, changed)
-    table = edges.toArrow()
-    m = table.num_rows
-    both = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], pa.string()).combine_chunks().dictionary_encode()
-    names = np.array(both.dictionary.to_pylist(), str) if m else np.zeros(0, "U1")
-    order = np.argsort(names)
-    rank = np.empty(len(names), np.int32)
-    rank[order] = np.arange(len(names), dtype=np.int32)
-    names, codes = names[order], rank[both.indices.to_numpy()]
-    shared = edges.sparkSession.sparkContext.broadcast((names, codes[:m], codes[m:], table["weight"].to_numpy().astype(np.float64)))
+    name = lambda c: F.xxhash64(c)
+    ends = lambda df, w: df.select(*[c for c in df.columns if c == "qid"], F.least(name("src"), name("dst")).alias("a"), F.greatest(name("src"), name("dst")).alias("b"), F.col("weight").cast("double").alias(w)).filter("a <> b")
+    graph = cut(ends(edges, "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
+    every = targets.select("node") if targets is not None else edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(reset.select("node"))
+    named = every.distinct().select(name("node").alias("a"), "node")
+    start = reset.groupBy("qid", name("node").alias("a")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    more = None if changed is None else ends(changed, "new").groupBy("qid", "a", "b").agg(F.max("new").alias("new"))
+    if graph.count() <= config.broadcast_limit:
+        found = _pagerank_local(graph, start, config, more, None if targets is None else named.select("a"))
+    else:
+        found = _pagerank_joins(graph, start, config, more)
+    return found.join(named, "a").select("qid", "node", "score")
+
+
+def _pagerank_local(graph: DataFrame, start: DataFrame, config: Config, changed: DataFrame | None, targets: DataFrame | None) -> DataFrame:
+    """(qid, a, score) with the whole graph in every task.  graph: a, b, w; start: qid, a, weight; changed: qid, a, b, new."""
+    table = graph.toArrow()
+    a, b, w = (table[c].to_numpy() for c in ("a", "b", "w"))
+    nodes, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    tail, head = codes.astype(np.int32), np.concatenate([codes[len(a) :], codes[: len(a)]]).astype(np.int32)
+    order = np.lexsort((tail, head))  # both directions of every edge, by the node that receives
+    tail, head, both = tail[order], head[order], np.concatenate([w, w])[order]
+    edge = np.searchsorted(head, np.arange(len(nodes) + 1))
+    wanted = None
+    if targets is not None:  # only targets in the graph are sent; others are known from the rows of a question
+        have = set_of(targets, graph)
+        wanted = np.isin(nodes, have)
+    shared = graph.sparkSession.sparkContext.broadcast((nodes, tail, both, edge, wanted))
     d, rounds = config.damping, config.ppr_iterations
-    rows = reset.select("qid", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), "weight")
+    none = F.lit(0).cast("bigint")
+    rows = start.select("qid", "a", none.alias("b"), "weight", F.lit(False).alias("edge"))
+    if targets is not None:
+        marked = targets.select(F.col("a").alias("_t"))
+        rows = rows.join(marked, rows["a"] == marked["_t"], "left").select("qid", "a", "b", "weight", "edge", F.col("_t").isNotNull().alias("wanted"))
+    else:
+        rows = rows.withColumn("wanted", F.lit(True))
     if changed is not None:
-        rows = rows.unionByName(changed.select("qid", "src", "dst", "weight"))
+        rows = rows.unionByName(changed.select("qid", "a", "b", F.col("new").alias("weight"), F.lit(True).alias("edge"), F.lit(False).alias("wanted")))
 
-    def locate(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def locate(ordered: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(ordered):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
-        return at, ordered[at] == wanted
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)
+        return at, ordered[at] == asked
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, a, b, w = shared.value
-        extra = pdf[pdf["dst"].notna()]
-        start = pdf[pdf["dst"].isna()]
-        begin = start["src"].to_numpy(object).astype(str)
-        place, known = locate(names, begin)
-        new, rank = np.unique(begin[~known], return_inverse=True)  # nodes without edges
-        place[~known] = len(names) + rank
-        every = np.concatenate([names, new])
-        n = len(every)
-        if len(extra) and len(w):
-            s, ok_s = locate(names, extra["src"].to_numpy(object).astype(str))
-            t, ok_t = locate(names, extra["dst"].to_numpy(object).astype(str))
-            code = a.astype(np.int64) * n + b
-            order = np.argsort(code, kind="stable")
-            w = w.copy()
-            for x, y in ((s, t), (t, s)):
-                at, hit = locate(code[order], x * n + y)
-                hit &= ok_s & ok_t
-                w[order[at[hit]]] = extra["weight"].to_numpy()[hit]
-        r = np.bincount(place, start["weight"], n)
-        if r.sum() <= 0:
-            return pd.DataFrame({"qid": np.zeros(0, np.int64), "node": np.zeros(0, object), "score": np.zeros(0)})
+        nodes, tail, weight, edge, wanted = shared.value
+        extra, begin = pdf[pdf["edge"]], pdf[~pdf["edge"]]
+        ids, size = begin["a"].to_numpy(np.int64), len(nodes)
+        place, known = locate(nodes, ids)
+        place[~known] = size + np.arange((~known).sum())  # nodes without edges
+        n = size + int((~known).sum())
+        r = np.bincount(place, begin["weight"], n)
+        if not r.sum() > 0:
+            return pd.DataFrame({"qid": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "score": np.zeros(0)})
         r = r / r.sum()
-        strength = np.bincount(a, w, n) + np.bincount(b, w, n)
+        if len(extra):
+            s, ok_s = locate(nodes, extra["a"].to_numpy(np.int64))
+            t, ok_t = locate(nodes, extra["b"].to_numpy(np.int64))
+            s, t, new = s[ok_s & ok_t], t[ok_s & ok_t], extra["weight"].to_numpy()[ok_s & ok_t]
+            weight = weight.copy()
+            for x, y in ((s, t), (t, s)):
+                for i, j, v in zip(x, y, new, strict=True):  # within the sorted tails of one receiver
+                    at = edge[j] + np.searchsorted(tail[edge[j] : edge[j + 1]], i)
+                    if at < edge[j + 1] and tail[at] == i:
+                        weight[at] = v
+        strength = np.bincount(tail, weight, n) if size else np.zeros(n)
         inv = np.divide(1.0, strength, out=np.zeros(n), where=strength > 0)
         x = r
         for _ in range(rounds):
-            y = x * inv
-            lost = x[strength == 0].sum()
-            x = (1 - d) * r + d * (np.bincount(a, w * y[b], n) + np.bincount(b, w * y[a], n) + lost * r)
-        keep = x > 0
-        return pd.DataFrame({"qid": pdf["qid"].iloc[0], "node": every[keep], "score": x[keep]})
+            flow = np.zeros(n)
+            if size:
+                flow[:size] = np.add.reduceat(weight * (x * inv)[tail], edge[:-1])
+            x = (1 - d) * r + d * (flow + x[strength <= 0].sum() * r)
+        show = np.ones(n, bool) if wanted is None else np.concatenate([wanted, np.zeros(n - size, bool)])
+        show[place] = begin["wanted"].to_numpy(bool)
+        every, keep = np.concatenate([nodes, ids[~known]]), (x > 0) & show
+        return pd.DataFrame({"qid": pdf["qid"].iloc[0], "a": every[keep], "score": x[keep]})
 
-    return rows.groupBy("qid").applyInPandas(run, "qid bigint, node string, score double")
+    return rows.groupBy("qid").applyInPandas(run, "qid bigint, a bigint, score double")
 
 
-def _pagerank_joins(edges: DataFrame, reset: DataFrame, config: Config, changed: DataFrame | None = None) -> DataFrame:
-    """The same by joins; edges stay partitioned by source and each round is cut."""
-    d = config.damping
-    total = reset.groupBy("qid").agg(F.sum("weight").alias("t")).filter("t > 0")
-    r = cut(reset.groupBy("qid", "node").agg(F.sum("weight").alias("weight")).join(total, "qid").select("qid", "node", (F.col("weight") / F.col("t")).alias("r")))
-    two = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    if changed is None:
-        own = two.join(two.groupBy("src").agg(F.sum("weight").alias("s")), "src").filter("s > 0")
-        step = cut(own.select("src", "dst", (F.col("weight") / F.col("s")).alias("p")))
-        on = ["src"]
-    else:
-        per = two.crossJoin(F.broadcast(total.select("qid")))
-        more = changed.select("qid", "src", "dst", F.col("weight").alias("new"))
-        more = more.unionByName(more.select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"), "new"))
-        per = per.join(more, ["qid", "src", "dst"], "left").withColumn("weight", F.coalesce("new", "weight"))
-        step = cut(per.join(per.groupBy("qid", "src").agg(F.sum("weight").alias("s")), ["qid", "src"]).filter("s > 0").select("qid", "src", "dst", (F.col("weight") / F.col("s")).alias("p")))
-        on = ["qid", "src"]
-    sources = step.select(*on).distinct()
-    x = r.select("qid", "node", F.col("r").alias("x"))
-    for _ in range(config.ppr_iterations):
-        at = x.withColumnRenamed("node", "src")
-        flow = at.join(step, on).groupBy("qid", F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("g"))
-        lost = at.join(sources, on, "left_anti").groupBy("qid").agg(F.sum("x").alias("lost"))
-        base = r.join(lost, "qid", "left").select("qid", "node", ((1 - d) * F.col("r") + d * F.col("r") * F.coalesce("lost", F.lit(0.0))).alias("g"))
-        x = cut(flow.select("qid", "node", (d * F.col("g")).alias("g")).unionByName(base).groupBy("qid", "node").agg(F.sum("g").alias("x")))
-    return x.select("qid", "node", F.col("x").alias("score"))
+def set_of(targets: DataFrame, graph: DataFrame) -> np.ndarray:
+    """Hashes of the targets that are nodes of a graph, which was counted."""
+    inside = graph.select("a").unionByName(graph.select(F.col("b").alias("a"))).distinct()
+    return targets.join(inside, "a", "left_semi").toArrow()["a"].to_numpy()
 
 
+def _pagerank_joins(graph: DataFrame, start: DataFrame, config: Config, changed: DataFrame | None) -> DataFrame:
+    """The same by joins.  All questions share the graph's edges; what a question changes travels beside them as differences."""
+    d = config.damping
+    total = start.groupBy("qid").agg(F.sum("weight").alias("t")).filter("t > 0")
+    r = cut(start.filter("weight > 0").join(total, "qid").select("qid", "a", (F.col("weight") / F.col("t")).alias("r")))
+    turned = lambda df, *cols: df.unionByName(df.select(*cols, F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in df.columns if c not in (*cols, "a", "b")]))
+    two = cut(turned(graph))
+    strength = cut(two.groupBy("a").agg(F.sum("w").alias("s")))
+    if changed is not None:
+        delta = changed.join(graph, ["a", "b"]).select("qid", "a", "b", (F.col("new") - F.col("w")).alias("dw"))
+        delta = cut(turned(delta, "qid"))
+        lift = cut(delta.groupBy("qid", "a").agg(F.sum("dw").alias("ds")))
+    x = r.select("qid", "a", F.col("r").alias("x"))
+    for _ in range(config.ppr_iterations):
+        at = x.join(strength, "a", "left")
+        if changed is not None:
+            at = at.join(lift, ["qid", "a"], "left").withColumn("s", F.col("s") + F.coalesce("ds", F.lit(0.0)))
+        at = at.select("qid", "a", "x", F.when(F.col("s") > 0, F.col("x") / F.col("s")).alias("y"))
+        flow = at.filter("y is not null").join(two, "a").select("qid", F.col("b").alias("a"), (F.col("y") * F.col("w")).alias("g"))
+        if changed is not None:
+            flow = flow.unionByName(at.filter("y is not null").join(delta, ["qid", "a"]).select("qid", F.col("b").alias("a"), (F.col("y") * F.col("dw")).alias("g")))
+        lost = at.filter("y is null").groupBy("qid").agg(F.sum("x").alias("lost"))
+        base = r.join(lost, "qid", "left").select("qid", "a", ((1 - d) * F.col("r") + d * F.col("r") * F.coalesce("lost", F.lit(0.0))).alias("g"))
+        x = cut(flow.groupBy("qid", "a").agg((d * F.sum("g")).alias("g")).unionByName(base).groupBy("qid", "a").agg(F.sum("g").alias("x")))
+    return x.filter("x > 0").select("qid", "a", F.col("x").alias("score"))

@@ -1,7 +1,7 @@
 """How the test tables stand in for questions, passages, vectors and classes; the same in Spark and in SQL.
 
-passages: documents; questions: the first benchmark items with the vector of the same number; a passage's vector has its number,
-an entity's or sentence's follows from its letters and length; an entity's class from its length.
+passages: documents; questions: all benchmark items; the vector of a question or passage has its number (modulo the number of
+vectors), that of an entity or sentence follows from its letters and length; an entity's class from its length.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, retrieval
 
-QUESTIONS = 20
 CLASSES = ("Place", "Person", "Organization", "Date")
 
 
@@ -25,11 +24,11 @@ def passages(spark, sf) -> DataFrame:
 
 
 def question_vectors(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") < QUESTIONS).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("lv"))
+    return vector_of(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")), F.col("qid"), table(spark, sf, "embeddings"), count_vectors(spark, sf), "lv")
 
 
 def question_texts(spark, sf) -> DataFrame:
-    return table(spark, sf, "benchmark").filter(F.col("item_id") < QUESTIONS).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def vector_of(df: DataFrame, key, vectors: DataFrame, n: int, name: str) -> DataFrame:
@@ -42,10 +41,13 @@ def count_vectors(spark, sf) -> int:
     return table(spark, sf, "embeddings").count()
 
 
+def passage_vectors(spark, sf) -> DataFrame:
+    return vector_of(table(spark, sf, "documents").select(F.col("doc_id").alias("idx")), F.col("idx"), table(spark, sf, "embeddings"), count_vectors(spark, sf), "rv")
+
+
 def dense(spark, sf) -> DataFrame:
-    """qid, idx, sim of every question with every passage that has a vector."""
-    p = passages(spark, sf).select("idx").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("rv")), "idx")
-    return retrieval.similarities(question_vectors(spark, sf), p)
+    """qid, idx, sim of every question with every passage."""
+    return retrieval.cut(retrieval.similarities(question_vectors(spark, sf), passage_vectors(spark, sf)))
 
 
 def mentions(spark, sf) -> DataFrame:
@@ -59,7 +61,7 @@ def entity_key(name: str = "entity"):
 
 def question_entities(spark, sf) -> DataFrame:
     """qid, mention, lv: entities of the question texts, lower-cased."""
-    found = question_texts(spark, sf).select("qid", F.explode(F.array_distinct(F.transform(corpus.entities_of(F.col("question")), F.lower))).alias("mention"))
+    found = corpus.question_entities(question_texts(spark, sf))
     return vector_of(found, entity_key("mention"), table(spark, sf, "embeddings"), count_vectors(spark, sf), "lv")
 
 
@@ -73,12 +75,11 @@ def seeds(spark, sf) -> DataFrame:
     return retrieval.cut(retrieval.seeds(question_entities(spark, sf), entity_table(spark, sf)))
 
 
-def sentence_sims(spark, sf, sentences: DataFrame) -> DataFrame:
-    """qid, sentence, sim: one dot product a vector, joined to the sentences that have it."""
-    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("rv"))
-    sims = retrieval.similarities(question_vectors(spark, sf), v)
+def sentence_sims(spark, sf, sentences: DataFrame):
+    """Similarity of the pairs of a question and a sentence that propagation reaches."""
     n = count_vectors(spark, sf)
-    return sentences.select("sentence").distinct().withColumn("vec_id", F.pmod(F.length("sentence"), F.lit(n)).cast("bigint")).join(sims, "vec_id").select("qid", "sentence", "sim")
+    vectors = vector_of(sentences.select("sentence").distinct(), F.length("sentence"), table(spark, sf, "embeddings"), n, "rv")
+    return retrieval.pair_similarity(question_vectors(spark, sf), vectors)
 
 
 def compat(entities: DataFrame, questions: DataFrame) -> DataFrame:
@@ -89,20 +90,20 @@ def compat(entities: DataFrame, questions: DataFrame) -> DataFrame:
     return q.join(e, "class").select("qid", "entity", F.lit(1.0).alias("compat"))
 
 
-SQL = f"""
+SQL = """
 p AS (SELECT doc_id AS idx, text, 'passage-' || md5(doc_id || ':' || text) AS passage_id FROM documents),
 nv AS (SELECT count(*) AS n FROM embeddings),
-qv AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS lv FROM embeddings WHERE vec_id < {QUESTIONS}),
-qt AS (SELECT item_id AS qid, text AS question FROM benchmark WHERE item_id < {QUESTIONS}),
+qv AS (SELECT item_id AS qid, embedding::DOUBLE[] AS lv FROM benchmark JOIN embeddings ON vec_id = item_id % (SELECT n FROM nv)),
+qt AS (SELECT item_id AS qid, text AS question FROM benchmark),
 vs AS MATERIALIZED (SELECT qid, vec_id, list_inner_product(lv, embedding::DOUBLE[]) AS sim FROM qv, embeddings),
-dense AS (SELECT qid, idx, sim FROM p JOIN vs ON vec_id = idx),
-pe AS MATERIALIZED (SELECT idx, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{{8,}}'))) AS entity FROM p),
+dense AS (SELECT qid, idx, sim FROM p JOIN vs ON vec_id = idx % (SELECT n FROM nv)),
+pe AS MATERIALIZED (SELECT idx, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS entity FROM p),
 mn AS MATERIALIZED (SELECT idx, entity, ((length(text) - length(replace(text, entity, ''))) // length(entity))::BIGINT AS n FROM pe),
 ent AS MATERIALIZED (SELECT entity, ((ascii(entity) * 31 + length(entity)) % (SELECT n FROM nv))::BIGINT AS v FROM (SELECT DISTINCT entity FROM pe)),
 sen AS MATERIALIZED (SELECT DISTINCT trim(s) AS sentence FROM (SELECT unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*')) AS s FROM p) WHERE trim(s) <> ''),
-mention AS MATERIALIZED (SELECT DISTINCT sentence, unnest(regexp_extract_all(sentence, '[A-Za-z]{{8,}}')) AS entity FROM sen),
+mention AS MATERIALIZED (SELECT DISTINCT sentence, unnest(regexp_extract_all(sentence, '[A-Za-z]{8,}')) AS entity FROM sen),
 ssim AS MATERIALIZED (SELECT qid, sentence, sim FROM (SELECT DISTINCT sentence FROM mention) JOIN vs ON vec_id = (length(sentence) % (SELECT n FROM nv))),
-qe AS (SELECT DISTINCT qid, lower(unnest(regexp_extract_all(question, '[A-Za-z]{{8,}}'))) AS mention FROM qt),
+qe AS (SELECT DISTINCT qid, lower(unnest(regexp_extract_all(question, '[A-Za-z]{8,}'))) AS mention FROM qt),
 ev AS (SELECT v, min(entity) AS entity FROM ent GROUP BY v),
 qm AS (SELECT qe.qid, mention, e.embedding::DOUBLE[] AS lv FROM qe JOIN embeddings e ON e.vec_id = ((ascii(mention) * 31 + length(mention)) % (SELECT n FROM nv))),
 sbest AS (SELECT qid, mention, ev.entity, list_inner_product(lv, e.embedding::DOUBLE[]) AS sim FROM qm, ev JOIN embeddings e ON e.vec_id = ev.v

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import parsing, text
-from ..operators import corpus, ontology, retrieval
+from ..operators import corpus, ontology, qa, retrieval
 from ..operators.substring import occurrences_of
 from ..sources import artifacts, store
 from ..streaming import index
@@ -119,7 +119,8 @@ def graph_edges(spark, sf) -> DataFrame:
 
 @query("dense_topk", B.with_sql("SELECT qid, rank, idx, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, idx)::INT AS rank FROM dense) WHERE rank <= 5"))
 def dense_topk(spark, sf) -> DataFrame:
-    return retrieval.top(B.dense(spark, sf), "qid", [F.round("sim", 9).desc(), F.col("idx")], CONFIG.retrieval_top_k).select("qid", "rank", "idx", r6("sim", "sim"))
+    near = retrieval.similarities(B.question_vectors(spark, sf), B.passage_vectors(spark, sf), k=CONFIG.retrieval_top_k)
+    return retrieval.top(near, "qid", [F.round("sim", 9).desc(), F.col("idx")], CONFIG.retrieval_top_k).select("qid", "rank", "idx", r6("sim", "sim"))
 
 
 @query("seed_argmax", B.with_sql("SELECT qid, entity, round(score, 6) AS score FROM seed"))
@@ -196,14 +197,16 @@ _MATRIX_SQL = "SELECT qid, entity, round(w.weight, 6) AS weight, round(coalesce(
 @query("propagation_matrix", B.with_sql(_MATRIX_SQL, _ROUND1 + "," + _round_sql(2, 2)))
 def propagation_matrix(spark, sf) -> DataFrame:
     mention = retrieval.cut(B.mentions(spark, sf))
-    weights, activated = retrieval.propagate_matrix(B.seeds(spark, sf), mention, retrieval.cut(B.sentence_sims(spark, sf, mention)), MATRIX)
+    weights, activated = retrieval.propagate_matrix(B.seeds(spark, sf), mention, B.sentence_sims(spark, sf, mention), MATRIX)
     return weights.join(activated, ["qid", "entity"], "left").select("qid", "entity", r6("weight", "weight"), r6(F.coalesce("score", F.lit(0.0)), "score"), F.coalesce("tier", F.lit(-1)).alias("tier"))
 
 
 @query("propagation_frontier")
 def propagation_frontier(spark, sf) -> DataFrame:
-    mention = retrieval.cut(B.mentions(spark, sf))
-    return retrieval.propagate_frontier(B.seeds(spark, sf), mention, retrieval.cut(B.sentence_sims(spark, sf, mention)), MATRIX)
+    """The order-dependent mode with the class boost."""
+    seed, mention = B.seeds(spark, sf), retrieval.cut(B.mentions(spark, sf))
+    out = retrieval.propagate_frontier(seed, mention, B.sentence_sims(spark, sf, mention), MATRIX, B.compat(mention, B.question_texts(spark, sf)))
+    return out.select("qid", "entity", r6("weight", "weight"), r6("score", "score"), "tier")
 
 
 @query("class_prior", B.with_sql("SELECT qid, entity, round(score * (1 + CASE WHEN length(entity) % 4 = qid % 4 THEN 0.3 ELSE 0 END), 6) AS weight FROM seed"))
@@ -256,11 +259,10 @@ def retrieve_dense_graph(spark, sf) -> DataFrame:
 
 @query("retrieve_class_aware")
 def retrieve_class_aware(spark, sf) -> DataFrame:
-    """Propagation, class prior, query-aware edges, PageRank."""
+    """Propagation with the class boost, class prior, query-aware edges, PageRank."""
     seed, dense = B.seeds(spark, sf), B.dense(spark, sf)
     mention = retrieval.cut(B.mentions(spark, sf))
-    weights, activated = retrieval.propagate_matrix(seed, mention, retrieval.cut(B.sentence_sims(spark, sf, mention)), MATRIX)
-    weights, activated = retrieval.cut(weights), retrieval.cut(activated)
+    weights, activated = retrieve.propagate(seed, mention, B.sentence_sims(spark, sf, mention), MATRIX, B.compat(mention, B.question_texts(spark, sf)))
     ranked = retrieve.search(B.passages(spark, sf), dense, weights, activated, PPR, B.compat(activated, seed))
     return retrieve.top_passages(ranked, dense, 5).select("qid", "rank", "idx", r6("score", "score"))
 
@@ -493,21 +495,51 @@ def normalize_answer(spark, sf) -> DataFrame:
     return B.table(spark, sf, "documents").select("doc_id", F.md5(text.normalize_answer(F.regexp_replace("text", r"[^\x00-\x7F]", "x"))).alias("plain"))
 
 
-@query("evaluate_contain", f"""WITH d AS (SELECT doc_id, {_NORMAL.format(_ASCII.format('text'))} AS pred FROM documents), b AS (SELECT item_id, {_NORMAL.format(_ASCII.format('text'))} AS gold FROM benchmark)
-SELECT item_id, count(*) FILTER (contains(pred, gold)) AS hits, round(avg(CASE WHEN trim(pred) <> '' AND contains(pred, gold) THEN 1.0 ELSE 0.0 END), 6) AS contain_accuracy FROM d, b GROUP BY item_id""")
-def evaluate_contain(spark, sf) -> DataFrame:
-    """Every document is a prediction, every benchmark text a gold answer of the stated question set."""
+@query("answer_occurrences", f"""WITH d AS (SELECT doc_id, {_NORMAL.format(_ASCII.format('text'))} AS pred FROM documents), b AS (SELECT item_id, {_NORMAL.format(_ASCII.format('text'))} AS gold FROM benchmark)
+SELECT item_id, count(*) FILTER (contains(pred, gold)) AS hits FROM d, b GROUP BY item_id""")
+def answer_occurrences(spark, sf) -> DataFrame:
+    """In how many documents each benchmark text occurs, both normalised."""
     plain = lambda df, key, name: df.select(key, text.normalize_answer(F.regexp_replace("text", r"[^\x00-\x7F]", "x")).alias(name))
     pred = plain(B.table(spark, sf, "documents"), "doc_id", "pred")
     gold = plain(B.table(spark, sf, "benchmark"), "item_id", "gold")
     hits = occurrences_of(pred, gold, "doc_id", "pred", "gold").join(gold, F.col("word") == F.col("gold")).groupBy("item_id").agg(F.count("*").alias("hits"))
-    n = pred.count()
-    return gold.join(hits, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits")).withColumn("contain_accuracy", F.round(F.col("hits") / F.lit(n), 6))
+    return gold.join(hits, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+
+
+_PRED = "CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN '' ELSE " + _ASCII.format("text") + " END"
+_GOLD = "CASE doc_id % 4 WHEN 0 THEN upper(" + _ASCII.format("substring(text, 40, 30)") + ") WHEN 1 THEN 'the' WHEN 2 THEN NULL ELSE lang || '!' END"
+
+
+@query("evaluate_contain", f"""WITH r AS (SELECT doc_id, {_PRED} AS pred, {_GOLD} AS gold FROM documents),
+h AS (SELECT doc_id % 7 AS grp, CASE WHEN trim(coalesce(pred, '')) = '' OR trim(coalesce(gold, '')) = '' THEN 0 WHEN contains({_NORMAL.format('pred')}, {_NORMAL.format('gold')}) THEN 1 ELSE 0 END AS hit FROM r)
+SELECT grp, count(*) AS n, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS contain_accuracy FROM h GROUP BY grp""")
+def evaluate_contain(spark, sf) -> DataFrame:
+    """Every document is a prediction; its gold answer is a piece of it, an article, missing, or its language."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    key = F.col("doc_id")
+    pred = F.when(key % 5 == 0, "  ").when(key % 5 == 1, "").otherwise(plain)
+    gold = F.when(key % 4 == 0, F.upper(F.regexp_replace(F.substring("text", 40, 30), r"[^\x00-\x7F]", "x"))).when(key % 4 == 1, "the").when(key % 4 == 2, F.lit(None)).otherwise(F.concat("lang", F.lit("!")))
+    rows, _ = qa.evaluate(B.table(spark, sf, "documents").select(key.alias("qid"), pred.alias("pred_answer"), gold.alias("gold")))
+    return rows.groupBy((F.col("qid") % 7).alias("grp")).agg(F.count("*").alias("n"), F.sum("contain_accuracy").cast("bigint").alias("hits"), F.round(F.avg("contain_accuracy"), 6).alias("contain_accuracy"))
 
 
-@query("stream_index", "SELECT count(*) AS passages, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT text FROM documents)")
+@query("stream_index", "SELECT DISTINCT 'passage-' || md5(text) AS hash_id, length(text)::INT AS n_chars FROM documents")
 def stream_index(spark, sf) -> DataFrame:
     work = index.work_folder(spark)
     stream = index.passages(spark, f"{sf}/documents.parquet", "doc_id bigint, text string, lang string, source string, n_chars bigint")
     out = index.run_available(stream, f"{work}/table", f"{work}/checkpoint")
-    return out.agg(F.count("*").alias("passages"), F.sum(F.length("text")).alias("chars"))
+    return out.select("hash_id", F.length("text").alias("n_chars"))
+
+
+@query("entity_compatibility", "WITH s(cls, k) AS (VALUES ('Place', 0), ('Person', 1), ('Organization', 2), ('Date', 3)) SELECT c_custkey AS qid, c_nationkey::VARCHAR AS entity, 1.0::DOUBLE AS compat FROM customer WHERE c_nationkey % 4 = c_custkey % 4 OR (c_custkey % 4 = 0 AND c_nationkey % 3 = 0)")
+def entity_compatibility(spark, sf) -> DataFrame:
+    """Customers ask, nations are activated; a nation has a class by its key and some a second one; names come uncanonical."""
+    names = F.array(*map(F.lit, B.CLASSES))
+    c, n = B.table(spark, sf, "customer"), B.table(spark, sf, "nation")
+    activated = c.select(F.col("c_custkey").alias("qid"), F.col("c_nationkey").cast("string").alias("entity"))
+    own = F.element_at(names, (F.pmod("n_nationkey", F.lit(4)) + 1).cast("int"))
+    classes = n.select(F.col("n_nationkey").cast("string").alias("entity"), F.when(F.col("n_nationkey") % 3 == 0, F.array(own, F.lit("Place"))).otherwise(F.array(own)).alias("classes"))
+    asked = F.element_at(names, (F.pmod("c_custkey", F.lit(4)) + 1).cast("int"))
+    types = c.select(F.col("c_custkey").alias("qid"), F.array(F.concat(F.lit(" "), F.when(asked == "Place", "location").otherwise(asked), F.lit("."))).alias("types"))
+    canonical = spark.createDataFrame([(x, x, i) for i, x in enumerate(B.CLASSES)] + [("Location", "Place", 9)], "raw string, canonical string, pos int")
+    return ontology.entity_compatibility(activated, classes, types, canonical)

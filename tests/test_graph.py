@@ -1,10 +1,13 @@
 """Graph, propagation, ranking and ontology operators on small graphs, and their invariants."""
 
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evigraph import cli
 from evigraph.config import Config
 from evigraph.operators import annotate, corpus, ontology, qa, retrieval, substring
 from evigraph.plans import retrieve
@@ -75,19 +78,102 @@ def test_propagation_modes(spark):
     assert got == {(0, "e1"): (1.62, 2), (0, "e2"): (0.72, 2), (1, "e9"): (0.3, 1)}
 
 
-@pytest.mark.parametrize("limit", [100, 0])
+def test_frontier_equals_one_question_at_a_time(spark):
+    """The joins against frontier_search, question by question, with and without the class boost."""
+    rng = random.Random(11)
+    entities, sentences = [f"e{i:02d}" for i in range(25)], [f"s{i:02d}" for i in range(40)]
+    mention = [(s, e) for s in sentences for e in sorted(rng.sample(entities, rng.randrange(1, 5)))]
+    seed = [(q, e, round(rng.uniform(0.3, 1.2), 3)) for q in range(8) for e in rng.sample(entities, rng.randrange(1, 4))]
+    sims = [(q, s, round(rng.uniform(0.1, 1.0), 4)) for q in range(8) for s in sentences]
+    compat = [(q, e, 1.0) for q in range(8) for e in entities if rng.random() < 0.3]
+    m, sf, df = frame(spark, mention, "sentence string, entity string"), frame(spark, seed, "qid bigint, entity string, score double"), frame(spark, sims, "qid bigint, sentence string, sim double")
+    for k, boost in ((1, None), (3, frame(spark, compat, "qid bigint, entity string, compat double"))):
+        config = Config(max_iterations=4, iteration_threshold=0.3, top_k_sentence=k)
+        got = {(r["qid"], r["entity"]): (r["weight"], r["score"], r["tier"]) for r in retrieval.propagate_frontier(sf, m, df, config, boost).collect()}
+        want = {}
+        for q in range(8):
+            of, by = {}, {}
+            for s, e in mention:
+                of.setdefault(e, []).append(s)
+                by.setdefault(s, []).append(e)
+            w, a = retrieval.frontier_search(sorted((e, x) for p, e, x in seed if p == q), of, by, {s: x for p, s, x in sims if p == q}, config, {e: x for p, e, x in compat if p == q} if boost is not None else None)
+            want |= {(q, e): (x, *a[e]) for e, x in w.items()}
+        assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def slow_pagerank(edges, reset, d, rounds):
+    """Node by node, on dictionaries."""
+    total = sum(reset.values())
+    nodes = sorted({x for a, b in edges for x in (a, b)} | set(reset))
+    near = {n: {} for n in nodes}
+    for (a, b), w in edges.items():
+        near[a][b] = near[a].get(b, 0) + w
+        near[b][a] = near[b].get(a, 0) + w
+    r = {n: reset.get(n, 0.0) / total for n in nodes}
+    x = dict(r)
+    for _ in range(rounds):
+        lost = sum(x[n] for n in nodes if not sum(near[n].values()))
+        x = {n: (1 - d) * r[n] + d * lost * r[n] + d * sum(x[o] * near[o][n] / sum(near[o].values()) for o in near[n]) for n in nodes}
+    return {n: v for n, v in x.items() if v > 0}
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
 def test_pagerank(spark, limit):
-    edges = frame(spark, [("x", "y", 1.0), ("y", "z", 1.0), ("u", "v", 2.0)], "src string, dst string, weight double")
-    reset = frame(spark, [(0, "x", 2.0), (1, "u", 1.0), (1, "alone", 1.0), (2, "x", 0.0)], "qid bigint, node string, weight double")
-    config = Config(ppr_iterations=40, broadcast_limit=limit)
-    got = {(r["qid"], r["node"]): r["score"] for r in retrieval.pagerank(edges, reset, config).collect()}
-    assert got[0, "x"] == pytest.approx(7 / 12, abs=1e-6) and got[0, "y"] == pytest.approx(1 / 3, abs=1e-6) and got[0, "z"] == pytest.approx(1 / 12, abs=1e-6)
-    for q in (0, 1):
-        assert sum(v for (k, _), v in got.items() if k == q) == pytest.approx(1)
-    assert not any(q == 2 for q, _ in got)
-    changed = frame(spark, [(0, "y", "z", 3.0)], "qid bigint, src string, dst string, weight double")
-    more = {(r["qid"], r["node"]): r["score"] for r in retrieval.pagerank(edges, reset, config, changed).collect()}
-    assert more[0, "z"] > got[0, "z"] and more[1, "v"] == pytest.approx(got[1, "v"])
+    """Both ways against a slow version: zero resets, nodes without edges, unreached parts, edges a question changes."""
+    rng = random.Random(12)
+    edges = {tuple(sorted(rng.sample([f"n{i}" for i in range(30)], 2))): rng.uniform(0.1, 2) for _ in range(45)} | {("iso1", "iso2"): 1.0}
+    reset = {0: {"n1": 2.0, "n2": 0.0, "alone": 1.0, "iso1": 0.0}, 1: {f"n{i}": rng.random() for i in range(10)}, 2: {"n1": 0.0, "n3": 0.0}, 3: {"alone": 1.0}}
+    changed = {0: {e: w * 3 for e, w in list(edges.items())[:12]}, 1: {("n0", "nowhere"): 5.0}}
+    e = frame(spark, [(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    r = frame(spark, [(q, n, w) for q, x in reset.items() for n, w in x.items()], "qid bigint, node string, weight double")
+    c = frame(spark, [(q, b, a, w) for q, x in changed.items() for (a, b), w in x.items()], "qid bigint, src string, dst string, weight double")
+    config = Config(ppr_iterations=5, broadcast_limit=limit)
+    for change in (None, c):
+        got = {(x["qid"], x["node"]): x["score"] for x in retrieval.pagerank(e, r, config, change).collect()}
+        want = {}
+        for q in (0, 1, 3):
+            new = {k: (changed.get(q, {}).get(k, w) if change is not None else w) for k, w in edges.items()}
+            want |= {(q, n): v for n, v in slow_pagerank(new, reset[q], config.damping, 5).items()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+        some = frame(spark, [("n1",), ("alone",), ("missing",)], "node string")
+        few = {(x["qid"], x["node"]): x["score"] for x in retrieval.pagerank(e, r, config, change, some).collect()}
+        assert few == pytest.approx({k: v for k, v in want.items() if k[1] in ("n1", "alone")})
+
+
+def test_similarities(spark):
+    left = frame(spark, [(0, [1.0, 0.0]), (1, [0.5, 2.0]), (2, None)], "qid bigint, lv array<float>")
+    right = frame(spark, [(i, [i * 1.0, 1.0]) for i in range(6)] + [(6, None), (7, [1.0])], "idx bigint, rv array<float>")
+    got = sorted((r["qid"], r["idx"], r["sim"]) for r in retrieval.similarities(left, right).collect())
+    assert got == [(q, i, i * (1, 0.5)[q] + (0, 2)[q]) for q in (0, 1) for i in range(6)]
+    best = retrieval.top(retrieval.similarities(left, right.coalesce(1), k=2), "qid", [F.col("sim").desc(), F.col("idx")], 2)
+    assert sorted((r["qid"], r["idx"]) for r in best.collect()) == [(0, 4), (0, 5), (1, 4), (1, 5)]
+    with pytest.raises(ValueError):
+        retrieval.similarities(left, right, limit=2)
+    assert retrieval.similarities(left.limit(0), right).count() == 0
+
+
+def test_retrieve_from_question_to_passages(spark, tmp_path, monkeypatch):
+    texts = ["Andersson founded the laboratory in Uppsala.", "The laboratory studied crystals for decades.", "Bergstrom painted harbours.", "Nothing here."]
+    p = frame(spark, list(enumerate(texts)), "idx bigint, text string")
+    q = frame(spark, [(0, "Where is the laboratory of Andersson?"), (1, "Who is it?")], "qid bigint, question string")
+    e = seams.HashingEmbedder(64)
+    for config in (Config(iteration_threshold=0.05), Config(iteration_threshold=0.05, matrix_propagation=True, attribute_fallback=True)):
+        got = {(r["qid"], r["rank"]): (r["idx"], r["score"]) for r in retrieve.retrieve(q, p, e, config).collect()}
+        assert got[0, 1][0] == 0 and {k for k in got if k[0] == 1} == {(1, r) for r in range(1, 5)}  # no entity: dense similarity
+        plain = sorted(float(np.dot(*e.encode(["Who is it?", t]))) for t in texts)
+        assert got[1, 1][1] == pytest.approx(plain[-1], abs=1e-6)
+    classes = frame(spark, [("Bergstrom", ["Place"]), ("laboratory", ["Place"])], "entity string, classes array<string>")
+    types = frame(spark, [(0, ["Place"])], "qid bigint, types array<string>")
+    plain = {r["idx"]: r["score"] for r in retrieve.retrieve(q, p, e, Config(iteration_threshold=0.05, retrieval_top_k=4)).filter("qid = 0").collect()}
+    aware = {r["idx"]: r["score"] for r in retrieve.retrieve(q, p, e, Config(iteration_threshold=0.05, retrieval_top_k=4, use_class_schema=True), classes, types).filter("qid = 0").collect()}
+    assert aware[1] > plain[1]
+    (tmp_path / "chunks.json").write_text(json.dumps(texts))
+    (tmp_path / "questions.json").write_text(json.dumps([{"question": "Where is the laboratory of Andersson?", "answer": "Uppsala"}]))
+    cli.main(["retrieve", str(tmp_path / "chunks.json"), str(tmp_path / "questions.json"), str(tmp_path / "ranked")])
+    assert spark.read.parquet(str(tmp_path / "ranked")).filter("rank = 1").first()["text"] == "0:" + texts[0]
+    monkeypatch.setattr(seams, "MODEL", seams.ScriptedModel(lambda prompt: "Answer: Uppsala"), raising=False)
+    cli.main(["qa", str(tmp_path / "ranked"), str(tmp_path / "questions.json"), str(tmp_path / "answers"), "--model", "evigraph.sources.seams:MODEL"])
+    assert spark.read.json(str(tmp_path / "answers")).first()["pred_answer"] == "Uppsala"
 
 
 def test_reweighting_and_scores(spark):
@@ -156,6 +242,59 @@ def test_schema_builder():
         assert not removed and len(kept) == len(out["subclass_edges"])
 
 
+def test_schema_export_and_records():
+    out = schema({("Location", "Place"): "EQUIVALENT", ("Place", "City"): "A_PARENT_B", ("City", "Harbour"): "RELATED"}, [("Place", 9), ("Location", 8), ("City", 7), ("Harbour", 1)])
+    assert sorted(out) == sorted("class_statistics runtime_statistics class_frequency roots canonical_classes canonical_map equivalence_groups subclass_edges related_edges unrelated_pairs uncertain_pairs conflict_records llm_relation_records insertion_records".split())
+    assert out["equivalence_groups"] == [["Location", "Place"]] and out["canonical_classes"] == ["City", "Harbour", "Place"]
+    assert out["class_statistics"]["num_raw_classes"] == 4 and out["class_statistics"]["num_roots"] == 2 == len(out["roots"])
+    assert out["class_frequency"]["Place"] == 9 and len(out["llm_relation_records"]) == out["runtime_statistics"]["num_llm_calls"] == 3
+    assert [r["class"] for r in out["insertion_records"]] == ["Place", "Location", "City", "Harbour"]
+    assert [a["action"] for a in out["insertion_records"][2]["actions"]] == ["descend", "direct_child"]
+
+
+def test_judge_asks_again_and_failures_stay_open():
+    replies = iter(["?", '{"relation": "EQUIVALENT", "confidence": 0.8, "reason": "same"}'])
+    assert annotate.relation_judge(seams.ScriptedModel(lambda p: next(replies)))("A", "B") == ("EQUIVALENT", 0.8, "same")
+    asked = []
+    assert annotate.relation_judge(seams.ScriptedModel(lambda p: asked.append(p) or ""), 2)("A", "B")[0] == "UNCERTAIN" and len(asked) == 3
+
+    def broken(a, b):
+        raise RuntimeError("no service")
+
+    out = ontology.build_schema([("A", 2), ("B", 1)], broken).export()
+    assert out["uncertain_pairs"] == [("A", "B")] and out["llm_relation_records"][0]["reason"] == "no service" and out["roots"] == ["A", "B"]
+
+
+def slow_reduction(edges):
+    """Edges that no longer path implies, by trying each."""
+    keep = set(edges)
+    for p, c in sorted(edges):
+        down = {}
+        for a, b in keep - {(p, c)}:
+            down.setdefault(a, set()).add(b)
+        if ontology.reaches(down, p, c):
+            keep.discard((p, c))
+    return keep
+
+
+def test_subclass_edges_stay_reduced():
+    rng = random.Random(4)
+    for _ in range(20):
+        s, every = ontology.Schema({}, lambda a, b: ("UNRELATED", 1.0)), set()
+        for _ in range(60):
+            p, c = rng.sample([f"n{i}" for i in range(12)], 2)
+            if s.subclass(p, c):
+                every.add((p, c))
+        got = {(p, c) for p, cs in s.children.items() for c in cs}
+        assert got == slow_reduction(every) and got == {(p, c) for c, ps in s.above.items() for p in ps}
+
+
+def test_path_edges_cut_at_repeats(spark):
+    rows = [(1, "e", [" Entity ", "Person", "", "person", "Poet"]), (2, "f", ["Entity", "entity", "X"])]
+    got = [(r["parent"], r["child"], r["support"]) for r in ontology.path_edges(frame(spark, rows, "pos bigint, entity string, path array<string>")).collect()]
+    assert got == [("Entity", "Person", 1)]
+
+
 def test_path_edges(spark):
     rows = [(i, f"e{i}", ["Entity", "Person", "Poet"]) for i in range(7)] + [(9, "e9", ["Poet"]), (10, "e10", ["Poet", "Entity"])]
     got = {(r["parent"], r["child"]): r for r in ontology.path_edges(frame(spark, rows, "pos bigint, entity string, path array<string>")).collect()}
@@ -209,7 +348,7 @@ def test_artifacts(spark, tmp_path):
     rows = artifacts.entity_classes(spark, str(tmp_path / "classes.json"))
     assert rows.count() == 3 and artifacts.entity_classes(spark, str(tmp_path / "none.json")).count() == 0
     state = schema({("Location", "Place"): "EQUIVALENT", ("Place", "City"): "A_PARENT_B", ("A", "B"): "RELATED"}, [("Place", 9), ("Location", 8), ("City", 7), ("A", 3), ("B", 2)])
-    artifacts.write_schema_state(state, str(tmp_path / "state.json"))
+    artifacts.write_schema_state(spark, state, str(tmp_path / "state.json"))
     canonical, subclass, related = artifacts.schema_state(spark, str(tmp_path / "state.json"))
     assert {r["raw"]: r["canonical"] for r in canonical.collect()}["Location"] == "Place"
     assert [tuple(r) for r in subclass.collect()] == [("Place", "City")] and sorted(map(tuple, related.collect())) == [("A", "B"), ("B", "A")]
@@ -217,4 +356,18 @@ def test_artifacts(spark, tmp_path):
     names = frame(spark, [("person", "Person", 0)], "raw string, canonical string, pos int")
     assert [tuple(r) for r in artifacts.usable_classes(rows, names).collect()] == [("e1", ["Person"])]
     artifacts.write_entity_classes(rows, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    again = artifacts.entity_classes(spark, str(tmp_path / "out"))
+    assert again.columns == rows.columns and sorted(map(str, again.collect())) == sorted(map(str, rows.collect())) and again.count() == 3
+    types = frame(spark, [("Who?", ["Person"]), ("Odd \"one\"", [])], "question string, types array<string>")
+    artifacts.write_question_types(spark, types, str(tmp_path / "types.json"))
+    assert sorted(map(str, artifacts.question_type_cache(spark, str(tmp_path / "types.json")).collect())) == sorted(map(str, types.collect()))
+    assert artifacts.question_type_cache(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "ner.json").write_text('{"passage_hash_id_to_entities": {"p1": ["Ada", "Oslo"]}, "sentence_to_entities": {"Ada ran.": ["Ada"]}}')
+    a, b = artifacts.entity_cache(spark, str(tmp_path / "ner.json"))
+    assert sorted(map(tuple, a.collect())) == [("p1", "Ada"), ("p1", "Oslo")] and [tuple(r) for r in b.collect()] == [("Ada ran.", "Ada")]
+    artifacts.write_entity_cache(a, b, str(tmp_path / "ner"))
+    assert spark.read.parquet(str(tmp_path / "ner" / "passage_entities")).count() == 2
+    frame(spark, [(" h1 ", " Ada "), ("h1", "Ada"), ("h2", ""), (None, "x")], "hash_id string, text string").write.parquet(str(tmp_path / "ents"))
+    assert [tuple(r) for r in artifacts.entity_table(spark, str(tmp_path / "ents")).collect()] == [("h1", "Ada")]
+    assert artifacts.named_entities(spark, ["Ada", " ", "Ada"]).count() == 1
+    assert artifacts.cycle_report([("a", "b")], [("b", "a", "cycle")], {("b", "a"): 2})["removed_edges"] == [{"parent": "b", "child": "a", "reason": "cycle", "support": 2}]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_rows(spark: SparkSession, rows: int = 512) -> str:
+    """From now on whole texts travel to Python in Arrow batches of at most `rows` rows: a task's buffers, here and there, are
+    several times a batch.  Returns the setting before."""
+    was = spark.conf.get(ARROW_ROWS)
+    if int(was) <= 0 or int(was) > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+    return was
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """The same for what is executed within."""
+    was = few_rows(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, was)
+
+
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*cols) if cols else df

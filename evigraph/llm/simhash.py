@@ -17,7 +17,6 @@ the same, over the positional bytes of MinHash sketches instead of one fingerpri
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, SpanHasher, buffers, chunks, components, cut, documents, mix, runs, stored
+from .common import LOWER, SPACE, SpanHasher, buffers, chunks, components, cut, documents, mix, runs, small_batches, stored
 
 
 def fingerprint(text: str | bytes | None, width: int = 3) -> int:
@@ -252,22 +251,10 @@ def _similar(pairs: DataFrame, details: DataFrame, threshold: float) -> DataFram
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     left, right = (details.select(F.col("node").alias(c), F.col("found").alias("f" + c)) for c in "ab")
-    with _small_batches(details.sparkSession):
+    with small_batches(details.sparkSession):
         return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint"))
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 512):
-    """Long values travel to Python in small Arrow batches: a task's buffers are several times a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
-
-
 def least_tally(threshold: float, n: int) -> int:
     """Shared positional bytes out of n that a pair at the threshold reaches (but for SIGMAS standard deviations)."""
     p = threshold + (1 - threshold) / 256
@@ -330,7 +317,7 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: floa
         return None
     chosen = nodes.select("node", F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).join(members, "node", "left_semi")
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         details = stored(keyed.join(chosen, _same_id(keyed["doc_id"], chosen["i"]) & (keyed["text_hash"] == chosen["h"])).select("text").mapInArrow(_details(width), "node bigint, n bigint, keys binary, marks binary, found binary"), "details")
 
     def still_open(found: DataFrame | None) -> DataFrame:
@@ -361,7 +348,7 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: floa
     own = now.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = own.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "of", "part").join(details.drop("found"), "node")
     rows = rows.select("key", "i", "j", "node", "n", "of", "part", "keys", "marks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         pairs = stored(rows.mapInArrow(_counted(threshold), "a bigint, b bigint"), "pairs")
     more = _similar(pairs, details, threshold)
     return more if found is None else found.unionByName(more)
@@ -383,7 +370,7 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, **searc
     All columns are kept.
     """
     sketched = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         rows = stored(sketched.mapInArrow(_sketches(width), "doc_id bigint, text_hash bigint, node bigint, n bigint, keys array<bigint>"), "sketches")
     unique = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     best = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import content_id, is_attribute_query
-from ..operators import corpus, ontology, retrieval
-from ..sources.seams import Embedder, encoded
+from ..operators import annotate, corpus, ontology, retrieval
+from ..sources import artifacts
+from ..sources.seams import Embedder, LanguageModel, encoded
 
 
 def graph(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,6 +92,23 @@ def retrieve(questions: DataFrame, passages: DataFrame, embedder: Embedder, conf
     return top_passages(ranked.join(seed.select("qid").distinct(), "qid", "left_semi"), dense, config.retrieval_top_k)
 
 
+def class_tables(spark: SparkSession, config: Config, questions: DataFrame, model: LanguageModel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, types, canonical) for retrieve(), from the files that the config names; missing files are empty tables.
+
+    Types of questions (qid, question) come from the cache, else from rules, else from a model if one is given and wanted;
+    the cache is written back.
+    """
+    canonical, _, _ = artifacts.schema_state(spark, config.schema_state_path)
+    rows = artifacts.entity_classes(spark, config.entity_classes_path)
+    classes = artifacts.usable_classes(rows, canonical).join(rows.select("entity_id", "entity"), "entity_id").select("entity", "classes")
+    cache = artifacts.question_type_cache(spark, config.query_type_cache_path)
+    known = retrieval.cut(annotate.question_types(questions, cache, model if config.llm_query_typing else None))
+    if config.query_type_cache_path:
+        artifacts.write_question_types(spark, cache.join(known, "question", "left_anti").select("question", "types").unionByName(known.select("question", "types")), config.query_type_cache_path)
+    types = questions.select("qid", F.trim("question").alias("question")).join(known, "question").select("qid", "types")
+    return classes, types, canonical
+
+
 def top_passages(ranked: DataFrame, dense: DataFrame, k: int) -> DataFrame:
     """qid, rank, idx, score: by score, then index; questions without graph scores fall back to dense similarity."""
     order = [F.round("score", 9).desc(), F.col("idx")]

@@ -16,7 +16,9 @@ STATE = "struct<canonical_map: map<string, string>, subclass_edges: array<struct
 
 
 def _whole(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """One row with the parsed file; None where the file is missing."""
+    """One row with the parsed file; None where the file is missing or no path is given."""
+    if not path:
+        return None
     try:
         return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("x"))
     except Exception as e:  # noqa: BLE001
@@ -190,3 +192,19 @@ def hierarchy_counts(paths: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.col("i") < F.col("n") - 1, F.col("class"))).alias("num_parent_classes"),
         F.countDistinct(F.when(F.col("i") > 0, F.col("class"))).alias("num_child_classes"),
     )
+
+
+def write_hierarchy(spark: SparkSession, paths: DataFrame, path: str, kept: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+    """The hierarchy's maps as Parquet (kind, name, members) and its counts as JSON below `path`; kept and removed edges are
+    counted where they are given.  paths: entity_id, path."""
+    hierarchy_maps(paths).write.mode("overwrite").parquet(f"{path}/maps")
+    counts = hierarchy_counts(paths).first().asDict()
+    for name, edges in (("num_kept_edges", kept), ("num_removed_edges", removed)):
+        if edges is not None:
+            counts[name] = edges.count()
+    write_text(spark, f"{path}/metadata.json", json.dumps(counts, indent=1))
+
+
+def write_class_paths(annotations: DataFrame, path: str) -> None:
+    """Class paths of entities (hash_id, entity, class_paths, classes, status, error) in the record format of entity_classes()."""
+    write_entity_classes(annotations.withColumnRenamed("hash_id", "entity_id"), path)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
@@ -21,6 +24,57 @@ class LanguageModel(Protocol):
     def answer(self, prompts: list[str]) -> list[str]: ...
 
 
+class Recogniser(Protocol):
+    def entities(self, texts: list[str]) -> list[list[tuple[str, str]]]:
+        """(text, label) of the named entities of each text, in order."""
+        ...
+
+
+class PatternRecogniser:
+    """Long words, and numbers with and without an ordinal ending."""
+
+    def __init__(self, pattern: str = r"([0-9]+(?:st|nd|rd|th)?)|[A-Za-z]{8,}"):
+        self.pattern = re.compile(pattern)
+
+    def entities(self, texts: list[str]) -> list[list[tuple[str, str]]]:
+        label = lambda m: "TERM" if not m.group(1) else "CARDINAL" if m.group().isdigit() else "ORDINAL"
+        return [[(m.group(), label(m)) for m in self.pattern.finditer(t or "")] for t in texts]
+
+
+def recognised(df: DataFrame, key: str, recogniser: Recogniser, text: str = "text", batch: int = 64) -> DataFrame:
+    """(key, entity, label) of the entities of a text column, in batches; drop numbers with corpus.named()."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                found = recogniser.entities([t or "" for t in part.column(1).to_pylist()])
+                rows = [i for i, x in enumerate(found) for _ in x]
+                names, labels = ([e[k] for x in found for e in x] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(labels, pa.string())], [key, "entity", "label"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, entity string, label string")
+
+
+class ChatModel:
+    """A language model behind an HTTP service that speaks the common chat format."""
+
+    def __init__(self, url: str, model: str, token: str = "", system: str = "", max_tokens: int = 2000, temperature: float = 0.0, timeout: float = 60.0):
+        self.url, self.model, self.token, self.system = url, model, token, system
+        self.max_tokens, self.temperature, self.timeout = max_tokens, temperature, timeout
+
+    def answer(self, prompts: list[str]) -> list[str]:
+        return [self._ask(p) for p in prompts]
+
+    def _ask(self, prompt: str) -> str:
+        said = ([{"role": "system", "content": self.system}] if self.system else []) + [{"role": "user", "content": prompt}]
+        body = {"model": self.model, "messages": said, "max_tokens": self.max_tokens, "temperature": self.temperature}
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
+        with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), head), timeout=self.timeout) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"] or ""
+
+
 class HashingEmbedder:
     """Unit vectors of hashed words."""
 

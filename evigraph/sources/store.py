@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import quoteattr
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id
+from .seams import Embedder, encoded
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
@@ -58,15 +57,42 @@ def merge_entities(old: DataFrame, new: DataFrame, keys: list[str], value: str,
     return kept.select(*keys, value).unionByName(new.select(*keys, value)).distinct()
 
 
+def append_encoded(spark: SparkSession, path: str, texts: DataFrame, embedder: Embedder, batch: int = 128) -> DataFrame:
+    """Encodes the texts (hash_id, text) that a Parquet store lacks, appends them, and returns the store."""
+    try:
+        new = missing(texts.select("hash_id", "text").dropDuplicates(["hash_id"]), spark.read.parquet(path))
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        new = texts.select("hash_id", "text").dropDuplicates(["hash_id"])
+    encoded(new, embedder, batch).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def graphml(nodes: DataFrame, edges: DataFrame):
-    """Lines of a GraphML file of the graph, streamed partition by partition through the driver."""
-    yield '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="w" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="undirected">'
-    for r in nodes.select("node_id").toLocalIterator():
-        yield f"<node id={quoteattr(r[0])}/>"
-    for r in edges.select("src", "dst", "weight").toLocalIterator():
-        yield f'<edge source={quoteattr(r[0])} target={quoteattr(r[1])}><data key="w">{r[2]}</data></edge>'
-    yield "</graph></graphml>"
+def write_evaluation(rows: DataFrame, means: DataFrame, path: str) -> None:
+    """Predictions with their scores, and the mean scores beside them."""
+    rows.write.mode("overwrite").json(f"{path}/predictions")
+    means.write.mode("overwrite").json(f"{path}/evaluation_results")
+
+
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """part, value: the lines of a GraphML file of the graph, to be ordered by part: 0 head, 1 nodes with kind and content,
+    2 edges, 3 foot."""
+    spark = nodes.sparkSession
+    clean = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    keys = "".join(f'<key id="{k}" for="{of}" attr.name="{k}" attr.type="{kind}"/>' for k, of, kind in (("kind", "node", "string"), ("content", "node", "string"), ("weight", "edge", "double")))
+    ends = spark.createDataFrame([(0, f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">'), (3, "</graph></graphml>")], "part int, value string")
+    line = lambda c: F.regexp_replace(clean(c), "[\r\n]", " ")
+    data = lambda k: F.concat(F.lit(f'<data key="{k}">'), line(k), F.lit("</data>")) if k in nodes.columns else F.lit("")
+    a = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), line("node_id"), F.lit('">'), data("kind"), data("content"), F.lit("</node>")).alias("value"))
+    b = edges.select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), line("src"), F.lit('" target="'), line("dst"), F.lit('"><data key="weight">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("value"))
+    return ends.unionByName(a).unionByName(b)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes the lines as text files that give the GraphML file when joined in the order of their names."""
+    graphml_lines(nodes, edges).repartitionByRange("part", F.xxhash64("value")).sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)

@@ -1,7 +1,11 @@
 """Graph, propagation, ranking and ontology operators on small graphs, and their invariants."""
 
+import glob
+import http.server
 import json
 import random
+import threading
+import xml.etree.ElementTree
 
 import numpy as np
 import pytest
@@ -46,8 +50,25 @@ def test_store(spark, tmp_path):
     assert [tuple(r) for r in store.questions(spark, str(tmp_path / "q.json")).orderBy("qid").collect()] == [(0, "Who?", "me"), (1, "When?", None)]
     (tmp_path / "c.json").write_text('["one", "two"]')
     assert store.chunks(spark, str(tmp_path / "c.json")).count() == 2
-    lines = list(store.graphml(frame(spark, [("a<",)], "node_id string"), frame(spark, [("a<", "a<", 1.0)], "src string, dst string, weight double")))
-    assert len(lines) == 4 and "&lt;" in lines[1]
+    nodes, links = frame(spark, [("a<", "entity", 'x & "y"\nz'), ("b", "passage", None)], "node_id string, kind string, content string"), frame(spark, [("a<", "b", 1.5)], "src string, dst string, weight double")
+    store.write_graphml(nodes, links, f"{tmp_path}/g")
+    whole = "".join(open(p).read() for p in sorted(glob.glob(f"{tmp_path}/g/part-*")))
+    tree = xml.etree.ElementTree.fromstring(whole)
+    assert [x.tag.rpartition("}")[2] for x in tree[-1]] == ["node", "node", "edge"] and tree[-1][-1].get("source") == "a<"
+    assert {x.get("id"): [d.text for d in x] for x in tree[-1][:2]} == {"a<": ["entity", 'x & "y" z'], "b": ["passage", None]}
+    texts = frame(spark, [("h1", "one two"), ("h2", "three"), ("h1", "one two")], "hash_id string, text string")
+    asked = []
+
+    class Counting(seams.HashingEmbedder):
+        def encode(self, texts):
+            asked.extend(texts)
+            return super().encode(texts)
+
+    for _ in range(2):
+        got = store.append_encoded(spark, f"{tmp_path}/v", texts, Counting(8))
+    assert sorted(r["hash_id"] for r in got.collect()) == ["h1", "h2"]
+    store.write_evaluation(frame(spark, [(0, 1)], "qid bigint, contain_accuracy int"), frame(spark, [(1.0,)], "contain_accuracy double"), f"{tmp_path}/e")
+    assert spark.read.json(f"{tmp_path}/e/evaluation_results").first()[0] == 1.0
 
 
 def test_substring_join(spark):
@@ -166,7 +187,7 @@ def test_retrieve_from_question_to_passages(spark, tmp_path, monkeypatch):
     types = frame(spark, [(0, ["Place"])], "qid bigint, types array<string>")
     plain = {r["idx"]: r["score"] for r in retrieve.retrieve(q, p, e, Config(iteration_threshold=0.05, retrieval_top_k=4)).filter("qid = 0").collect()}
     aware = {r["idx"]: r["score"] for r in retrieve.retrieve(q, p, e, Config(iteration_threshold=0.05, retrieval_top_k=4, use_class_schema=True), classes, types).filter("qid = 0").collect()}
-    assert aware[1] > plain[1]
+    assert aware[0] > plain[0]  # it joins a seed and an entity of the class
     (tmp_path / "chunks.json").write_text(json.dumps(texts))
     (tmp_path / "questions.json").write_text(json.dumps([{"question": "Where is the laboratory of Andersson?", "answer": "Uppsala"}]))
     cli.main(["retrieve", str(tmp_path / "chunks.json"), str(tmp_path / "questions.json"), str(tmp_path / "ranked")])
@@ -327,6 +348,47 @@ def test_annotation_and_answers(spark):
     assert {r["question"]: r["types"] for r in types.collect()} == {"Odd": ["Kept"], "Who was Ada?": ["Person", "Organization"]}
 
 
+def test_recogniser_and_chat_model(spark):
+    found = seams.recognised(frame(spark, [(1, "The 3rd committee met 12 delegates"), (2, None)], "idx bigint, text string"), "idx", seams.PatternRecogniser())
+    assert sorted((r["entity"], r["label"]) for r in found.collect()) == [("12", "CARDINAL"), ("3rd", "ORDINAL"), ("committee", "TERM"), ("delegates", "TERM")]
+    assert corpus.named(found).count() == 2
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "Answer: yes"}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert seams.ChatModel(f"http://127.0.0.1:{server.server_port}/v1", "m", "t", "be brief").answer(["Is it?"]) == ["Answer: yes"]
+    finally:
+        server.shutdown()
+    assert asked[0]["temperature"] == 0.0 and asked[0]["max_tokens"] == 2000 and [m["role"] for m in asked[0]["messages"]] == ["system", "user"]
+
+
+def test_class_tables(spark, tmp_path):
+    (tmp_path / "classes.json").write_text('{"e1": {"entity": "Oslo", "classes": ["location", "City"]}, "e2": {"entity": "X", "classes": []}}')
+    (tmp_path / "state.json").write_text('{"canonical_map": {"Location": "Place", "City": "City"}, "subclass_edges": [], "related_edges": []}')
+    (tmp_path / "types.json").write_text('{"Odd one": ["Kept"]}')
+    q = frame(spark, [(0, "Odd one"), (1, "Where was it founded?"), (2, "Hm")], "qid bigint, question string")
+    config = Config(entity_classes_path=str(tmp_path / "classes.json"), schema_state_path=str(tmp_path / "state.json"), query_type_cache_path=str(tmp_path / "types.json"))
+    classes, types, canonical = retrieve.class_tables(spark, config, q, seams.ScriptedModel(lambda p: '["Thing"]'))
+    assert [tuple(r) for r in classes.collect()] == [("Oslo", ["Place", "City"])]
+    assert {r["qid"]: r["types"] for r in types.collect()}.items() >= {0: ["Kept"], 2: ["Thing"]}.items()
+    assert set(json.loads((tmp_path / "types.json").read_text())) == {"Odd one", "Where was it founded?", "Hm"}
+    found = ontology.entity_compatibility(frame(spark, [(1, "Oslo"), (2, "Oslo")], "qid bigint, entity string"), classes, frame(spark, [(1, [" location."]), (2, ["Thing"])], "qid bigint, types array<string>"), canonical)
+    assert [tuple(r) for r in found.collect()] == [(1, "Oslo", 1.0)]
+    none = retrieve.class_tables(spark, Config(), q)
+    assert none[0].count() == 0 and none[1].count() == 3
+
+
 def test_embedder(spark):
     e = seams.HashingEmbedder(8)
     got = seams.encoded(frame(spark, [("h", "some words"), ("i", "")], "hash_id string, text string"), e).collect()

@@ -54,9 +54,8 @@ def _profiles(batches):
 
 
 class Model:
-    """Weights (slots + 1, machines); machine names are ("family", f) or ("pair", a, b).
-
-    `floor`: a confidence that documents of the learnt languages reach (see fit())."""
+    """Weights (slots + 1, machines + 1); machine names are ("family", f) or ("pair", a, b).  The last column is how usual an
+    n-gram is in the learnt languages together; documents of these reach `floor` on average (see fit())."""
 
     def __init__(self, langs, family, machines, weights, scale, floor=0.0):
         self.langs, self.family, self.machines, self.weights, self.scale, self.floor = langs, family, machines, weights, scale, floor
@@ -102,7 +101,7 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
 
     The bound keeps the driver's share fixed: `per_language` times the number of languages, as sparse profiles.  Null texts
     and languages are left out; rows of equal doc_id are rows.  None without any label, so for an empty table.
-    Model.floor is half of the way from indecision (0.5) to the least confidence that the sample itself has.
+    Model.floor is half of the least usualness that a document of the sample has.
     """
     some = sample_by_class(docs.filter("lang is not null and text is not null"), "lang", per_language, "language")
     got = some.select("doc_id", "text", "lang").mapInArrow(_profiles, "doc_id bigint, lang string, idx array<int>, val array<float>").toArrow().sort_by("doc_id")
@@ -113,9 +112,11 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
     width, idx = 1 << BITS, got["idx"].combine_chunks()
     x = Sparse(idx.flatten().to_numpy(), got["val"].combine_chunks().flatten().to_numpy(zero_copy_only=False).copy(), np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy())]), width)
     del got, idx
-    spread = (1.0 / np.sqrt(np.bincount(x.idx, x.val, minlength=width) / len(labels) + 1e-6)).astype(np.float32)
-    x.val *= spread[x.idx]
+    mean = np.bincount(x.idx, x.val, minlength=width) / len(labels)
+    usual, spread = np.sqrt(mean).astype(np.float32), (1.0 / np.sqrt(mean + 1e-6)).astype(np.float32)
     row = np.repeat(np.arange(len(labels)), np.diff(x.edge))
+    known = np.bincount(row, x.val * usual[x.idx], minlength=len(labels))
+    x.val *= spread[x.idx]
     size = np.maximum(np.sqrt(np.bincount(row, x.val * x.val, minlength=len(labels))), 1e-9)
     x.val /= size[row].astype(np.float32)
     del row
@@ -137,23 +138,20 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
         for a, b in combinations([lang for lang in langs if family[lang] == f], 2):
             rows = np.flatnonzero((labels == a) | (labels == b))
             machine(("pair", a, b), rows, np.where(labels[rows] == a, 1.0, -1.0))
-    weights = np.zeros((width + 1, max(1, len(machines))), np.float32)
+    weights = np.zeros((width + 1, len(machines) + 1), np.float32)
+    weights[:-1, -1] = usual
     for k, w in enumerate(columns):
         weights[:-1, k] = w * spread
     typical = np.median(np.concatenate(gaps)) if gaps else 1.0
-    model = Model(langs, family, machines, weights, 3.0 / max(float(typical), 1e-9))  # a typical margin scores 0.95
-    if columns:
-        best, sure = model.predict(np.stack([(x @ w) * size for w in columns], axis=1))
-        right = sure[np.array(langs, object)[best] == labels]
-        model.floor = 0.5 + (float(right.min()) - 0.5) / 2 if len(right) and right.min() > 0.5 else 0.0
-    return model
+    scale = 3.0 / max(float(typical), 1e-9)  # a typical margin scores 0.95
+    return Model(langs, family, machines, weights, scale, float(known[known > 0].min(initial=np.inf)) / 2 if (known > 0).any() else 0.0)
 
 
-def _judge(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
-    """Language ("und" for nulls and texts without a letter) and confidence of each text."""
+def _judge(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language ("und" for nulls and texts without a letter), confidence and usualness of each text."""
     ascii_letter = LETTER.copy()
     ascii_letter[128:] = False
-    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    lang, score, usual = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
     for first, part in chunks(texts):
         data, offs = buffers(part)
         n = len(part)
@@ -169,11 +167,12 @@ def _judge(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray
             margin[full] += np.add.reduceat(model.weights[s], offs[full], axis=0)
             total += np.maximum(0, np.diff(offs) - order + 1)
         margin /= np.maximum(total, 1)[:, None]
-        best, sure = model.predict(margin)
+        best, sure = model.predict(margin[:, :-1])
+        usual[first : first + n] = margin[:, -1]
         names = np.array(model.langs, object)[best]
         lang[first : first + n][has] = names[has]
         score[first : first + n][has] = sure[has]
-    return lang, score
+    return lang, score, usual
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -192,27 +191,28 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         model = shared.value and Model(**shared.value)
         for batch in batches:
-            lang, score = _judge(batch.column(at), model)
+            lang, score, _ = _judge(batch.column(at), model)
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, model: Model | None, languages: tuple[str, ...] | None = None, least: float | None = None) -> DataFrame:
+def accept(docs: DataFrame, model: Model | None, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
     """The rows of `docs`, unchanged, whose predicted language is one of `languages` (by default every learnt one) with a
-    confidence of `least`, by default the model's floor.
+    confidence of `least`.
 
-    Nulls and texts without a letter are "und" and go; so do, by the floor, texts that decide for no learnt language.
+    Nulls and texts without a letter are "und" and go; so do texts whose n-grams are strange to every learnt language
+    (below the model's floor), such as another script.  Texts that mix learnt languages stay.
     """
-    held = model and vars(model) | {"floor": model.floor if least is None else least}
-    shared, at = docs.sparkSession.sparkContext.broadcast(held), docs.columns.index("text")
+    shared, at = docs.sparkSession.sparkContext.broadcast(model and vars(model)), docs.columns.index("text")
 
     def run(batches):
         model = shared.value and Model(**shared.value)
         for batch in batches:
-            lang, score = _judge(batch.column(at), model)
-            keep = np.isin(lang.astype(str), list(languages if languages is not None else model.langs if model else [])) & (lang != "und")
-            yield batch.filter(pa.array(keep & (score >= (model.floor if model else 0.0))))
+            lang, score, usual = _judge(batch.column(at), model)
+            wanted = languages if languages is not None else model.langs if model else []
+            keep = np.isin(lang.astype(str), list(wanted)) & (lang != "und") & (score >= least)
+            yield batch.filter(pa.array(keep & (usual >= (model.floor if model else 0.0))))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -33,10 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dot(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0d, (s, x) -> s + x)")
-
-
 def similarities(left: DataFrame, right: DataFrame, limit: int = 10_000, k: int | None = None, key: str = "idx") -> DataFrame:
     """Every row of `left` (a question batch: qid, other columns, vector lv) with every row of `right` (columns, vector rv):
     all columns but the vectors, and sim.  Rows without a vector, or with one of another length, are left out.
@@ -128,25 +124,48 @@ def passage_scores(dense: DataFrame, bonus: DataFrame, config: Config, texts: Da
     return joined.select("qid", "idx", (score * config.passage_node_weight).alias("weight"))
 
 
-#: Similarity of pairs: (qid, sentence) to (qid, sentence, sim); or a table of all of them.
+#: Adds sim to rows of qid, sentence and other columns; or a table of all of them (qid, sentence, sim).
 Similarity = Callable[[DataFrame], DataFrame] | DataFrame
 
 
-def pair_similarity(questions: DataFrame, sentences: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Similarity of the pairs that are asked for.  questions: qid, lv (a batch); sentences: sentence, rv."""
-
-    def of(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sentences, "sentence").join(questions.select("qid", "lv"), "qid")
-        return both.select("qid", "sentence", dot("lv", "rv").alias("sim"))
+def pair_similarity(questions: DataFrame, sentences: DataFrame, limit: int = 10_000) -> Callable[[DataFrame], DataFrame]:
+    """Similarity of the pairs that are asked for.  questions: qid, lv (a batch, counted and sent to every task); sentences:
+    sentence, rv.  Rows without a vector, or with one of another length, are left out."""
+    batch = questions.select("qid", "lv").filter("lv is not null").limit(limit + 1).toArrow()
+    if batch.num_rows > limit:
+        raise ValueError("split the question batch")
+    matrix = np.array(batch["lv"].to_pylist(), np.float64).reshape(batch.num_rows, -1)
+    ids = batch["qid"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    shared = questions.sparkSession.sparkContext.broadcast((ids[order], matrix[order]))
+
+    def of(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+        at, last = names.index("qid"), len(names)
+        schema = T.StructType([*rows.schema.fields, T.StructField("sim", T.DoubleType())])
+
+        def run(batches):
+            ids, matrix = shared.value
+            for every in batches:
+                for i in range(0, every.num_rows, 1 << 13):
+                    part = every.slice(i, 1 << 13)
+                    v, q = part.column(last), part.column(at).to_numpy(zero_copy_only=False)
+                    place = np.minimum(np.searchsorted(ids, q), max(0, len(ids) - 1))
+                    ok = np.asarray(v.is_valid()) & (np.asarray(v.value_lengths().fill_null(-1)) == matrix.shape[1])
+                    fits = np.flatnonzero(ok & (ids[place] == q)) if len(ids) else np.zeros(0, np.int64)
+                    if len(fits):
+                        part = part.take(pa.array(fits))
+                        x = part.column(last).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+                        yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(np.einsum("ij,ij->i", matrix[place[fits]], x))], [*names, "sim"])
+
+        return rows.join(sentences.select("sentence", "rv"), "sentence").select(*names, "rv").mapInArrow(run, schema)
 
     return of
 
 
 def _with_sim(reach: DataFrame, sims: Similarity) -> DataFrame:
-    """Adds sim to rows of qid, sentence; each distinct pair is compared once, and only pairs that were reached."""
-    if isinstance(sims, DataFrame):
-        return reach.join(sims, ["qid", "sentence"])
-    return reach.join(sims(reach.select("qid", "sentence").distinct()), ["qid", "sentence"])
+    """Adds sim to rows of qid and sentence; only pairs that were reached are compared."""
+    return reach.join(sims, ["qid", "sentence"]) if isinstance(sims, DataFrame) else sims(reach)
 
 
 def matrix_round(frontier: DataFrame, mention: DataFrame, sims: Similarity, used: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +177,7 @@ def matrix_round(frontier: DataFrame, mention: DataFrame, sims: Similarity, used
     reach = frontier.join(mention, "entity").select("qid", "entity", "sentence", "score")
     if used is not None:
         reach = reach.join(used, ["qid", "sentence"], "left_anti")
-    reach = cut(_with_sim(cut(reach), sims).select("qid", "entity", "sentence", "score", "sim"))
+    reach = cut(_with_sim(reach, sims).select("qid", "entity", "sentence", "score", "sim"))
     order = Window.partitionBy("qid", "entity").orderBy(F.round("sim", 9).desc(), "sentence")
     picked = reach.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("qid", "sentence").distinct()
     active = reach.groupBy("qid", "sentence").agg((F.sum("score") * F.first("sim")).alias("w")).filter("w > 0")
@@ -242,7 +261,7 @@ def propagate_frontier(seed: DataFrame, mention: DataFrame, sims: Similarity, co
         if used is not None:
             reach = reach.join(used, ["qid", "sentence"], "left_anti")
         order = Window.partitionBy("qid", "ord").orderBy(F.col("sim").desc(), "sentence")
-        near = _with_sim(cut(reach), sims).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("ord") * k)
+        near = _with_sim(reach, sims).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("ord") * k)
         picked = cut(near.select("qid", "ord", "r", "sentence", (F.col("score") * F.col("sim")).alias("flow")).groupBy("qid").applyInPandas(lambda pdf: _picks(pdf, k), "qid bigint, sentence string, flow double, pick bigint"))
         flow = picked.join(mention, "sentence").select("qid", "entity", "flow", F.struct("pick", "entity").alias("at"))
         if compat is not None:

@@ -3,7 +3,9 @@
 import glob
 import http.server
 import json
+import math
 import random
+import re
 import threading
 import xml.etree.ElementTree
 
@@ -173,6 +175,39 @@ def test_similarities(spark):
     assert retrieval.similarities(left.limit(0), right).count() == 0
 
 
+def slow_retrieve(texts, question, e, config, compat):
+    """One question on dictionaries, in the order-dependent mode, with the class prior and query-aware edges."""
+    words = lambda t: list(dict.fromkeys(re.findall("[A-Za-z]{8,}", t)))
+    dot = lambda a, b: float(np.dot(*e.encode([a, b]).astype(float)))
+    every = sorted({w for t in texts for w in words(t)})
+    seed = {}
+    for m in {w.lower() for w in words(question)}:
+        best = min(every, key=lambda w: (-round(dot(m, w), 9), w))
+        seed[best] = max(seed.get(best, -1.0), dot(m, best))
+    sentences = sorted({s.strip() for t in texts for s in re.findall(r"[^.!?\n]+[.!?]*", t) if s.strip()})
+    by = {s: sorted(words(s)) for s in sentences if words(s)}
+    of = {w: [s for s in by if w in by[s]] for w in every}
+    weights, active = retrieval.frontier_search(sorted(seed.items()), of, by, {s: dot(question, s) for s in by}, config, compat)
+    for w, (score, _) in active.items():
+        weights[w] = weights.get(w, 0.0) + config.class_prior * score * compat.get(w, 0.0)
+    dense = [dot(question, t) for t in texts]
+    reset = dict(weights)
+    for i, t in enumerate(texts):
+        bonus = sum(s * math.log1p(t.lower().count(w.lower())) / max(tier, 1) for w, (s, tier) in active.items())
+        reset[f"p{i}"] = config.passage_node_weight * (config.passage_ratio * (dense[i] - min(dense)) / (max(dense) - min(dense)) + math.log1p(bonus))
+    edges = {(f"p{i}", f"p{i + 1}"): 1.0 for i in range(len(texts) - 1)}
+    bridges = {i for i, t in enumerate(texts) if any(tier <= 1 and w in words(t) for w, (_, tier) in active.items())}
+    for i, t in enumerate(texts):
+        total = sum(t.count(w) for w in words(t))
+        for w in words(t):
+            tier = active[w][1] if w in active else None
+            lift = config.edge_beta + config.edge_seed * (i in bridges) + (config.edge_active / tier + config.edge_two_hop * (tier <= 2) if tier else 0.0)
+            boost = min(compat.get(w, 0.0) * lift, config.edge_max_boost) if w in active else 0.0
+            edges[w, f"p{i}"] = t.count(w) / total * (1 + boost)
+    ranked = slow_pagerank(edges, {n: max(0.0, x) for n, x in reset.items()}, config.damping, config.ppr_iterations)
+    return {int(n[1:]): x for n, x in ranked.items() if re.fullmatch("p[0-9]+", n)}
+
+
 def test_retrieve_from_question_to_passages(spark, tmp_path, monkeypatch):
     texts = ["Andersson founded the laboratory in Uppsala.", "The laboratory studied crystals for decades.", "Bergstrom painted harbours.", "Nothing here."]
     p = frame(spark, list(enumerate(texts)), "idx bigint, text string")
@@ -185,9 +220,9 @@ def test_retrieve_from_question_to_passages(spark, tmp_path, monkeypatch):
         assert got[1, 1][1] == pytest.approx(plain[-1], abs=1e-6)
     classes = frame(spark, [("Bergstrom", ["Place"]), ("laboratory", ["Place"])], "entity string, classes array<string>")
     types = frame(spark, [(0, ["Place"])], "qid bigint, types array<string>")
-    plain = {r["idx"]: r["score"] for r in retrieve.retrieve(q, p, e, Config(iteration_threshold=0.05, retrieval_top_k=4)).filter("qid = 0").collect()}
-    aware = {r["idx"]: r["score"] for r in retrieve.retrieve(q, p, e, Config(iteration_threshold=0.05, retrieval_top_k=4, use_class_schema=True), classes, types).filter("qid = 0").collect()}
-    assert aware[0] > plain[0]  # it joins a seed and an entity of the class
+    config = Config(iteration_threshold=0.05, retrieval_top_k=4, use_class_schema=True)
+    aware = {r["idx"]: r["score"] for r in retrieve.retrieve(q, p, e, config, classes, types).filter("qid = 0").collect()}
+    assert aware == pytest.approx(slow_retrieve(texts, "Where is the laboratory of Andersson?", e, config, {"laboratory": 1.0, "Bergstrom": 1.0}), abs=1e-6)
     (tmp_path / "chunks.json").write_text(json.dumps(texts))
     (tmp_path / "questions.json").write_text(json.dumps([{"question": "Where is the laboratory of Andersson?", "answer": "Uppsala"}]))
     cli.main(["retrieve", str(tmp_path / "chunks.json"), str(tmp_path / "questions.json"), str(tmp_path / "ranked")])

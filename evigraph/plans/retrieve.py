@@ -112,6 +112,7 @@ def class_tables(spark: SparkSession, config: Config, questions: DataFrame, mode
 def top_passages(ranked: DataFrame, dense: DataFrame, k: int) -> DataFrame:
     """qid, rank, idx, score: by score, then index; questions without graph scores fall back to dense similarity."""
     order = [F.round("score", 9).desc(), F.col("idx")]
+    ranked = retrieval.cut(ranked)  # read twice
     own = retrieval.top(ranked, "qid", order, k)
     rest = dense.join(ranked.select("qid").distinct(), "qid", "left_anti").select("qid", "idx", F.col("sim").alias("score"))
     return own.unionByName(retrieval.top(rest, "qid", order, k)).select("qid", "rank", "idx", "score")

@@ -73,9 +73,11 @@ def passage_entities(texts: DataFrame, key: str, pattern: str = ENTITY) -> DataF
     return texts.select(key, "text").mapInArrow(run, f"`{key}` {kind}, entity string, n bigint")
 
 
-def sentence_entities(texts: DataFrame, key: str, pattern: str = ENTITY) -> DataFrame:
-    """sentence, entity: distinct over all texts; sentences without entities are absent."""
-    return sentences(texts, key).select("sentence", F.explode(entities_of(F.col("sentence"), pattern)).alias("entity")).distinct()
+def sentence_entities(texts: DataFrame, key: str, pattern: str = ENTITY, distinct: bool = True) -> DataFrame:
+    """sentence, entity: distinct over all texts; sentences without entities are absent.  Otherwise a row for each occurrence of a
+    sentence: nothing is shuffled, and who takes a part of them makes that part distinct."""
+    found = sentences(texts, key).select("sentence", F.explode(entities_of(F.col("sentence"), pattern)).alias("entity"))
+    return found.distinct() if distinct else found
 
 
 def entity_edges(counts: DataFrame, key: str) -> DataFrame:

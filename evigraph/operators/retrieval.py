@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """Rows that are already written, counted: up to about `limit` bytes are sent to every task, more are dealt by their key."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType) else 8 * F.coalesce(F.size(f.name), F.lit(0)) if isinstance(f.dataType, T.ArrayType) else 0)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def similarities(left: DataFrame, right: DataFrame, limit: int = 10_000, k: int | None = None, key: str = "idx") -> DataFrame:
     """Every row of `left` (a question batch: qid, other columns, vector lv) with every row of `right` (columns, vector rv):
     all columns but the vectors, and sim.  Rows without a vector, or with one of another length, are left out.
@@ -128,9 +136,9 @@ def passage_scores(dense: DataFrame, bonus: DataFrame, config: Config, texts: Da
 Similarity = Callable[[DataFrame], DataFrame] | DataFrame
 
 
-def pair_similarity(questions: DataFrame, sentences: DataFrame, limit: int = 10_000) -> Callable[[DataFrame], DataFrame]:
+def pair_similarity(questions: DataFrame, sentences: DataFrame | Callable[[DataFrame], DataFrame], limit: int = 10_000) -> Callable[[DataFrame], DataFrame]:
     """Similarity of the pairs that are asked for.  questions: qid, lv (a batch, counted and sent to every task); sentences:
-    sentence, rv.  Rows without a vector, or with one of another length, are left out."""
+    sentence, rv, or what adds rv to rows that have a sentence.  Rows without a vector, or with one of another length, are left out."""
     batch = questions.select("qid", "lv").filter("lv is not null").limit(limit + 1).toArrow()
     if batch.num_rows > limit:
         raise ValueError("split the question batch")
@@ -158,7 +166,8 @@ def pair_similarity(questions: DataFrame, sentences: DataFrame, limit: int = 10_
                         x = part.column(last).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
                         yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(np.einsum("ij,ij->i", matrix[place[fits]], x))], [*names, "sim"])
 
-        return rows.join(sentences.select("sentence", "rv"), "sentence").select(*names, "rv").mapInArrow(run, schema)
+        found = sentences(rows) if callable(sentences) else rows.join(sentences.select("sentence", "rv"), "sentence")
+        return found.select(*names, "rv").mapInArrow(run, schema)
 
     return of
 
@@ -168,6 +177,16 @@ def _with_sim(reach: DataFrame, sims: Similarity) -> DataFrame:
     return reach.join(sims, ["qid", "sentence"]) if isinstance(sims, DataFrame) else sims(reach)
 
 
+def mentions_of(mention: DataFrame, some: DataFrame, on: str) -> DataFrame:
+    """The distinct rows of `mention` whose `on` is one of those of `some` (already written).
+
+    `mention` is read, and of it only this part is shuffled and kept; it may hold a row more than once.  Tasks get 64-bit
+    hashes of the names asked for; a row let in by a collision goes in the joins that follow.
+    """
+    asked = few(cut(some.select(F.xxhash64(on).alias("_h")).distinct()))
+    return cut(mention.select("sentence", "entity").join(asked, F.xxhash64(on) == F.col("_h"), "left_semi").distinct())
+
+
 def matrix_round(frontier: DataFrame, mention: DataFrame, sims: Similarity, used: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
     """One order-free propagation round: (next scores qid, entity, score; sentences it used qid, sentence).
 
@@ -243,8 +262,9 @@ def _picks(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"qid": [x[0] for x in out], "sentence": [x[1] for x in out], "flow": [x[2] for x in out], "pick": range(len(out))}).astype({"qid": "int64", "flow": "float64", "pick": "int64"})
 
 
-def propagate_frontier(seed: DataFrame, mention: DataFrame, sims: Similarity, config: Config, compat: DataFrame | None = None) -> DataFrame:
-    """qid, entity, weight, score, tier as frontier_search() computes them, for all questions at once; compat: qid, entity, compat.
+def propagate_frontier(seed: DataFrame, mention: DataFrame, sims: Similarity, config: Config, compat: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """qid, entity, weight, score, tier as frontier_search() computes them, for all questions at once; compat: qid, entity, compat,
+    or what gives these for rows of qid and entity that are reached.  `mention` as in matrix_round().
 
     Seeds stand in the order of their names.  A round is a few joins.  What must go in order, the picking of sentences, sees
     of each frontier entity only its k * n best unused sentences, n being its place in the frontier: those before it cannot
@@ -257,15 +277,18 @@ def propagate_frontier(seed: DataFrame, mention: DataFrame, sims: Similarity, co
     state = seed.select("qid", "entity", "score", F.lit(1).alias("tier"))
     used = None
     for tier in range(2, config.max_iterations + 1):
-        reach = frontier.filter(F.col("score") >= low).join(mention, "entity").select("qid", "ord", "score", "sentence")
+        acting = frontier.filter(F.col("score") >= low)
+        reach = mentions_of(mention, acting, "entity").join(few(acting), "entity").select("qid", "ord", "score", "sentence")
         if used is not None:
-            reach = reach.join(used, ["qid", "sentence"], "left_anti")
+            reach = reach.join(few(used), ["qid", "sentence"], "left_anti")
+        most = acting.agg(F.max("ord")).first()[0] or 0  # a plain number: rows beyond it go before the shuffle
         order = Window.partitionBy("qid", "ord").orderBy(F.col("sim").desc(), "sentence")
-        near = _with_sim(reach, sims).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("ord") * k)
+        near = _with_sim(reach, sims).withColumn("r", F.row_number().over(order)).filter((F.col("r") <= F.col("ord") * k) & (F.col("r") <= most * k))
         picked = cut(near.select("qid", "ord", "r", "sentence", (F.col("score") * F.col("sim")).alias("flow")).groupBy("qid").applyInPandas(lambda pdf: _picks(pdf, k), "qid bigint, sentence string, flow double, pick bigint"))
-        flow = picked.join(mention, "sentence").select("qid", "entity", "flow", F.struct("pick", "entity").alias("at"))
+        flow = picked.join(mentions_of(mention, picked, "sentence"), "sentence").select("qid", "entity", "flow", F.struct("pick", "entity").alias("at"))
         if compat is not None:
-            flow = flow.join(compat.groupBy("qid", "entity").agg(F.max("compat").alias("compat")), ["qid", "entity"], "left").withColumn("flow", F.col("flow") * (1 + config.class_boost * F.coalesce("compat", F.lit(0.0))))
+            known = compat(flow.select("qid", "entity").distinct()) if callable(compat) else compat
+            flow = flow.join(known.groupBy("qid", "entity").agg(F.max("compat").alias("compat")), ["qid", "entity"], "left").withColumn("flow", F.col("flow") * (1 + config.class_boost * F.coalesce("compat", F.lit(0.0))))
         fresh = cut(flow.filter(F.col("flow") >= low).groupBy("qid", "entity").agg(F.max_by("flow", "at").alias("score"), F.sum("flow").alias("weight"), F.min("at").alias("first")))
         weights = weights.unionByName(fresh.select("qid", "entity", "weight"))
         state = state.unionByName(fresh.select("qid", "entity", "score", F.lit(tier).alias("tier")))

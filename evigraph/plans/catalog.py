@@ -187,7 +187,7 @@ _ROUND1 = "f0 AS MATERIALIZED (SELECT * FROM seed WHERE score >= 0.1 AND score >
 def propagation_round1(spark, sf) -> DataFrame:
     mention = retrieval.cut(B.mentions(spark, sf))
     frontier = B.seeds(spark, sf).filter("score >= 0.1")
-    after, _ = retrieval.matrix_round(frontier, mention, B.sentence_sims(spark, sf, mention), None, MATRIX.top_k_sentence)
+    after, _ = retrieval.matrix_round(frontier, mention, B.sentence_sims(spark, sf), None, MATRIX.top_k_sentence)
     return after.select("qid", "entity", r6("score", "score"))
 
 
@@ -197,15 +197,15 @@ _MATRIX_SQL = "SELECT qid, entity, round(w.weight, 6) AS weight, round(coalesce(
 @query("propagation_matrix", B.with_sql(_MATRIX_SQL, _ROUND1 + "," + _round_sql(2, 2)))
 def propagation_matrix(spark, sf) -> DataFrame:
     mention = retrieval.cut(B.mentions(spark, sf))
-    weights, activated = retrieval.propagate_matrix(B.seeds(spark, sf), mention, B.sentence_sims(spark, sf, mention), MATRIX)
+    weights, activated = retrieval.propagate_matrix(B.seeds(spark, sf), mention, B.sentence_sims(spark, sf), MATRIX)
     return weights.join(activated, ["qid", "entity"], "left").select("qid", "entity", r6("weight", "weight"), r6(F.coalesce("score", F.lit(0.0)), "score"), F.coalesce("tier", F.lit(-1)).alias("tier"))
 
 
 @query("propagation_frontier")
 def propagation_frontier(spark, sf) -> DataFrame:
     """The order-dependent mode with the class boost."""
-    seed, mention = B.seeds(spark, sf), retrieval.cut(B.mentions(spark, sf))
-    out = retrieval.propagate_frontier(seed, mention, B.sentence_sims(spark, sf, mention), MATRIX, B.compat(mention, B.question_texts(spark, sf)))
+    seed, mention = B.seeds(spark, sf), B.mentions(spark, sf, distinct=False)
+    out = retrieval.propagate_frontier(seed, mention, B.sentence_sims(spark, sf), MATRIX, B.own_compat)
     return out.select("qid", "entity", r6("weight", "weight"), r6("score", "score"), "tier")
 
 
@@ -261,8 +261,8 @@ def retrieve_dense_graph(spark, sf) -> DataFrame:
 def retrieve_class_aware(spark, sf) -> DataFrame:
     """Propagation with the class boost, class prior, query-aware edges, PageRank."""
     seed, dense = B.seeds(spark, sf), B.dense(spark, sf)
-    mention = retrieval.cut(B.mentions(spark, sf))
-    weights, activated = retrieve.propagate(seed, mention, B.sentence_sims(spark, sf, mention), MATRIX, B.compat(mention, B.question_texts(spark, sf)))
+    mention = B.mentions(spark, sf, distinct=False)
+    weights, activated = retrieve.propagate(seed, mention, B.sentence_sims(spark, sf), MATRIX, B.own_compat)
     ranked = retrieve.search(B.passages(spark, sf), dense, weights, activated, PPR, B.compat(activated, seed))
     return retrieve.top_passages(ranked, dense, 5).select("qid", "rank", "idx", r6("score", "score"))
 

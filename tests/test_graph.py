@@ -4,6 +4,7 @@ import glob
 import http.server
 import json
 import math
+import os
 import random
 import re
 import threading
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from evigraph import cli
 from evigraph.config import Config
 from evigraph.operators import annotate, corpus, ontology, qa, retrieval, substring
-from evigraph.plans import retrieve
+from evigraph.plans import catalog, retrieve
 from evigraph.sources import artifacts, seams, store
 from evigraph.streaming import index
 
@@ -124,6 +125,19 @@ def test_frontier_equals_one_question_at_a_time(spark):
         assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("name", ["propagation_frontier"])
+def test_propagation_keeps_little(spark, name):
+    """Sentences that no frontier reaches are neither checkpointed nor shuffled: both stay far below the size of the texts."""
+    retrieval.cut(spark.range(1))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    kept = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").agg({"n_chars": "sum"}).first()[0]
+    before = kept()
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert kept() - before < texts / 4
+
+
 def slow_pagerank(edges, reset, d, rounds):
     """Node by node, on dictionaries."""
     total = sum(reset.values())

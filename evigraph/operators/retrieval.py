@@ -191,18 +191,20 @@ def matrix_round(frontier: DataFrame, mention: DataFrame, sims: Similarity, used
     """One order-free propagation round: (next scores qid, entity, score; sentences it used qid, sentence).
 
     A sentence's activation is the sum of its frontier entities' scores; each frontier entity picks its k most similar unused
-    sentences; a picked sentence passes activation * similarity on to all its entities.
+    sentences; a picked sentence passes activation * similarity on to all its entities.  `mention` is read twice, and only
+    sentences of the frontier and picked ones are kept of it.
     """
-    reach = frontier.join(mention, "entity").select("qid", "entity", "sentence", "score")
+    frontier = cut(frontier.select("qid", "entity", "score"))
+    reach = mentions_of(mention, frontier, "entity").join(few(frontier.select("qid", "entity")), "entity").select("qid", "entity", "sentence")
     if used is not None:
-        reach = reach.join(used, ["qid", "sentence"], "left_anti")
-    reach = cut(_with_sim(reach, sims).select("qid", "entity", "sentence", "score", "sim"))
+        reach = reach.join(few(used), ["qid", "sentence"], "left_anti")
     order = Window.partitionBy("qid", "entity").orderBy(F.round("sim", 9).desc(), "sentence")
-    picked = reach.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("qid", "sentence").distinct()
-    active = reach.groupBy("qid", "sentence").agg((F.sum("score") * F.first("sim")).alias("w")).filter("w > 0")
-    chosen = cut(active.join(picked, ["qid", "sentence"], "left_semi"))
-    after = chosen.join(mention, "sentence").groupBy("qid", "entity").agg(F.sum("w").alias("score"))
-    return cut(after), picked
+    near = _with_sim(reach, sims).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    picked = cut(near.groupBy("qid", "sentence").agg(F.first("sim").alias("sim")))
+    own = mentions_of(mention, picked, "sentence")
+    active = own.join(picked, "sentence").join(frontier, ["qid", "entity"]).groupBy("qid", "sentence").agg((F.sum("score") * F.first("sim")).alias("w")).filter("w > 0")
+    after = active.join(own, "sentence").groupBy("qid", "entity").agg(F.sum("w").alias("score"))
+    return cut(after), picked.select("qid", "sentence")
 
 
 def propagate_matrix(seed: DataFrame, mention: DataFrame, sims: Similarity, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +214,7 @@ def propagate_matrix(seed: DataFrame, mention: DataFrame, sims: Similarity, conf
     frontier, used = seed.filter((F.col("score") >= config.iteration_threshold) & (F.col("score") > 0)), None
     for tier in range(1, config.max_iterations):
         after, picked = matrix_round(frontier, mention, sims, used, config.top_k_sentence)
-        used = picked if used is None else used.unionByName(picked).distinct()
+        used = picked if used is None else used.unionByName(picked)
         weights = weights.unionByName(after.select("qid", "entity", F.col("score").alias("weight")))
         activated = activated.unionByName(after.filter(F.col("score") >= config.iteration_threshold).withColumn("tier", F.lit(tier)))
         frontier = after.filter((F.col("score") >= config.iteration_threshold) & (F.col("score") > 0))

@@ -125,8 +125,30 @@ def test_frontier_equals_one_question_at_a_time(spark):
         assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
 
 
+def test_propagation_of_repeated_mentions(spark):
+    """Mentions come as a row for each occurrence, and compatibility is asked of what is reached only; results stay."""
+    rng = random.Random(13)
+    entities, sentences = [f"e{i:02d}" for i in range(25)], [f"s{i:02d}" for i in range(40)]
+    rows = [(s, e) for s in sentences for e in sorted(rng.sample(entities, rng.randrange(1, 5)))]
+    seed = frame(spark, [(q, e, round(rng.uniform(0.3, 1.2), 3)) for q in range(4) for e in rng.sample(entities, 2)], "qid bigint, entity string, score double")
+    sims = frame(spark, [(q, s, round(rng.uniform(0.1, 1.0), 4)) for q in range(4) for s in sentences], "qid bigint, sentence string, sim double")
+    once, often = (frame(spark, x, "sentence string, entity string") for x in (rows, rows + rows[::2] + rows))
+    config, asked = Config(max_iterations=3, iteration_threshold=0.3, top_k_sentence=2), []
+    compat = frame(spark, [(q, e, 1.0) for q in range(4) for e in entities[::3]], "qid bigint, entity string, compat double")
+
+    def reached(found):
+        asked.append(found.count())
+        return found.join(compat, ["qid", "entity"])
+
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for a, b in zip(retrieval.propagate_matrix(seed, once, sims, config), retrieval.propagate_matrix(seed, often, sims, config), strict=True):
+        assert plain(a) == plain(b) != []
+    assert plain(retrieval.propagate_frontier(seed, once, sims, config, compat)) == plain(retrieval.propagate_frontier(seed, often, sims, config, reached)) != []
+    assert asked and max(asked) < 4 * len(entities)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
-@pytest.mark.parametrize("name", ["propagation_frontier"])
+@pytest.mark.parametrize("name", ["propagation_frontier", "propagation_matrix"])
 def test_propagation_keeps_little(spark, name):
     """Sentences that no frontier reaches are neither checkpointed nor shuffled: both stay far below the size of the texts."""
     retrieval.cut(spark.range(1))

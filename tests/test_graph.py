@@ -148,7 +148,7 @@ def test_propagation_of_repeated_mentions(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
-@pytest.mark.parametrize("name", ["propagation_frontier", "propagation_matrix"])
+@pytest.mark.parametrize("name", ["propagation_frontier", "propagation_matrix", "propagation_round1"])
 def test_propagation_keeps_little(spark, name):
     """Sentences that no frontier reaches are neither checkpointed nor shuffled: both stay far below the size of the texts."""
     retrieval.cut(spark.range(1))

@@ -19,7 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 (five-word shingles) the smallest doc_id stays."""
+    """Of each group of documents linked by a Jaccard similarity of 0.8 (five-word shingles) the smallest doc_id stays.  Pairs come
+    from the index of SimHash fingerprints, and from that of sketches where fingerprints differ in more than three bits."""
     few_rows(spark)
     return simhash.deduplicate(docs)
 

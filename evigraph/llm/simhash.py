@@ -11,8 +11,9 @@ paired there but listed anew by all 8-d positions; a list that is still long is
 bits blanked out, and every member of such a key is linked with the key's smallest member.  Members of a key differ in
 at most d bits, and any two fingerprints within d bits share a key, so no link between components is lost and none is false.
 
-deduplicate() asks for more than three bits can tell: near copies by Jaccard similarity of five-word shingles.  The index is
-the same, over the positional bytes of MinHash sketches instead of one fingerprint's; see there.
+deduplicate() looks for near copies by Jaccard similarity of five-word shingles.  It takes the same steps with fingerprints of
+these shingles, and verifies by that similarity; for the pairs that three bits cannot tell, the index is then made of the
+positional bytes of MinHash sketches too; see there.
 """
 
 from __future__ import annotations
@@ -202,6 +203,14 @@ def _least(found: np.ndarray, hashes: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return least
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles given by their hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 14):
+        counts += np.unpackbits(found[i : i + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big")
+
+
 def _bands(found: np.ndarray, hashes) -> np.ndarray:
     raw = _least(found, hashes).reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], np.uint64)
@@ -212,16 +221,22 @@ def _sketches(width: int):
         hashes = _hashes(BANDS * ROWS, 42)
         for batch in batches:
             texts = batch.column(1)
-            node, size, keys = np.empty(len(texts), np.uint64), np.empty(len(texts), np.int64), np.empty((len(texts), BANDS), np.uint64)
+            node, size, fp, keys = np.empty(len(texts), np.uint64), np.empty(len(texts), np.int64), np.empty(len(texts), np.uint64), np.empty((len(texts), BANDS), np.uint64)
             for first, part in chunks(texts):
                 for i, (who, found) in enumerate(shingle_sets(part, width), first):
-                    node[i], size[i], keys[i] = who, len(found), _bands(found, hashes)
+                    node[i], size[i], fp[i], keys[i] = who, len(found), set_fingerprint(found), _bands(found, hashes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array(size), lists], ["doc_id", "text_hash", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), lists], ["doc_id", "text_hash", "node", "n", "fp", "keys"])
 
     return run
 
 
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, node (hash of the words), n (shingles), fp (their fingerprint), keys (bands of the sketch) of every row."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(_sketches(width), "doc_id bigint, text_hash bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
+
+
 def _details(width: int):
     """node, n, keys (the bands), marks (positional bytes) and found (the set of shingles) of some texts."""
 
@@ -255,6 +270,15 @@ def _similar(pairs: DataFrame, details: DataFrame, threshold: float) -> DataFram
         return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint"))
 
 
+def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of nodes to be verified: of one fingerprint with its smallest node, and the smallest ones of linked fingerprints."""
+    of = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("many")))
+    same = nodes.select("node", "fp").join(of.filter("many > 1"), "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    left, right = (of.select(F.col("fp").alias(c), F.col("least").alias("least_" + c)) for c in "ab")
+    near = links(of.select("fp"), distance).join(left, "a").join(right, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return stored(near.unionByName(same), "met")
+
+
 def least_tally(threshold: float, n: int) -> int:
     """Shared positional bytes out of n that a pair at the threshold reaches (but for SIGMAS standard deviations)."""
     p = threshold + (1 - threshold) / 256
@@ -301,10 +325,12 @@ def _counted(threshold: float):
     return run
 
 
-def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: float, rounds: int = 8, block: int = 2048) -> DataFrame | None:
-    """Links (a, b) of nodes that connect the same components as all pairs of similar nodes that share a band.
+def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: float, rounds: int = 8, block: int = 2048, distance: int = 3) -> DataFrame | None:
+    """Links (a, b) of nodes that connect the same components as all pairs of similar nodes that share a band or whose
+    fingerprints are links().
 
-    `nodes`: node, n, keys and the doc_id and text_hash of one row of `docs` each.  First every node is compared with the
+    `nodes`: node, n, fp, keys and the doc_id and text_hash of one row of `docs` each.  First the pairs that the index of
+    fingerprints finds within `distance` bits are verified; then every node is compared with the
     leader it shares most lists with, which connects a large group of near copies in few rounds; then, within every list that
     still holds more than one component, the pairs of different components are tallied byte by byte, in blocks of `block`
     nodes against each other, and those that reach the least tally are verified.
@@ -312,7 +338,8 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: floa
     listed = nodes.select("node", "n", F.explode("keys").alias("key"))
     many = listed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
     lists = stored(listed.join(many, "key"), "lists")
-    members = lists.select("node").distinct()
+    met = _fingerprint_pairs(nodes, distance)
+    members = lists.select("node").unionByName(met.select(F.col("a").alias("node"))).unionByName(met.select(F.col("b").alias("node"))).distinct()
     if members.isEmpty():
         return None
     chosen = nodes.select("node", F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).join(members, "node", "left_semi")
@@ -329,7 +356,8 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, width: int, threshold: floa
         mixed = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("key")
         return stored(now.join(mixed, "key", "left_semi"), "open")
 
-    found, near = None, (F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9)
+    found = _similar(met, details, threshold)
+    found, near = None if found.isEmpty() else found, (F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9)
     for turn in range(rounds):
         now = still_open(found)
         lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("of").alias("to"))).alias("l")).select("key", "l.*")
@@ -362,16 +390,16 @@ def _same_id(a, b):
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, **search) -> DataFrame:
     """The rows of `docs` that represent their component: smallest doc_id, nulls last, then smallest text hash.
 
-    Texts whose `width`-word shingles have a Jaccard similarity of `threshold` at least are linked.  Bits of fingerprints
-    cannot find them: at that similarity they differ in so many that no byte need agree.  So the positional bytes are those of
-    MinHash sketches, of which such a pair shares a share of `threshold`: a posting holds five positions (a band), shared
-    bytes are tallied, pairs that reach the least tally are verified by their exact similarity.
+    Texts whose `width`-word shingles have a Jaccard similarity of `threshold` at least are linked.  Pairs whose SimHash
+    fingerprints differ in at most three bits come from the index of links().  At that similarity fingerprints may differ in
+    so many bits that no byte need agree; those pairs come from the positional bytes of MinHash sketches, of which such a pair
+    shares a share of `threshold`: a posting holds five positions (a band), shared bytes are tallied, pairs that reach the
+    least tally go on.  Both kinds are verified by their exact similarity.
     Of rows with equal doc_id and text one stays; null and empty texts are copies of each other; an empty table stays empty.
     All columns are kept.
     """
-    sketched = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     with small_batches(docs.sparkSession):
-        rows = stored(sketched.mapInArrow(_sketches(width), "doc_id bigint, text_hash bigint, node bigint, n bigint, keys array<bigint>"), "sketches")
+        rows = stored(sketches(docs, width), "sketches")
     unique = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     best = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")))
     chosen = best.select(F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h"))

@@ -123,6 +123,30 @@ def test_near_duplicates_edge_cases(spark):
     assert ids.count((False, 3)) == 1 and (False, 12) not in ids and (True, 0) in ids
 
 
+def test_deduplicate_takes_fingerprints(spark):
+    """Without any band of a sketch, the index of fingerprints alone connects all near copies within three bits."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(400)]
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 8)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    docs = frame(spark, list(enumerate(texts)))
+    nodes = simhash.sketches(docs, 5)
+    who = {r["doc_id"]: (r["node"], r["fp"] & (1 << 64) - 1) for r in nodes.collect()}
+    sets = [found for _, found in simhash.shingle_sets(pa.array(texts), 5)]
+    slow = lambda s: sum((2 * sum(int(x) >> b & 1 for x in s) > len(s)) << b for b in range(64))
+    assert all(who[i][1] == slow(s) for i, s in enumerate(sets))
+    like = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    near = {frozenset((who[i][0], who[j][0])) for i in range(len(texts)) for j in range(i) if like(sets[i], sets[j]) >= 0.8 and (who[i][1] ^ who[j][1]).bit_count() <= 3}
+    got = simhash.jaccard_links(nodes.withColumn("keys", F.array().cast("array<bigint>")), docs, 5, 0.8)
+    assert near and {frozenset((r["a"], r["b"])) for r in got.collect()} == near
+
+
 @pytest.mark.parametrize("search", [{}, {"rounds": 1, "block": 3}])
 def test_deduplicate_jaccard(spark, search):
     """Edited copies against brute force over five-word shingles; with few rounds of leaders and small blocks as without."""
